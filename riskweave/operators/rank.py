@@ -55,13 +55,14 @@ def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataF
 
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                    value_cols: Sequence[str], bucket: Column | None = None,
-                   prefix: str = "cum_", inclusive: bool = True) -> DataFrame:
+                   prefix: str = "cum_", inclusive: bool = True,
+                   bucket_on: str | None = None) -> DataFrame:
     """Add ``<prefix><v>`` = sum of v over rows of the same group ordered before (and, when
     ``inclusive``, including) the current row. ``order_cols`` must be a total order in the group.
     """
     group_cols, order_cols, value_cols = list(group_cols), list(order_cols), list(value_cols)
     if bucket is None:
-        withb = quantile_buckets(df, order_cols[0])
+        withb = quantile_buckets(df, bucket_on or order_cols[0])
     else:
         withb = df.withColumn("_bucket", bucket)
 
@@ -95,8 +96,16 @@ def running_totals_simple(df: DataFrame, group_cols, order_cols, value_cols, pre
 
 
 def dense_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
-                     bucket: Column | None = None, out_col: str = "rn") -> DataFrame:
+                     bucket: Column | None = None, out_col: str = "rn",
+                     bucket_on: str | None = None) -> DataFrame:
     """``row_number() over (partition by g order by o)`` (1-based) computed with two levels."""
     tmp = df.withColumn("_one", F.lit(1).cast("long"))
-    out = running_totals(tmp, group_cols, order_cols, ["_one"], bucket=bucket, prefix="_rn")
+    out = running_totals(tmp, group_cols, order_cols, ["_one"], bucket=bucket, prefix="_rn",
+                         bucket_on=bucket_on)
     return out.withColumnRenamed("_rn_one", out_col).drop("_one")
+
+
+def string_order_proxy(c: Column) -> Column:
+    """A long that is monotone (non-decreasing) in the binary order of a string: its first seven
+    UTF-8 bytes, right-padded. Strings sharing those bytes share a first-level bucket."""
+    return F.conv(F.rpad(F.hex(F.substring(c.cast("string"), 1, 7)), 14, "0"), 16, 10).cast("double")

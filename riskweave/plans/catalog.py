@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from riskweave import views
 from riskweave.operators import folds, metrics
 from riskweave.operators.target_encoding import TargetEncoding, target_encode_oof
+from riskweave.sources.tables import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -97,3 +98,147 @@ def q_pr_curve(spark, sf):
 @query("log_loss")
 def q_log_loss(spark, sf):
     return metrics.log_loss(views.preds(spark, sf), group_cols=["model"]).select("model", r6("log_loss"))
+
+
+# ---------------------------------------------------------------- schema and features (B, D)
+
+from riskweave.functions.dates import age_days, date_parts, parse_datetime, whole_days_between  # noqa: E402
+from riskweave.operators import features as fx  # noqa: E402
+from riskweave.operators import schema as sch  # noqa: E402
+from riskweave.plans.feature_spec import FeatureSpec  # noqa: E402
+
+T_DATES = ("date_as", "date_os")
+
+
+def t_spec(n_hash: int = 64) -> FeatureSpec:
+    return FeatureSpec(n_hash_features=n_hash, low_card_thresh=30, id_cols=("id",),
+                       date_cols=T_DATES, target_col="target")
+
+
+@query("detect_columns")
+def q_detect_columns(spark, sf):
+    t = views.telemetry(spark, sf)
+    return sch.column_roles(t, id_cols=["id"], target_col="target", date_cols=list(T_DATES),
+                            low_card_thresh=30)
+
+
+@query("feature_lineage")
+def q_feature_lineage(spark, sf):
+    return t_spec().fit(views.telemetry(spark, sf)).lineage(spark)
+
+
+@query("date_parse")
+def q_date_parse(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t.select("id", *[parse_datetime(F.col(c)).cast("string").alias(c) for c in T_DATES])
+
+
+@query("date_features")
+def q_date_features(spark, sf):
+    t = views.telemetry(spark, sf)
+    cols = [x.cast("long") for c in T_DATES for x in date_parts(parse_datetime(F.col(c)), c)]
+    names = [f"{c}_{p}" for c in T_DATES for p in ("year", "month", "day")]
+    return t.select("id", *[c.alias(n) for c, n in zip(cols, names)])
+
+
+@query("date_age")
+def q_date_age(spark, sf):
+    ev = load(spark, sf, "events").select("event_id", "ts")
+    mx = ev.agg(F.max("ts").alias("m")).first()["m"]
+    mx = mx.isoformat(sep=" ") if mx is not None else None
+    return ev.select("event_id", age_days(F.col("ts"), mx).alias("ts_age_days"))
+
+
+@query("days_between")
+def q_days_between(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t.select("id", whole_days_between(parse_datetime(F.col("date_os")),
+                                             parse_datetime(F.col("date_as"))).alias("days_between_as_os"))
+
+
+@query("median_impute")
+def q_median_impute(spark, sf):
+    t = views.telemetry(spark, sf)
+    med = fx.medians(t, ["amount", "balance"])
+    return t.select("id", *[r6(F.coalesce(F.col(c), F.lit(med[c])), c) for c in ("amount", "balance")])
+
+
+@query("standard_scale")
+def q_standard_scale(spark, sf):
+    t = views.telemetry(spark, sf)
+    m = t_spec().fit(t)
+    return m.transform(t, keep=("id",), wide=True).select("id", r6("amount"), r6("balance"))
+
+
+@query("one_hot")
+def q_one_hot(spark, sf):
+    """Fit categories on folds 1-4, encode every row: hot positions (unseen values have none)."""
+    tf = views.telemetry_folds(spark, sf)
+    low = ["segment", "priority", "nation"]
+    cats = fx.categories(tf.where(F.col("fold") != 0), low)
+    cols = [F.struct(F.lit(c).alias("column_name"), fx.one_hot_index(c, cats[c]).alias("category_index"))
+            for c in low]
+    return (tf.select("id", F.inline(F.array(*cols)))
+            .where(F.col("category_index") >= 0))
+
+
+@query("cat_fill")
+def q_cat_fill(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t.select("id", fx.cat_fill("segment"), fx.cat_fill("city"))
+
+
+@query("hash_features")
+def q_hash_features(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t.select("id", F.inline(fx.hashed_entries(["account", "city"], 64))) \
+            .select("id", "bucket", "value")
+
+
+@query("label_encode")
+def q_label_encode(spark, sf):
+    t = views.telemetry(spark, sf).select("id", "city")
+    codes = fx.label_codes(t, "city")
+    return fx.encode_with(t, codes, "city", "code").select("id", "code")
+
+
+@query("frequency_encode")
+def q_frequency_encode(spark, sf):
+    t = views.telemetry(spark, sf).select("id", "city")
+    return fx.encode_with(t, fx.frequency_table(t, "city"), "city", "freq").select("id", r6("freq"))
+
+
+@query("interactions")
+def q_interactions(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t.select("id", r6(F.col("amount") * F.col("balance"), "amount_x_balance"),
+                    F.concat_ws("_", "segment", "priority").alias("segment_x_priority"))
+
+
+@query("group_stats")
+def q_group_stats(spark, sf):
+    t = views.telemetry(spark, sf).select("id", "segment", "amount")
+    out = fx.group_stats(t, "segment", "amount")
+    return out.select("id", r6("amount_mean_by_segment"), r6("amount_std_by_segment"),
+                      F.col("amount_n_by_segment").cast("long").alias("amount_n_by_segment"))
+
+
+@query("group_mean")
+def q_group_mean(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t.groupBy("segment").agg(r6(F.avg("target"), "target_mean"),
+                                    F.count(F.lit(1)).alias("n"))
+
+
+@query("numeric_projection")
+def q_numeric_projection(spark, sf):
+    t = views.telemetry(spark, sf)
+    return sch.numeric_projection(t)
+
+
+@query("align_schema")
+def q_align_schema(spark, sf):
+    t = views.telemetry(spark, sf)
+    expected = [(f.name, f.dataType) for f in t.schema.fields]
+    skewed = t.drop("balance").withColumn("stray", F.lit("x"))
+    return sch.align(skewed, expected)

@@ -97,6 +97,109 @@ ORACLE["log_loss"] = BASE + """SELECT model,
 FROM preds GROUP BY model"""
 
 
+# ---------------------------------------------------------------- schema and features
+
+TB = with_sql(T_SQL)
+_STRS = ["segment", "priority", "nation", "account", "city"]
+
+
+def _nd(c: str) -> str:
+    return f"(SELECT count(DISTINCT {c}) + max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) FROM t)"
+
+
+ORACLE["detect_columns"] = TB + "SELECT * FROM (VALUES ('id', 'id', CAST(NULL AS BIGINT)), ('target', 'target', NULL), " \
+    "('amount', 'numeric', NULL), ('balance', 'numeric', NULL), ('date_as', 'date', NULL), ('date_os', 'date', NULL)) " \
+    "v(column_name, role, n_distinct_incl_missing)\n" + "\n".join(
+        f"UNION ALL SELECT '{c}', CASE WHEN n < 30 THEN 'low_card' ELSE 'high_card' END, CAST(n AS BIGINT) "
+        f"FROM (SELECT {_nd(c)} AS n) x" for c in _STRS)
+
+_low_cats = "\nUNION ALL ".join(
+    f"SELECT 2 AS sec, {i} AS pos, '{c}=' || v AS name, 'onehot' AS family, '{c}' AS source_col, v AS category "
+    f"FROM (SELECT DISTINCT coalesce({c}, '__missing__') AS v FROM t) WHERE {_nd(c)} < 30"
+    for i, c in enumerate(_STRS))
+_any_high = " OR ".join(f"{_nd(c)} >= 30" for c in _STRS)
+ORACLE["feature_lineage"] = TB + f""",
+rows AS (
+  SELECT 0 AS sec, p.pos AS pos, p.name AS name, 'date' AS family, p.src AS source_col, CAST(NULL AS VARCHAR) AS category
+  FROM (VALUES (0, 'date_as_year', 'date_as'), (1, 'date_as_month', 'date_as'), (2, 'date_as_day', 'date_as'),
+               (3, 'date_as_age_days', 'date_as'), (4, 'date_os_year', 'date_os'), (5, 'date_os_month', 'date_os'),
+               (6, 'date_os_day', 'date_os'), (7, 'date_os_age_days', 'date_os')) p(pos, name, src)
+  UNION ALL SELECT 1, 0, 'amount', 'numeric', 'amount', NULL
+  UNION ALL SELECT 1, 1, 'balance', 'numeric', 'balance', NULL
+  UNION ALL {_low_cats}
+  UNION ALL SELECT 3, i, 'hash_' || CAST(i AS VARCHAR), 'hash', NULL, NULL FROM range(64) r(i) WHERE {_any_high}
+)
+SELECT CAST(row_number() OVER (ORDER BY sec, pos, category) - 1 AS INTEGER) AS idx, name, family, source_col, category
+FROM rows"""
+
+ORACLE["date_parse"] = TB + """SELECT id, CAST(try_cast(date_as AS TIMESTAMP) AS VARCHAR) AS date_as,
+       CAST(try_cast(date_os AS TIMESTAMP) AS VARCHAR) AS date_os FROM t"""
+
+ORACLE["date_features"] = TB + "SELECT id, " + ", ".join(
+    f"CAST(coalesce({fn}(try_cast({c} AS TIMESTAMP)), 0) AS BIGINT) AS {c}_{part}"
+    for c in ("date_as", "date_os") for fn, part in (("year", "year"), ("month", "month"), ("day", "day"))) + " FROM t"
+
+ORACLE["date_age"] = """SELECT event_id,
+  CAST(coalesce(floor(date_diff('microsecond', ts, (SELECT max(ts) FROM events)) / 86400000000), 999999) AS BIGINT) AS ts_age_days
+FROM events"""
+
+ORACLE["days_between"] = TB + """SELECT id,
+  CAST(floor(date_diff('microsecond', try_cast(date_os AS TIMESTAMP), try_cast(date_as AS TIMESTAMP)) / 86400000000) AS BIGINT) AS days_between_as_os
+FROM t"""
+
+ORACLE["median_impute"] = TB + """SELECT id, {R6_}(coalesce(amount, (SELECT median(amount) FROM t))) AS amount,
+       {R6_}(coalesce(balance, (SELECT median(balance) FROM t))) AS balance FROM t"""
+
+ORACLE["standard_scale"] = TB + """,
+f AS (SELECT id, coalesce(amount, (SELECT median(amount) FROM t)) AS a, coalesce(balance, (SELECT median(balance) FROM t)) AS b FROM t),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM f)
+SELECT id, {R6_}((a - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END) AS amount,
+       {R6_}((b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END) AS balance FROM f, m"""
+
+_oh_cols = ["segment", "priority", "nation"]
+ORACLE["one_hot"] = BASE + ",\ncats AS (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, v, CAST(row_number() OVER (ORDER BY v) - 1 AS INTEGER) AS category_index "
+    f"FROM (SELECT DISTINCT coalesce({c}, '__missing__') AS v FROM tf WHERE fold <> 0)" for c in _oh_cols) + \
+    "),\nvals AS (" + "\nUNION ALL ".join(
+        f"SELECT id, '{c}' AS column_name, coalesce({c}, '__missing__') AS v FROM tf" for c in _oh_cols) + \
+    ")\nSELECT vals.id, vals.column_name, cats.category_index FROM vals JOIN cats USING (column_name, v)"
+
+ORACLE["cat_fill"] = TB + "SELECT id, coalesce(segment, 'NA') AS segment, coalesce(city, 'NA') AS city FROM t"
+
+ORACLE["hash_features"] = TB + """,
+toks AS (SELECT id, 'account=' || coalesce(account, '__missing__') AS tok FROM t
+         UNION ALL SELECT id, 'city=' || coalesce(city, '__missing__') FROM t),
+hb AS (SELECT id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 64 AS INTEGER) AS bucket,
+              CASE WHEN ('0x' || substr(md5(tok), 9, 1))::BIGINT % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS sign
+       FROM toks)
+SELECT id, bucket, sum(sign) AS value FROM hb GROUP BY id, bucket HAVING sum(sign) <> 0"""
+
+ORACLE["label_encode"] = TB + """,
+codes AS (SELECT city, CAST(row_number() OVER (ORDER BY city) - 1 AS BIGINT) AS code
+          FROM (SELECT DISTINCT city FROM t WHERE city IS NOT NULL))
+SELECT t.id, codes.code FROM t LEFT JOIN codes ON t.city = codes.city"""
+
+ORACLE["frequency_encode"] = TB + """,
+fr AS (SELECT city, count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM t) AS freq FROM t GROUP BY city)
+SELECT t.id, {R6_}(fr.freq) AS freq FROM t LEFT JOIN fr ON t.city IS NOT DISTINCT FROM fr.city"""
+
+ORACLE["interactions"] = TB + """SELECT id, {R6_}(amount * balance) AS amount_x_balance,
+       concat_ws('_', segment, priority) AS segment_x_priority FROM t"""
+
+ORACLE["group_stats"] = TB + """,
+g AS (SELECT segment, avg(amount) AS m, stddev_pop(amount) AS s, count(amount) AS n FROM t GROUP BY segment)
+SELECT t.id, {R6_}(g.m) AS amount_mean_by_segment, {R6_}(g.s) AS amount_std_by_segment,
+       CAST(g.n AS BIGINT) AS amount_n_by_segment
+FROM t LEFT JOIN g ON t.segment IS NOT DISTINCT FROM g.segment"""
+
+ORACLE["group_mean"] = TB + """SELECT segment, {R6_}(avg(target)) AS target_mean, count(*) AS n FROM t GROUP BY segment"""
+
+ORACLE["numeric_projection"] = TB + "SELECT id, target, amount, balance FROM t"
+
+ORACLE["align_schema"] = TB + """SELECT id, target, amount, CAST(NULL AS DOUBLE) AS balance, segment, priority, nation,
+       account, city, date_as, date_os FROM t"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("
@@ -116,3 +219,4 @@ def _expand_r6(sql: str) -> str:
 
 def finalized() -> dict[str, str]:
     return {k: _expand_r6(v) for k, v in ORACLE.items()}
+
