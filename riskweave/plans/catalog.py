@@ -242,3 +242,294 @@ def q_align_schema(spark, sf):
     expected = [(f.name, f.dataType) for f in t.schema.fields]
     skewed = t.drop("balance").withColumn("stray", F.lit("x"))
     return sch.align(skewed, expected)
+
+
+# ---------------------------------------------------------------- profiling (H)
+
+from riskweave.functions import scoring as sc  # noqa: E402
+from riskweave.functions.text import text_length, word_count  # noqa: E402
+from riskweave.operators import ensemble as ens  # noqa: E402
+from riskweave.operators import explain as xp  # noqa: E402
+from riskweave.operators import profile as prof  # noqa: E402
+from riskweave.operators import search as srch  # noqa: E402
+from riskweave.operators.sample import sample_n  # noqa: E402
+
+
+@query("null_counts")
+def q_null_counts(spark, sf):
+    return prof.null_counts(views.telemetry(spark, sf))
+
+
+@query("null_fraction")
+def q_null_fraction(spark, sf):
+    return prof.null_fraction(views.telemetry(spark, sf), top=20).select("column_name", r6("fraction"))
+
+
+@query("nunique")
+def q_nunique(spark, sf):
+    t = views.telemetry(spark, sf)
+    return prof.nunique(t, sch.string_columns(t), top=50)
+
+
+@query("table_info")
+def q_table_info(spark, sf):
+    return prof.table_info(views.telemetry(spark, sf))
+
+
+@query("value_counts")
+def q_value_counts(spark, sf):
+    return prof.value_counts(views.telemetry(spark, sf), "segment")
+
+
+@query("value_share")
+def q_value_share(spark, sf):
+    return prof.value_share(views.telemetry(spark, sf), "target").select("value", r6("share"))
+
+
+def _docs(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    return d.select("doc_id", text_length(F.col("text")).alias("text_len"),
+                    word_count(F.col("text")).alias("word_count"))
+
+
+@query("text_lengths")
+def q_text_lengths(spark, sf):
+    return _docs(spark, sf)
+
+
+@query("histogram")
+def q_histogram(spark, sf):
+    h = prof.histogram(_docs(spark, sf), "text_len", bins=50)
+    return h.select("bin", r6("lo"), r6("hi"), "n")
+
+
+@query("box_stats")
+def q_box_stats(spark, sf):
+    d = _docs(spark, sf).join(load(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    b = prof.box_stats(d, "toxic", "word_count")
+    return b.select("toxic", *[r6(c) for c in ("q1", "median", "q3", "iqr", "whisker_lo", "whisker_hi")],
+                    F.col("n_outliers").cast("long").alias("n_outliers"), F.col("n").cast("long").alias("n"))
+
+
+# ---------------------------------------------------------------- ensembling (G) and search
+
+MODELS = list(views.MODELS)
+FIXED_WEIGHTS = {"stack": 0.50, "cat": 0.30, "lgb": 0.15, "xgb": 0.05}   # fixed values (G3)
+N_CANDIDATES, CANDIDATE_SEED = 20, 42
+N_TRIALS, TRIAL_SEED = 30, 7
+
+
+@query("auc_weights")
+def q_auc_weights(spark, sf):
+    return ens.auc_weights(views.preds(spark, sf)).select("model", r6("auc"), r6("weight"))
+
+
+@query("blend_weighted")
+def q_blend_weighted(spark, sf):
+    p = views.preds(spark, sf)
+    return ens.blend_weighted(p, ens.auc_weights(p)).select("id", r6("p"))
+
+
+@query("blend_fixed")
+def q_blend_fixed(spark, sf):
+    """stack = the AUC-weighted blend; the other members are the base models; keyed joins."""
+    p = views.preds(spark, sf)
+    members = {m: p.where(F.col("model") == m).select("id", "p") for m in MODELS}
+    members["stack"] = ens.blend_weighted(p, ens.auc_weights(p))
+    return ens.blend_fixed(members, FIXED_WEIGHTS).select("id", r6("p"))
+
+
+@query("stack_matrix")
+def q_stack_matrix(spark, sf):
+    return ens.stack_matrix(views.preds(spark, sf), MODELS).select("id", "fold", "target", *MODELS)
+
+
+@query("blend_search")
+def q_blend_search(spark, sf):
+    cands = ens.candidates(MODELS, N_CANDIDATES, CANDIDATE_SEED)
+    out = ens.blend_search(views.preds_wide(spark, sf), MODELS, cands)
+    return out.select("candidate", *[r6(f"w_{m}") for m in MODELS], r6("auc"), "best")
+
+
+@query("fold_average")
+def q_fold_average(spark, sf):
+    """Test prediction = mean over the k fold models, each a smoothed target-mean model of
+    ``city`` fitted on the other folds. The mean depends on the key only, so it is computed
+    per key (a small table) and joined back instead of scoring every row k times."""
+    tf = views.telemetry_folds(spark, sf)
+    per_fold = target_encode_state_per_fold(tf, "city", k=5)
+    per_key = per_fold.groupBy("city").agg(F.avg("enc").alias("p"))
+    g = per_fold.select("gm_avg").first()
+    out = fx.encode_with(tf.select("id", "city"), per_key, "city", "p")
+    return out.select("id", r6(F.coalesce(F.col("p"), F.lit(g["gm_avg"])), "p"))
+
+
+def target_encode_state_per_fold(df, key, k=5, smoothing=10.0):
+    """(key, fold, enc) for every key and fold model f: smoothed mean of rows outside fold f,
+    global mean (of rows outside f) for a key absent there. One aggregation, one window."""
+    y = F.col("target").cast("double")
+    cells = df.where(F.col(key).isNotNull()).groupBy(key, "fold").agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
+    folds_tot = df.groupBy("fold").agg(F.sum(y).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
+    tot = df.agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
+    gms = {r["fold"]: (tot["s"] - r["_fs"]) / (tot["n"] - r["_fn"]) for r in folds_tot.collect()}
+    keys = cells.select(key).distinct()
+    grid = keys.select(key, F.explode(F.array(*[F.lit(f) for f in range(k)])).alias("fold"))
+    from pyspark.sql import Window
+    wk = Window.partitionBy(key)
+    st = (grid.join(cells, [key, "fold"], "left").fillna(0, subset=["_s", "_n"])
+          .select(key, "fold", (F.sum("_s").over(wk) - F.col("_s")).alias("_os"),
+                  (F.sum("_n").over(wk) - F.col("_n")).alias("_on")))
+    gm_map = F.create_map(*[x for f, g in gms.items() for x in (F.lit(f), F.lit(float(g)))])
+    gm = gm_map[F.col("fold")]
+    enc = (F.lit(smoothing) * gm + F.coalesce(F.try_divide(F.col("_os"), F.col("_on").cast("double")), gm)) \
+        / F.lit(smoothing + 1.0)
+    gm_avg = float(sum(((smoothing * g + g) / (smoothing + 1.0)) for g in gms.values()) / len(gms))
+    return st.select(key, "fold", enc.alias("enc"), F.lit(gm_avg).alias("gm_avg"))
+
+
+@query("median_prune")
+def q_median_prune(spark, sf):
+    cands = ens.candidates(MODELS, N_TRIALS, TRIAL_SEED)
+    return srch.median_prune(srch.trial_table(views.preds_wide(spark, sf), MODELS, cands), startup=10)
+
+
+@query("best_trial")
+def q_best_trial(spark, sf):
+    cands = ens.candidates(MODELS, N_TRIALS, TRIAL_SEED)
+    return srch.best_trial(srch.trial_table(views.preds_wide(spark, sf), MODELS, cands)) \
+               .select("trial", r6("auc"))
+
+
+@query("sample_n")
+def q_sample_n(spark, sf):
+    return sample_n(views.telemetry(spark, sf), 500, seed=42).select("id")
+
+
+# ---------------------------------------------------------------- explanation
+
+ATTR_COLS = ["amount", "balance", "date_as_year", "date_as_month", "date_as_day", "date_os_age_days"]
+# Coefficients of the three linear members and of the meta-learner.
+MEMBER_COEFS = {
+    "lgb": [0.8, -0.5, 0.3, 0.2, -0.1, 0.05],
+    "cat": [0.4, 0.6, -0.2, 0.1, 0.3, -0.05],
+    "xgb": [-0.3, 0.2, 0.5, -0.4, 0.1, 0.02],
+}
+META_COEFS = {"lgb": 0.6, "cat": 0.3, "xgb": 0.1}
+TOP_N = 3
+
+
+def attribution_matrix(spark, sf):
+    t = views.telemetry(spark, sf)
+    return t_spec().fit(t).transform(t, keep=("id",), wide=True).select("id", *ATTR_COLS)
+
+
+def attribution(spark, sf):
+    """(id, model, feature_idx, value, phi) for the three linear members, plus the feature means."""
+    x = attribution_matrix(spark, sf).cache()
+    means = xp.feature_means(x, ATTR_COLS)
+    return xp.linear_shap(x, ATTR_COLS, MEMBER_COEFS, means=means), means
+
+
+def attribution_lineage(spark):
+    return spark.createDataFrame([(i, c) for i, c in enumerate(ATTR_COLS)], "idx int, name string")
+
+
+@query("linear_shap")
+def q_linear_shap(spark, sf):
+    a, _ = attribution(spark, sf)
+    return a.select("id", "model", "feature_idx", r6("phi"))
+
+
+@query("mean_abs_attribution")
+def q_mean_abs_attribution(spark, sf):
+    a, _ = attribution(spark, sf)
+    m = xp.mean_abs(a.where(F.col("model") == "lgb"))
+    return xp.name_features(m, attribution_lineage(spark)).select("feature_idx", "feature_name", r6("mean_abs"))
+
+
+@query("importance_mapped")
+def q_importance_mapped(spark, sf):
+    a, _ = attribution(spark, sf)
+    r = xp.ranked_importance(a.where(F.col("model") == "lgb"), attribution_lineage(spark))
+    return r.select("rank", "feature", "feature_name", r6("mean_abs"))
+
+
+@query("top_features")
+def q_top_features(spark, sf):
+    a, _ = attribution(spark, sf)
+    r = xp.ranked_importance(a.where(F.col("model") == "lgb"), attribution_lineage(spark))
+    return r.where(F.col("rank") <= TOP_N).select("rank", "feature_name", r6("mean_abs"))
+
+
+@query("stacked_attribution")
+def q_stacked_attribution(spark, sf):
+    a, _ = attribution(spark, sf)
+    return xp.stacked(a, META_COEFS).select("id", "feature_idx", r6("phi"))
+
+
+@query("local_waterfall")
+def q_local_waterfall(spark, sf):
+    a, means = attribution(spark, sf)
+    base = xp.base_value(ATTR_COLS, MEMBER_COEFS["lgb"], means)
+    w = xp.waterfall(a.where(F.col("model") == "lgb"), base)
+    return w.select("id", "step", "feature_idx", r6("phi"), r6("running"))
+
+
+@query("attribution_summary")
+def q_attribution_summary(spark, sf):
+    a, _ = attribution(spark, sf)
+    return a.where(F.col("model") == "lgb").select("id", "feature_idx", r6("value"), r6("phi"))
+
+
+@query("importance_mean")
+def q_importance_mean(spark, sf):
+    """F8: per-fold importance (mean |phi| of the lgb member on the fold's rows), averaged
+    over folds, named through the lineage."""
+    a, _ = attribution(spark, sf)
+    folds_ = views.telemetry_folds(spark, sf).select("id", "fold")
+    per_fold = (a.where(F.col("model") == "lgb").join(folds_, "id")
+                .groupBy("fold", "feature_idx").agg(F.avg(F.abs("phi")).alias("imp")))
+    mean = per_fold.groupBy("feature_idx").agg(F.avg("imp").alias("importance"))
+    named = xp.name_features(mean, attribution_lineage(spark))
+    return named.select("feature_name", r6("importance"))
+
+
+# ---------------------------------------------------------------- scoring (Q) and checks
+
+@query("risk_band")
+def q_risk_band(spark, sf):
+    return views.preds(spark, sf).select("id", "model", sc.risk_band(F.col("p")).alias("band"))
+
+
+@query("recommendation")
+def q_recommendation(spark, sf):
+    p = views.preds(spark, sf)
+    return p.select("id", "model", sc.recommendation(sc.risk_band(F.col("p"))).alias("recommendation"))
+
+
+@query("submission_check")
+def q_submission_check(spark, sf):
+    return sch.submission_check(views.preds(spark, sf), views.telemetry(spark, sf), "id", ["model"]) \
+              .select("model", "n_missing", "n_extra", "ok")
+
+
+# ---------------------------------------------------------------- learning curve
+
+def shrinkage_curve(spark, sf, iters: int = 200):
+    """Log loss of the lgb member's scores shrunk toward 0.5 by t = iter / 100, over scores
+    binned to 1e-4 (at most 2 x 10001 cells, so the curve costs O(cells x iters))."""
+    p = views.preds(spark, sf).where(F.col("model") == "lgb")
+    cells = (p.groupBy("target", (F.floor(F.col("p") * F.lit(10000.0)) / F.lit(10000.0)).alias("pb"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    it = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter"))
+    q = F.lit(0.5) + (F.col("pb") - F.lit(0.5)) * F.col("iter") / F.lit(100.0)
+    q = F.least(F.greatest(q, F.lit(1e-15)), F.lit(1.0 - 1e-15))
+    y = F.col("target").cast("double")
+    ll = -(y * F.log(q) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - q)) * F.col("n")
+    return it.groupBy("iter").agg((F.sum(ll) / F.sum("n")).alias("loss"))
+
+
+@query("learning_curve_best")
+def q_learning_curve_best(spark, sf):
+    out = metrics.learning_curve_best(shrinkage_curve(spark, sf))
+    return out.select("best_iter", r6("best_loss"), "last_iter", "rounds_since_best")

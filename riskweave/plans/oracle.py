@@ -200,6 +200,234 @@ ORACLE["align_schema"] = TB + """SELECT id, target, amount, CAST(NULL AS DOUBLE)
        account, city, date_as, date_os FROM t"""
 
 
+
+# ---------------------------------------------------------------- profiling
+
+_T_COLS = [("id", "bigint"), ("target", "int"), ("amount", "double"), ("balance", "double"),
+           ("segment", "string"), ("priority", "string"), ("nation", "string"), ("account", "string"),
+           ("city", "string"), ("date_as", "string"), ("date_os", "string")]
+
+ORACLE["null_counts"] = TB + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS n_missing FROM t"
+    for c, _ in _T_COLS)
+
+ORACLE["null_fraction"] = TB + "SELECT column_name, {R6_}(fraction) AS fraction FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS fraction FROM t"
+    for c, _ in _T_COLS) + ") ORDER BY fraction DESC, column_name LIMIT 20"
+
+ORACLE["nunique"] = TB + "SELECT * FROM (" + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_unique FROM t"
+    for c, ty in _T_COLS if ty == "string") + ") ORDER BY n_unique DESC, column_name LIMIT 50"
+
+ORACLE["table_info"] = TB + "\nUNION ALL ".join(
+    f"SELECT '{c}' AS column_name, '{ty}' AS dtype, CAST(count({c}) AS BIGINT) AS non_null, "
+    f"CAST(count(*) AS BIGINT) AS n_rows FROM t" for c, ty in _T_COLS)
+
+ORACLE["value_counts"] = TB + "SELECT segment AS value, count(*) AS n FROM t WHERE segment IS NOT NULL GROUP BY segment"
+
+ORACLE["value_share"] = TB + """SELECT value, {R6_}(n / sum(n) OVER ()) AS share
+FROM (SELECT target AS value, CAST(count(*) AS DOUBLE) AS n FROM t GROUP BY target)"""
+
+DOCS = """docs AS (
+  SELECT doc_id, CAST(length(text) AS BIGINT) AS text_len,
+         CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS BIGINT) AS word_count
+  FROM documents
+)"""
+
+ORACLE["text_lengths"] = with_sql(DOCS) + "SELECT doc_id, text_len, word_count FROM docs"
+
+ORACLE["histogram"] = with_sql(DOCS) + """,
+mm AS (SELECT CAST(min(text_len) AS DOUBLE) AS mn, CAST(max(text_len) AS DOUBLE) AS mx FROM docs),
+b AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((CAST(text_len AS DOUBLE) - mn) / (mx - mn) * 50.0), 49) END AS INTEGER) AS bin
+      FROM docs, mm)
+SELECT bin, {R6_}(mn + bin * CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 1.0 END) AS lo,
+       {R6_}(mn + (bin + 1) * CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 1.0 END) AS hi, count(*) AS n
+FROM b, mm GROUP BY bin, mn, mx"""
+
+ORACLE["box_stats"] = with_sql(DOCS) + """,
+d AS (SELECT docs.*, labels.toxic FROM docs JOIN labels USING (doc_id)),
+q AS (SELECT toxic, quantile_cont(word_count, 0.25) AS q1, quantile_cont(word_count, 0.5) AS med,
+             quantile_cont(word_count, 0.75) AS q3 FROM d GROUP BY toxic),
+f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT f.toxic, {R6_}(q1) AS q1, {R6_}(med) AS median, {R6_}(q3) AS q3, {R6_}(iqr) AS iqr,
+       {R6_}(min(CASE WHEN word_count BETWEEN lo AND hi THEN word_count END)) AS whisker_lo,
+       {R6_}(max(CASE WHEN word_count BETWEEN lo AND hi THEN word_count END)) AS whisker_hi,
+       CAST(count(*) FILTER (WHERE NOT (word_count BETWEEN lo AND hi)) AS BIGINT) AS n_outliers,
+       CAST(count(word_count) AS BIGINT) AS n
+FROM d JOIN f USING (toxic) GROUP BY f.toxic, q1, med, q3, iqr"""
+
+
+# ---------------------------------------------------------------- ensembling and search
+
+from riskweave.operators.ensemble import candidates as _cands  # noqa: E402
+
+_MODELS = ["lgb", "cat", "xgb"]
+
+
+def _d(x: float) -> str:
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
+AUCW = "aucw AS (SELECT model, auc, auc / sum(auc) OVER () AS weight FROM (" + auc_sql("preds", ["model"]) + ") a)"
+
+ORACLE["auc_weights"] = BASE + ",\n" + AUCW + "\nSELECT model, {R6_}(auc) AS auc, {R6_}(weight) AS weight FROM aucw"
+
+ORACLE["blend_weighted"] = BASE + ",\n" + AUCW + """
+SELECT id, {R6_}(sum(weight * p)) AS p FROM preds JOIN aucw USING (model) GROUP BY id"""
+
+ORACLE["blend_fixed"] = BASE + ",\n" + AUCW + """,
+stack AS (SELECT id, sum(weight * p) AS p FROM preds JOIN aucw USING (model) GROUP BY id)
+SELECT s.id, {R6_}(""" + f"{_d(0.5)} * s.p + {_d(0.3)} * pw.cat + {_d(0.15)} * pw.lgb + {_d(0.05)} * pw.xgb" + """) AS p
+FROM stack s JOIN pw ON s.id = pw.id"""
+
+ORACLE["stack_matrix"] = BASE + "SELECT id, fold, target, lgb, cat, xgb FROM pw"
+
+
+def _cand_scores(cands, name="cs"):
+    rows = "\nUNION ALL ".join(
+        f"SELECT id, fold, target, {i} AS candidate, "
+        + " + ".join(f"{_d(w[m])} * {m}" for m in _MODELS) + " AS score FROM pw"
+        for i, w in enumerate(cands))
+    return f"{name} AS ({rows})"
+
+
+_C = _cands(_MODELS, 20, 42)
+_CW = "cw AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, " + ", ".join(_d(w[m]) for m in _MODELS) + ")" for i, w in enumerate(_C)) + \
+    ") v(candidate, w_lgb, w_cat, w_xgb))"
+ORACLE["blend_search"] = BASE + ",\n" + _cand_scores(_C) + ",\n" + _CW + """,
+a AS (""" + auc_sql("cs", ["candidate"], score="score") + """)
+SELECT a.candidate, {R6_}(w_lgb) AS w_lgb, {R6_}(w_cat) AS w_cat, {R6_}(w_xgb) AS w_xgb, {R6_}(auc) AS auc,
+       row_number() OVER (ORDER BY auc DESC, a.candidate) = 1 AS best
+FROM a JOIN cw USING (candidate)"""
+
+_TR = _cands(_MODELS, 30, 7)
+TRIALS = _cand_scores(_TR) + ",\ntrials AS (SELECT candidate AS trial, fold, auc FROM (" + \
+    auc_sql("cs", ["candidate", "fold"], score="score") + ") a)"
+
+ORACLE["median_prune"] = BASE + ",\n" + TRIALS + """,
+rep AS (SELECT trial, fold, round(avg(auc) OVER (PARTITION BY trial ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1e9) / 1e9 AS report FROM trials),
+fl AS (SELECT trial, fold,
+              max(report) OVER (PARTITION BY trial ORDER BY fold ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best,
+              median(report) OVER (PARTITION BY fold ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS med,
+              count(*) OVER (PARTITION BY fold ORDER BY trial ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n_before
+       FROM rep)
+SELECT tr.trial, CAST(min(fl.fold) AS INTEGER) AS pruned_at
+FROM (SELECT DISTINCT trial FROM trials) tr
+LEFT JOIN fl ON tr.trial = fl.trial AND fl.n_before >= 10 AND fl.best < fl.med
+GROUP BY tr.trial"""
+
+ORACLE["best_trial"] = BASE + ",\n" + TRIALS + """
+SELECT trial, {R6_}(avg(auc)) AS auc FROM trials GROUP BY trial ORDER BY avg(auc) DESC, trial LIMIT 1"""
+
+ORACLE["fold_average"] = BASE + """,
+tot AS (SELECT sum(target) AS s, count(*) AS n FROM tf),
+fg AS (SELECT fold, CAST(tot.s - sum(target) AS DOUBLE) / (tot.n - count(*)) AS gm FROM tf, tot GROUP BY fold, tot.s, tot.n),
+cells AS (SELECT city, fold, sum(target) AS s, count(*) AS n FROM tf WHERE city IS NOT NULL GROUP BY city, fold),
+grid AS (SELECT k.city, f.fold FROM (SELECT DISTINCT city FROM cells) k, (SELECT DISTINCT fold FROM fg) f),
+st AS (SELECT g.city, g.fold,
+              sum(coalesce(c.s, 0)) OVER (PARTITION BY g.city) - coalesce(c.s, 0) AS os,
+              sum(coalesce(c.n, 0)) OVER (PARTITION BY g.city) - coalesce(c.n, 0) AS on_
+       FROM grid g LEFT JOIN cells c ON g.city = c.city AND g.fold = c.fold),
+enc AS (SELECT st.city, avg((10 * fg.gm + coalesce(CASE WHEN on_ > 0 THEN CAST(os AS DOUBLE) / on_ END, fg.gm)) / 11) AS p
+        FROM st JOIN fg USING (fold) GROUP BY st.city),
+gavg AS (SELECT avg((10 * gm + gm) / 11) AS g FROM fg)
+SELECT tf.id, {R6_}(coalesce(enc.p, gavg.g)) AS p FROM tf CROSS JOIN gavg LEFT JOIN enc ON tf.city = enc.city"""
+
+ORACLE["sample_n"] = TB + "SELECT id FROM t ORDER BY md5('42:' || CAST(id AS VARCHAR)), id LIMIT 500"
+
+
+# ---------------------------------------------------------------- explanation
+
+_ATTR = ["amount", "balance", "date_as_year", "date_as_month", "date_as_day", "date_os_age_days"]
+_COEFS = {"lgb": [0.8, -0.5, 0.3, 0.2, -0.1, 0.05], "cat": [0.4, 0.6, -0.2, 0.1, 0.3, -0.05],
+          "xgb": [-0.3, 0.2, 0.5, -0.4, 0.1, 0.02]}
+_META = {"lgb": 0.6, "cat": 0.3, "xgb": 0.1}
+
+XMAT = """f AS (SELECT id, coalesce(amount, (SELECT median(amount) FROM t)) AS a,
+              coalesce(balance, (SELECT median(balance) FROM t)) AS b, date_as, date_os FROM t),
+mo AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM f),
+mx AS (SELECT max(try_cast(date_os AS TIMESTAMP)) AS mos FROM t),
+x AS (SELECT id,
+  (a - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END AS amount,
+  (b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END AS balance,
+  CAST(coalesce(year(try_cast(date_as AS TIMESTAMP)), 0) AS DOUBLE) AS date_as_year,
+  CAST(coalesce(month(try_cast(date_as AS TIMESTAMP)), 0) AS DOUBLE) AS date_as_month,
+  CAST(coalesce(day(try_cast(date_as AS TIMESTAMP)), 0) AS DOUBLE) AS date_as_day,
+  CAST(coalesce(floor(date_diff('microsecond', try_cast(date_os AS TIMESTAMP), mos) / 86400000000), 999999) AS DOUBLE) AS date_os_age_days
+  FROM f, mo, mx),
+xm AS (SELECT """ + ", ".join(f"avg({c}) AS m{j}" for j, c in enumerate(_ATTR)) + """ FROM x),
+attr AS (""" + "\nUNION ALL ".join(
+    f"SELECT id, '{m}' AS model, {j} AS feature_idx, {c} AS value, {_d(cs[j])} * ({c} - m{j}) AS phi FROM x, xm"
+    for m, cs in _COEFS.items() for j, c in enumerate(_ATTR)) + """),
+lin AS (SELECT * FROM (VALUES """ + ", ".join(f"({j}, '{c}')" for j, c in enumerate(_ATTR)) + """) v(idx, name))"""
+
+XB = with_sql(T_SQL, XMAT)
+
+ORACLE["linear_shap"] = XB + "SELECT id, model, feature_idx, {R6_}(phi) AS phi FROM attr"
+
+ORACLE["mean_abs_attribution"] = XB + """SELECT feature_idx, lin.name AS feature_name, {R6_}(avg(abs(phi))) AS mean_abs
+FROM attr LEFT JOIN lin ON attr.feature_idx = lin.idx WHERE model = 'lgb' GROUP BY feature_idx, lin.name"""
+
+_RANKED = """ranked AS (SELECT CAST(row_number() OVER (ORDER BY ma DESC, feature_idx) AS INTEGER) AS rank,
+                    'f' || CAST(feature_idx AS VARCHAR) AS feature, lin.name AS feature_name, ma AS mean_abs
+             FROM (SELECT feature_idx, avg(abs(phi)) AS ma FROM attr WHERE model = 'lgb' GROUP BY feature_idx) m
+             LEFT JOIN lin ON m.feature_idx = lin.idx)"""
+
+ORACLE["importance_mapped"] = XB + ",\n" + _RANKED + "\nSELECT rank, feature, feature_name, {R6_}(mean_abs) AS mean_abs FROM ranked"
+
+ORACLE["top_features"] = XB + ",\n" + _RANKED + "\nSELECT rank, feature_name, {R6_}(mean_abs) AS mean_abs FROM ranked WHERE rank <= 3"
+
+ORACLE["stacked_attribution"] = XB + """,
+mc AS (SELECT * FROM (VALUES """ + ", ".join(f"('{m}', {_d(c)})" for m, c in _META.items()) + """) v(model, coef))
+SELECT id, feature_idx, {R6_}(sum(coef * phi)) AS phi FROM attr JOIN mc USING (model) GROUP BY id, feature_idx"""
+
+_BASE = " + ".join(f"{_d(c)} * m{j}" for j, c in enumerate(_COEFS["lgb"]))
+ORACLE["local_waterfall"] = XB + """
+SELECT id, CAST(row_number() OVER w AS INTEGER) AS step, feature_idx, {R6_}(phi) AS phi,
+       {R6_}((""" + _BASE + """) + sum(phi) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS running
+FROM attr, xm WHERE model = 'lgb'
+WINDOW w AS (PARTITION BY id ORDER BY abs(phi) DESC, feature_idx)"""
+
+ORACLE["attribution_summary"] = XB + "SELECT id, feature_idx, {R6_}(value) AS value, {R6_}(phi) AS phi FROM attr WHERE model = 'lgb'"
+
+ORACLE["importance_mean"] = with_sql(T_SQL, FOLDS_SQL, XMAT) + """
+SELECT lin.name AS feature_name, {R6_}(avg(imp)) AS importance
+FROM (SELECT tf.fold, feature_idx, avg(abs(phi)) AS imp FROM attr JOIN tf USING (id) WHERE model = 'lgb'
+      GROUP BY tf.fold, feature_idx) pf
+LEFT JOIN lin ON pf.feature_idx = lin.idx GROUP BY feature_idx, lin.name"""
+
+
+# ---------------------------------------------------------------- scoring and checks
+
+_BAND = "CASE WHEN p >= 0.75 THEN 'High' WHEN p >= 0.4 THEN 'Medium' ELSE 'Low' END"
+ORACLE["risk_band"] = BASE + f"SELECT id, model, {_BAND} AS band FROM preds"
+
+ORACLE["recommendation"] = BASE + f"""SELECT id, model, CASE {_BAND}
+  WHEN 'High' THEN 'Immediate action recommended. Run full scan.'
+  WHEN 'Medium' THEN 'Monitor system closely. Update definitions.'
+  ELSE 'System appears healthy.' END AS recommendation FROM preds"""
+
+ORACLE["submission_check"] = BASE + """,
+ids AS (SELECT DISTINCT id FROM t),
+have AS (SELECT DISTINCT model, id FROM preds),
+present AS (SELECT h.model, count(*) AS n FROM have h JOIN ids USING (id) GROUP BY h.model),
+extra AS (SELECT h.model, count(*) AS n FROM have h ANTI JOIN ids USING (id) GROUP BY h.model),
+c AS (SELECT m.model, CAST((SELECT count(*) FROM ids) - coalesce(present.n, 0) AS BIGINT) AS n_missing,
+             CAST(coalesce(extra.n, 0) AS BIGINT) AS n_extra
+      FROM (SELECT DISTINCT model FROM preds) m LEFT JOIN present USING (model) LEFT JOIN extra USING (model))
+SELECT model, n_missing, n_extra, n_missing = 0 AND n_extra = 0 AS ok FROM c"""
+
+ORACLE["learning_curve_best"] = BASE + """,
+cells AS (SELECT target, floor(p * 10000.0) / 10000.0 AS pb, count(*) AS n FROM preds WHERE model = 'lgb' GROUP BY ALL),
+it AS (SELECT cells.*, i AS iter FROM cells, range(200) r(i)),
+q AS (SELECT iter, target, n, least(greatest(0.5 + (pb - 0.5) * iter / 100.0, 1e-15), 1 - 1e-15) AS q FROM it),
+curve AS (SELECT iter, sum(-(target * ln(q) + (1 - target) * ln(1 - q)) * n) / sum(n) AS loss FROM q GROUP BY iter)
+SELECT CAST(arg_min(iter, (loss, iter)) AS BIGINT) AS best_iter, {R6_}(min(loss)) AS best_loss,
+       CAST(max(iter) AS BIGINT) AS last_iter, CAST(max(iter) - arg_min(iter, (loss, iter)) AS BIGINT) AS rounds_since_best
+FROM curve"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("
