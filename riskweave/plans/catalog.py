@@ -533,3 +533,110 @@ def shrinkage_curve(spark, sf, iters: int = 200):
 def q_learning_curve_best(spark, sf):
     out = metrics.learning_curve_best(shrinkage_curve(spark, sf))
     return out.select("best_iter", r6("best_loss"), "last_iter", "rounds_since_best")
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+import uuid  # noqa: E402
+
+from pyspark.sql import types as T  # noqa: E402
+
+from riskweave.session import scratch_path  # noqa: E402
+from riskweave.sources import payloads as pl  # noqa: E402
+from riskweave.sources.tables import read_table, write_table  # noqa: E402
+
+
+def _roundtrip_summary(df):
+    return df.agg(F.count(F.lit(1)).alias("n"), F.count("amount").alias("n_amount"),
+                  r6(F.sum("amount"), "sum_amount"), r6(F.sum("balance"), "sum_balance"),
+                  F.count("segment").alias("n_segment"), F.count("city").alias("n_city"),
+                  F.count("date_os").alias("n_date_os"), F.sum("target").cast("long").alias("sum_target"))
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf):
+    """A1/A2: write T as header CSV (no index) to the shared scratch folder, read it back with
+    the explicit schema (no inference scan) and summarise."""
+    t = views.telemetry(spark, sf)
+    path = scratch_path(spark, f"csv_roundtrip/{uuid.uuid4().hex}")
+    write_table(t, path, fmt="csv")
+    back = read_table(spark, path, schema=t.schema, fmt="csv")
+    return _roundtrip_summary(back)
+
+
+@query("run_summary")
+def q_run_summary(spark, sf):
+    """A3: the run summary record (rows, detected column counts, pooled OOF AUC of lgb)."""
+    t = views.telemetry(spark, sf)
+    m = t_spec().fit(t)
+    s = m.state
+    auc = metrics.roc_auc(views.preds(spark, sf).where(F.col("model") == "lgb"))
+    n = t.count()
+    return auc.select(F.lit(n).cast("long").alias("n_rows"), F.lit(len(s.numeric)).alias("n_num"),
+                      F.lit(len(s.low_card)).alias("n_low"), F.lit(len(s.high_card)).alias("n_high"),
+                      F.lit(len(s.dates)).alias("n_date"), r6("auc"))
+
+
+PAYLOAD_FIELDS = T.StructType([T.StructField("k", T.LongType())])
+
+
+def payload_requests(spark, sf):
+    """Request bodies derived from ``events.props``: single instance, list, bare object,
+    unknown field, missing field, malformed text and a JSON array, by event_id mod 12."""
+    ev = load(spark, sf, "events").select("event_id", "props")
+    k = F.get_json_object("props", "$.k")
+    v = F.pmod(F.col("event_id"), F.lit(12))
+    body = (F.when(v.isin(0, 6), F.concat(F.lit('{"instance": '), "props", F.lit("}")))
+            .when(v.isin(1, 7), F.concat(F.lit('{"instances": ['), "props", F.lit(", "), "props", F.lit("]}")))
+            .when(v.isin(2, 8), F.col("props"))
+            .when(v.isin(3, 9), F.concat(F.lit('{"instance": {"k": '), k, F.lit(', "extra_field": 1}}')))
+            .when(v.isin(4, 10), F.lit('{"instance": {"other": 1}}'))
+            .when(v == 5, F.concat(F.lit('{"instance": '), "props"))
+            .otherwise(F.concat(F.lit("["), "props", F.lit("]"))))
+    return ev.select("event_id", body.alias("payload"))
+
+
+@query("payload_parse")
+def q_payload_parse(spark, sf):
+    ev = load(spark, sf, "events").select("event_id", "props")
+    return ev.select("event_id", F.from_json("props", PAYLOAD_FIELDS)["k"].alias("k"))
+
+
+@query("payload_errors")
+def q_payload_errors(spark, sf):
+    parsed = pl.parse_requests(payload_requests(spark, sf), "payload", PAYLOAD_FIELDS)
+    ok = F.col("error").isNull()
+    return parsed.select(
+        "event_id",
+        F.when(ok, F.size("instances")).alias("n_instances"),
+        F.when(ok, F.aggregate("instances", F.lit(0).cast("long"),
+                               lambda acc, x: acc + F.coalesce(x["k"], F.lit(0).cast("long")))).alias("k_sum"),
+        "error")
+
+
+@query("score_response")
+def q_score_response(spark, sf):
+    """Q2: one JSON response per request of ten consecutive ids (lgb member), predictions in
+    id order: {"n":..,"predictions":[{"probability":..,"risk":..}, ...]}."""
+    p = views.preds(spark, sf).where(F.col("model") == "lgb").select("id", "p")
+    items = F.struct("id", F.concat(F.lit('{"probability":'), F.format_string("%.6f", r6(F.col("p"))),
+                                    F.lit(',"risk":"'), sc.risk_band(F.col("p")), F.lit('"}')).alias("j"))
+    g = p.groupBy(F.floor(F.col("id") / 10).cast("long").alias("request_id")).agg(
+        F.array_sort(F.collect_list(items)).alias("items"))
+    body = F.concat(F.lit('{"n":'), F.size("items").cast("string"), F.lit(',"predictions":['),
+                    F.array_join(F.transform("items", lambda x: x["j"]), ","), F.lit("]}"))
+    return g.select("request_id", body.alias("response"))
+
+
+@query("artifact_registry")
+def q_artifact_registry(spark, sf):
+    """Write OOF and submission files per member (partitioned folders), then discover
+    them from file metadata: rows per file, usable when a member's rows equal the ids."""
+    pr = views.preds(spark, sf)
+    root = scratch_path(spark, f"artifacts/{uuid.uuid4().hex}")
+    (pr.select("model", F.lit("oof").alias("kind"), "id", "target", F.col("p").alias("oof_pred"))
+     .write.partitionBy("kind", "model").parquet(root))
+    (pr.select("model", F.lit("submission").alias("kind"), "id", F.col("p").alias("target"))
+     .write.mode("append").partitionBy("kind", "model").parquet(root))
+    from riskweave.sources.artifacts import registry
+    return registry(spark, root, views.telemetry(spark, sf).count())

@@ -428,6 +428,57 @@ SELECT CAST(arg_min(iter, (loss, iter)) AS BIGINT) AS best_iter, {R6_}(min(loss)
 FROM curve"""
 
 
+
+# ---------------------------------------------------------------- sources, payloads, responses
+
+ORACLE["csv_roundtrip"] = TB + """SELECT count(*) AS n, count(amount) AS n_amount, {R6_}(sum(amount)) AS sum_amount,
+       {R6_}(sum(balance)) AS sum_balance, count(segment) AS n_segment, count(city) AS n_city,
+       count(date_os) AS n_date_os, CAST(sum(target) AS BIGINT) AS sum_target FROM t"""
+
+ORACLE["run_summary"] = BASE + """SELECT (SELECT count(*) FROM t) AS n_rows, 2 AS n_num,
+  (""" + " + ".join(f"CAST({_nd(c)} < 30 AS INTEGER)" for c in _STRS) + """) AS n_low,
+  (""" + " + ".join(f"CAST({_nd(c)} >= 30 AS INTEGER)" for c in _STRS) + """) AS n_high,
+  2 AS n_date, {R6_}(auc) AS auc
+FROM (""" + auc_sql("(SELECT * FROM preds WHERE model = 'lgb')", []) + ") a"
+
+ORACLE["payload_parse"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events"
+
+PAYLOADS = """req AS (
+  SELECT event_id, CASE
+    WHEN event_id % 12 IN (0, 6) THEN '{"instance": ' || props || '}'
+    WHEN event_id % 12 IN (1, 7) THEN '{"instances": [' || props || ', ' || props || ']}'
+    WHEN event_id % 12 IN (2, 8) THEN props
+    WHEN event_id % 12 IN (3, 9) THEN '{"instance": {"k": ' || json_extract_string(props, '$.k') || ', "extra_field": 1}}'
+    WHEN event_id % 12 IN (4, 10) THEN '{"instance": {"other": 1}}'
+    WHEN event_id % 12 = 5 THEN '{"instance": ' || props
+    ELSE '[' || props || ']' END AS payload
+  FROM events
+),
+cls AS (
+  SELECT event_id, payload,
+         CASE WHEN NOT json_valid(payload) THEN 'invalid JSON'
+              WHEN json_type(payload) <> 'OBJECT' THEN 'provide instance or instances' END AS error
+  FROM req
+)"""
+
+ORACLE["payload_errors"] = with_sql(PAYLOADS) + """SELECT event_id,
+  CAST(CASE WHEN error IS NULL THEN CASE
+        WHEN json_exists(payload, '$.instance') THEN 1
+        WHEN json_exists(payload, '$.instances') THEN json_array_length(payload, '$.instances')
+        ELSE 1 END END AS INTEGER) AS n_instances,
+  CAST(CASE WHEN error IS NULL THEN CASE
+        WHEN json_exists(payload, '$.instance') THEN coalesce(CAST(json_extract(payload, '$.instance.k') AS BIGINT), 0)
+        WHEN json_exists(payload, '$.instances') THEN list_sum(list_transform(CAST(json_extract(payload, '$.instances[*].k') AS BIGINT[]), lambda x: coalesce(x, 0)))
+        ELSE coalesce(CAST(json_extract(payload, '$.k') AS BIGINT), 0) END END AS BIGINT) AS k_sum,
+  error
+FROM cls"""
+
+ORACLE["score_response"] = BASE + """SELECT CAST(floor(id / 10) AS BIGINT) AS request_id,
+  '{"n":' || CAST(count(*) AS VARCHAR) || ',"predictions":[' ||
+  string_agg('{"probability":' || printf('%.6f', {R6_}(p)) || ',"risk":"' || """ + _BAND + """ || '"}', ',' ORDER BY id) || ']}' AS response
+FROM preds WHERE model = 'lgb' GROUP BY floor(id / 10)"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("
