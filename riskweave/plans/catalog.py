@@ -640,3 +640,34 @@ def q_artifact_registry(spark, sf):
      .write.mode("append").partitionBy("kind", "model").parquet(root))
     from riskweave.sources.artifacts import registry
     return registry(spark, root, views.telemetry(spark, sf).count())
+
+
+# ---------------------------------------------------------------- models (E3-E5, F1-F8), batch scoring (Q1)
+
+from riskweave.plans import training  # noqa: E402
+
+
+@query("oof_assembly")
+def q_oof_assembly(spark, sf):
+    """E4 with a logistic member on the full feature vector: each id once, with its fold."""
+    return training.oof_logistic(spark, sf).oof.select("id", "fold", "target", "p")
+
+
+@query("gbt_oof")
+def q_gbt_oof(spark, sf):
+    return training.oof_gbt(spark, sf, family="leafwise", max_iter=10).oof.select("id", "fold", "target", "p")
+
+
+@query("gbt_cat_oof")
+def q_gbt_cat_oof(spark, sf):
+    return training.oof_gbt_native_category(spark, sf, max_iter=10).oof.select("id", "fold", "target", "p")
+
+
+@query("stack_logistic")
+def q_stack_logistic(spark, sf):
+    return training.stack_logistic(spark, sf).select("id", "fold", "target", "p")
+
+
+@query("score_batch")
+def q_score_batch(spark, sf):
+    return training.score_batch(spark, sf).select("id", "p", "band")
