@@ -671,3 +671,14 @@ def q_stack_logistic(spark, sf):
 @query("score_batch")
 def q_score_batch(spark, sf):
     return training.score_batch(spark, sf).select("id", "p", "band")
+
+
+@query("tree_shap")
+def q_tree_shap(spark, sf):
+    """Path-dependent Tree SHAP of a GBT member over every row of T (log-odds space)."""
+    from riskweave.operators.treeshap import tree_shap
+    fm, x = training.featurised(spark, sf)
+    x = x.persist()
+    from riskweave.operators import models as ml
+    model = ml.refit(ml.gbt_leafwise(max_iter=10, maxDepth=4), x)
+    return tree_shap(x, model).select("id", "feature_idx", r6("phi"), r6("base"))
