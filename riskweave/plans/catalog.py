@@ -682,3 +682,33 @@ def q_tree_shap(spark, sf):
     from riskweave.operators import models as ml
     model = ml.refit(ml.gbt_leafwise(max_iter=10, maxDepth=4), x)
     return tree_shap(x, model).select("id", "feature_idx", r6("phi"), r6("base"))
+
+
+# ---------------------------------------------------------------- streaming scoring (Q5)
+
+def payload_model(spark, sf):
+    """Feature state + logistic model for request instances (field k), fitted on events:
+    target = event is an error."""
+    from pyspark.ml.classification import LogisticRegression
+    ev = load(spark, sf, "events").select(
+        "event_id", F.from_json("props", PAYLOAD_FIELDS)["k"].alias("k"),
+        (F.col("event_type") == "error").cast("int").alias("target"))
+    fm = FeatureSpec(id_cols=("event_id",), date_cols=(), target_col="target").fit(ev)
+    x = fm.transform(ev, keep=("target",)).withColumn("target", F.col("target").cast("double"))
+    model = LogisticRegression(maxIter=50, regParam=0.01, labelCol="target").fit(x)
+    return fm, model
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    """Q5: payload files scored by a Structured Streaming query (availableNow), read back."""
+    from riskweave.streaming.scoring import start_scoring_stream
+    fm, model = payload_model(spark, sf)
+    root = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    reqs = payload_requests(spark, sf).select(
+        F.to_json(F.struct(F.col("event_id").alias("request_id"), "payload")).alias("value"))
+    reqs.write.text(f"{root}/source")
+    q = start_scoring_stream(spark, f"{root}/source", f"{root}/sink", f"{root}/checkpoint",
+                             PAYLOAD_FIELDS, fm, model)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/sink/scored").select("request_id", "pos", "p", "band")
