@@ -101,7 +101,7 @@ def blend_search(wide: DataFrame, models: Sequence[str], cands: list[dict[str, f
     wt = wide.sparkSession.createDataFrame(
         [(i, *[c[m] for m in models]) for i, c in enumerate(cands)],
         "candidate int, " + ", ".join(f"w_{m} double" for m in models))
-    return (aucs.join(maybe_broadcast(wt), "candidate")
+    return (aucs.join(maybe_broadcast(wt, bound=len(cands)), "candidate")
             .withColumn("best", F.row_number().over(w) == 1))
 
 

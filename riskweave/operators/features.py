@@ -72,7 +72,7 @@ def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
     """D5 state: exact median of each column (mean of the middle two); None when all missing."""
     if not cols:
         return {}
-    q = exact_quantiles(long_form(df, [], cols), ["column_name"], "value", [0.5])
+    q = exact_quantiles(long_form(df, [], cols), ["column_name"], "value", [0.5], n_groups=len(cols))
     got = {r["column_name"]: r["value"] for r in q.collect()}
     return {c: got.get(c) for c in cols}
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.rank import maybe_broadcast, running_totals
+from riskweave.operators.rank import materialize, maybe_broadcast, running_totals
 
 EPS = 1e-15
 
@@ -60,8 +60,9 @@ def pr_curve(df: DataFrame, score_col: str = "p", label_col: str = "target",
     plus the closing point precision 1, recall 0 with a NULL threshold."""
     keys = list(group_cols) or ["_g"]
     src = df if group_cols else df.withColumn("_g", F.lit(0))
-    cells = _score_cells(src, score_col, label_col, keys).withColumn("_desc", -F.col("_s"))
-    cum = running_totals(cells, keys, ["_desc"], ["pos", "neg"], prefix="cum_", inclusive=True)
+    cells = materialize(_score_cells(src, score_col, label_col, keys).withColumn("_desc", -F.col("_s")))
+    cum = running_totals(cells, keys, ["_desc"], ["pos", "neg"], prefix="cum_", inclusive=True,
+                         materialized=True)
     # one row per group: bounded by the number of groups, counted before broadcasting
     totals = maybe_broadcast(cells.groupBy(*keys).agg(F.sum("pos").alias("_P")))
     pts = cum.join(totals, keys, "inner").select(

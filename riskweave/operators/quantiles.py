@@ -13,25 +13,29 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskweave.operators.rank import maybe_broadcast, running_totals
+from riskweave.operators.rank import materialize, maybe_broadcast, running_totals
 
 
 def exact_quantiles(df: DataFrame, group_cols: Sequence[str], value_col: str,
-                    probs: Sequence[float]) -> DataFrame:
-    """Rows (group..., prob, value); groups with no non-null value are absent."""
+                    probs: Sequence[float], n_groups: int | None = None) -> DataFrame:
+    """Rows (group..., prob, value); groups with no non-null value are absent. ``n_groups`` (when
+    the caller knows it, e.g. the number of columns) bounds the targets table for a broadcast."""
     keys = list(group_cols) or ["_g"]
+    if not group_cols:
+        n_groups = 1
     src = df if group_cols else df.withColumn("_g", F.lit(0))
     cells = (src.where(F.col(value_col).isNotNull() & ~F.isnan(F.col(value_col).cast("double")))
              .groupBy(*keys, F.col(value_col).cast("double").alias("_v"))
              .agg(F.count(F.lit(1)).alias("_c")))
-    cum = running_totals(cells, keys, ["_v"], ["_c"], prefix="_cum", inclusive=True)
+    cells = materialize(cells)
+    cum = running_totals(cells, keys, ["_v"], ["_c"], prefix="_cum", inclusive=True, materialized=True)
     prob_arr = F.array(*[F.lit(float(p)) for p in probs])
     targets = (cells.groupBy(*keys).agg(F.sum("_c").alias("_n"))
                .select(*keys, F.explode(prob_arr).alias("prob"), "_n")
                .withColumn("_h", (F.col("_n") - 1) * F.col("prob"))
                .withColumn("_lo", F.floor("_h").cast("long"))
                .withColumn("_hi", F.ceil("_h").cast("long")))
-    targets = maybe_broadcast(targets)
+    targets = maybe_broadcast(targets, bound=n_groups * len(probs) if n_groups else None)
     # value v covers 0-based ranks [cum - c, cum - 1]
     j = cum.join(targets, keys, "inner").where(
         ((F.col("_lo") >= F.col("_cum_c") - F.col("_c")) & (F.col("_lo") < F.col("_cum_c"))) |

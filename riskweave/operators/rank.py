@@ -48,20 +48,38 @@ def quantile_buckets(df: DataFrame, order_col: str, n_buckets: int | None = None
     return b.transform(df).withColumn(out_col, F.col(tmp).cast("int")).drop(tmp)
 
 
-def maybe_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Broadcast a derived table only after counting it; otherwise leave the join to AQE."""
-    return F.broadcast(small) if small.count() <= limit else small
+def maybe_broadcast(small: DataFrame, bound: int | None = None,
+                    limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
+    """Broadcast hint only when the caller proves a row bound (e.g. groups x probabilities).
+
+    Without a bound no hint is given: adaptive execution materialises the small side first and
+    turns the join into a broadcast join when its measured size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above it the shuffle join stays (and skew
+    join splitting applies). No extra counting job is run either way."""
+    return F.broadcast(small) if bound is not None and bound <= limit else small
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint into the shared checkpoint folder: later passes read the written
+    table (it survives executor loss) and the lineage above it is cut."""
+    from riskweave.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequence[str],
                    value_cols: Sequence[str], bucket: Column | None = None,
                    prefix: str = "cum_", inclusive: bool = True,
-                   bucket_on: str | None = None) -> DataFrame:
+                   bucket_on: str | None = None, materialized: bool = False) -> DataFrame:
     """Add ``<prefix><v>`` = sum of v over rows of the same group ordered before (and, when
     ``inclusive``, including) the current row. ``order_cols`` must be a total order in the group.
     """
     group_cols, order_cols, value_cols = list(group_cols), list(order_cols), list(value_cols)
     if bucket is None:
+        # the split points need one pass over the input before the main job: both passes read
+        # one checkpointed copy instead of recomputing the input
+        if not materialized:
+            df = materialize(df)
         withb = quantile_buckets(df, bucket_on or order_cols[0])
     else:
         withb = df.withColumn("_bucket", bucket)
@@ -72,7 +90,7 @@ def running_totals(df: DataFrame, group_cols: Sequence[str], order_cols: Sequenc
     offsets = totals.select(
         *group_cols, "_bucket",
         *[F.coalesce(F.sum(f"_bt_{v}").over(wb), F.lit(0)).alias(f"_off_{v}") for v in value_cols])
-    offsets = maybe_broadcast(offsets)
+    offsets = maybe_broadcast(offsets)     # groups x buckets rows: AQE broadcasts it when small
 
     joined = withb.join(offsets, on=[*group_cols, "_bucket"], how="left")
     end = 0 if inclusive else -1

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from riskweave.operators.rank import maybe_broadcast
 
-STATE_BROADCAST_ROWS = 1_000_000
-
 
 def _global_mean(df: DataFrame, target_col: str) -> float:
     return float(df.agg(F.avg(F.col(target_col).cast("double"))).first()[0])
@@ -53,7 +51,7 @@ def target_encode_oof(df: DataFrame, key_col: str, fold_col: str = "fold", targe
         priors = fold_tot.select(fold_col, ((F.lit(tot["_ts"]) - F.col("_fs")) /
                                             (F.lit(tot["_tn"]) - F.col("_fn"))).alias("_gm"))
         out = (df.join(F.broadcast(priors), fold_col, "left")
-               .join(maybe_broadcast(state, STATE_BROADCAST_ROWS), [key_col, fold_col], "left"))
+               .join(maybe_broadcast(state), [key_col, fold_col], "left"))
         g = F.col("_gm")
         s = F.lit(float(smoothing))
         enc = ((F.col("_n") * F.col("_m") + s * g) / (F.col("_n") + s) if count_weighted
@@ -62,7 +60,7 @@ def target_encode_oof(df: DataFrame, key_col: str, fold_col: str = "fold", targe
             enc = F.when(F.col("_n") > 0, enc).otherwise(g)
         return out.withColumn(out_col, enc).drop("_m", "_n", "_gm")
     gm = _global_mean(df, target_col)
-    out = df.join(maybe_broadcast(state, STATE_BROADCAST_ROWS), [key_col, fold_col], "left")
+    out = df.join(maybe_broadcast(state), [key_col, fold_col], "left")
     return out.withColumn(out_col, _encode(F.col("_m"), F.col("_n"), gm, smoothing, count_weighted)) \
               .drop("_m", "_n")
 
@@ -84,7 +82,7 @@ class TargetEncoding:
         return cls(key_col, state, _global_mean(df, target_col), smoothing, count_weighted)
 
     def transform(self, df: DataFrame, out_col: str = "enc") -> DataFrame:
-        out = df.join(maybe_broadcast(self.state, STATE_BROADCAST_ROWS), self.key_col, "left")
+        out = df.join(maybe_broadcast(self.state), self.key_col, "left")
         enc = _encode(F.col("_m"), F.coalesce(F.col("_n"), F.lit(0)), self.global_mean,
                       self.smoothing, self.count_weighted)
         return out.withColumn(out_col, enc).drop("_m", "_n")

@@ -32,6 +32,16 @@ class FeatureSpec:
     exact_roles: bool = False
 
     def fit(self, df: DataFrame) -> "FeatureModel":
+        # fit makes a handful of small-output passes; they share one persisted copy of the input,
+        # released once the (bounded) state is on the driver
+        from pyspark import StorageLevel
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            return self._fit(df)
+        finally:
+            df.unpersist()
+
+    def _fit(self, df: DataFrame) -> "FeatureModel":
         roles = fx.detect_roles(df, self.id_cols, self.target_col, self.date_cols,
                                 self.low_card_thresh, exact=self.exact_roles)
         dates = roles["date"]
