@@ -91,9 +91,9 @@ def submission_check(sub: DataFrame, expected_ids: DataFrame, id_col: str = "id"
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """B9/B10 by key instead of by length: ids missing from and extra in each submission.
 
-    Two anti joins on the id; per group (e.g. model) the missing count comes from the distinct
-    groups crossed with... no pairs are formed: missing ids are counted per group by an anti
-    join of the expected ids against that group's ids on (group, id).
+    Per group (e.g. model): extra = the group's ids anti-joined with the expected ids; missing =
+    expected count minus the group's ids semi-joined with the expected ids. No (group, id)
+    pairs are generated.
     """
     group_cols = list(group_cols)
     ids = expected_ids.select(id_col).distinct()
@@ -119,16 +119,33 @@ def submission_check(sub: DataFrame, expected_ids: DataFrame, id_col: str = "id"
 
 def with_row_id(df: DataFrame, id_candidates: Sequence[str] = ("MachineID", "id"),
                 out_col: str = "id") -> DataFrame:
-    """Use an id column when present, else a consecutive row position (0-based).
+    """Use an id column when present, else the consecutive row position (0-based).
 
-    ``zipWithIndex`` runs one small job to count rows per partition, then numbers rows in
-    parallel (no single-partition window)."""
+    ``monotonically_increasing_id`` packs (partition index, row within partition); rows per
+    partition are counted into a table with one row per input partition (a known bound), its
+    prefix sums give each partition's offset, and position = offset + row within partition.
+    No window over the data and no Python; the input must be deterministic (e.g. a file scan).
+    """
     for c in id_candidates:
         if c in df.columns:
             return df if c == out_col else df.withColumn(out_col, F.col(c))
-    schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.LongType(), False)])
-    rdd = df.rdd.zipWithIndex().map(lambda ri: tuple(ri[0]) + (ri[1],))
-    return df.sparkSession.createDataFrame(rdd, schema)
+    from pyspark.sql import Window
+    from riskweave.operators.rank import maybe_broadcast
+    mid = df.withColumn("_mid", F.monotonically_increasing_id())
+    mid = mid.withColumn("_part", F.shiftright("_mid", 33)).withColumn(
+        "_pos", F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = mid.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    offsets = maybe_broadcast(offsets, bound=df.rdd.getNumPartitions())
+    return (mid.join(offsets, "_part", "left")
+            .withColumn(out_col, (F.col("_off") + F.col("_pos")).cast("long"))
+            .drop("_mid", "_part", "_pos", "_off"))
+
+
+def build_submission(scored: DataFrame, id_col: str = "id", p_col: str = "p") -> DataFrame:
+    """Id and the blended probability, named ``target`` as in the submission format."""
+    return scored.select(id_col, F.col(p_col).alias("target"))
 
 
 def attribution_width_check(n_features: int, width: int) -> None:

@@ -99,3 +99,65 @@ def score_batch(spark: SparkSession, sf: str) -> DataFrame:
     x.unpersist()
     scored = ml.positive_probability(model.transform(fm.transform(t, keep=("id",))))
     return scored.select("id", "p", sc.risk_band(F.col("p")).alias("band"))
+
+
+# ------------------------------------------------------------------ search
+
+# The search space of the leaf-wise member (name -> kind, low, high).
+LEAFWISE_SPACE = {
+    "maxDepth": ("int", 3, 20),
+    "stepSize": ("logfloat", 1e-3, 0.2),
+    "minInstancesPerNode": ("int", 5, 200),
+    "subsamplingRate": ("float", 0.4, 1.0),
+    "featureSubsetStrategy": ("float", 0.4, 1.0),
+}
+
+
+def tune_gbt(x: DataFrame, k: int, n_trials: int, seed: int = 42, max_iter: int = 50,
+             space: dict | None = None, startup: int = 10):
+    """seeded random search; each trial fits k fold models on one materialised input,
+    reports the running mean fold AUC after each fold and stops when the median rule prunes
+    it. Returns the trial records (small) and the best parameters (F11)."""
+    from riskweave.operators import metrics
+    from riskweave.operators.search import random_search
+    space = space or LEAFWISE_SPACE
+    base = ml.persist_input(x.select("id", "fold", "target", "features")
+                            .withColumn("target", F.col("target").cast("double")))
+
+    def objective(params, report):
+        aucs = []
+        for f in range(k):
+            est = ml.gbt_leafwise(max_iter=max_iter)
+            for name, v in params.items():
+                v = str(round(v, 4)) if name == "featureSubsetStrategy" else v
+                est.set(est.getParam(name), min(v, 30) if name == "maxDepth" else v)
+            est.setValidationIndicatorCol("_is_val").setLabelCol("target").setFeaturesCol("features")
+            m = est.fit(base.withColumn("_is_val", F.col("fold") == f))
+            val = ml.positive_probability(m.transform(base.where(F.col("fold") == f)))
+            aucs.append(metrics.roc_auc(val).first()["auc"])
+            if report(f, sum(aucs) / len(aucs)):
+                return None
+        return sum(aucs) / len(aucs)
+
+    history = random_search(space, n_trials, seed, objective, startup=startup)
+    done = [h for h in history if h["value"] is not None]
+    best = max(done, key=lambda h: (h["value"], -h["trial"])) if done else None
+    return history, (best["params"] if best else None)
+
+
+def retrain_with_best(x: DataFrame, params: dict, k: int, max_iter: int = 50) -> ml.OOFResult:
+    """OOF models and predictions with the chosen parameters."""
+    est = ml.gbt_leafwise(max_iter=max_iter)
+    for name, v in params.items():
+        est.set(est.getParam(name), str(round(v, 4)) if name == "featureSubsetStrategy" else v)
+    return ml.train_oof(x, est, k)
+
+
+def meta_features_by_scoring(members: dict, x: DataFrame, id_col: str = "id") -> DataFrame:
+    """When no OOF table exists, score every base member on the same rows and lay the
+    probabilities side by side (one column per member, narrow transforms only)."""
+    out = x
+    for name, models in members.items():
+        scored = ml.fold_average(models if isinstance(models, list) else [models], out)
+        out = scored.withColumnRenamed("p", name)
+    return out.select(id_col, *members.keys())

@@ -26,3 +26,32 @@ def registry(spark: SparkSession, root: str, expected_rows: int,
 def model_path(root: str, family: str, fold: int | None = None) -> str:
     """models/<family>/fold=<k> (or /full for a refit on all rows)."""
     return f"{root.rstrip('/')}/models/{family}/" + (f"fold={fold}" if fold is not None else "full")
+
+
+def save_models(models: list, root: str, family: str) -> list[str]:
+    """A5: one Spark ML model per fold, ``models/<family>/fold=<k>`` (MLWriter, overwrite)."""
+    paths = []
+    for k, m in enumerate(models):
+        p = model_path(root, family, k)
+        m.write().overwrite().save(p)
+        paths.append(p)
+    return paths
+
+
+def load_models(model_cls, paths: list[str]) -> list:
+    """A5: the fold models back, in fold order (no name-pattern globbing)."""
+    return [model_cls.load(p) for p in paths]
+
+
+def save_attribution(attr: DataFrame, path: str) -> None:
+    """Long attributions (id, feature_idx, phi, ...) as parquet, partitioned by model
+    when present so one member can be read alone (partition pruning)."""
+    w = attr.write.mode("overwrite")
+    if "model" in attr.columns:
+        w = w.partitionBy("model")
+    w.parquet(path)
+
+
+def load_attribution(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    df = spark.read.parquet(path)
+    return df.where(F.col("model") == model) if model is not None else df
