@@ -19,8 +19,8 @@ from riskweave.operators.rank import maybe_broadcast
 def auc_weights(preds: DataFrame, model_col: str = "model") -> DataFrame:
     """G1: pooled AUC per member and weight = auc / sum(auc) (a few rows)."""
     a = roc_auc(preds, group_cols=[model_col])
-    total = a.agg(F.sum("auc")).first()[0]
-    return a.select(model_col, "auc", (F.col("auc") / F.lit(total)).alias("weight"))
+    total = a.select(F.sum("auc")).scalar()          # scalar subquery: no driver round trip
+    return a.select(model_col, "auc", (F.col("auc") / total).alias("weight"))
 
 
 def blend_weighted(preds: DataFrame, weights: DataFrame, id_col: str = "id",

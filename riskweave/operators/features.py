@@ -159,9 +159,9 @@ def label_codes(df: DataFrame, col: str) -> DataFrame:
 
 def frequency_table(df: DataFrame, col: str) -> DataFrame:
     """D16 state: share of rows per value (missing kept as its own value)."""
-    n = df.count()
+    n = df.select(F.count(F.lit(1)).cast("double")).scalar()
     return (df.groupBy(col).agg(F.count(F.lit(1)).alias("_c"))
-            .select(col, (F.col("_c") / F.lit(float(n))).alias("freq")))
+            .select(col, (F.col("_c") / n).alias("freq")))
 
 
 def encode_with(df: DataFrame, state: DataFrame, col: str, out: str, default=None) -> DataFrame:

@@ -95,3 +95,23 @@ def learning_curve_best(curve: DataFrame, iter_col: str = "iter", loss_col: str
                     F.col("_b").getField(loss_col).alias("best_loss"),
                     F.col("last_iter").cast("long").alias("last_iter"),
                     (F.col("last_iter") - F.col("_b").getField(iter_col)).cast("long").alias("rounds_since_best")))
+
+
+def metrics_table(preds: DataFrame, run_col: str = "model", fold_col: str = "fold") -> DataFrame:
+    """A4: long metric records (run, metric, fold, value): per-fold and pooled AUC, pooled log
+    loss and the mean of fold AUCs (fold = -1 marks pooled rows)."""
+    from pyspark.sql import functions as G
+    per_fold = roc_auc(preds, group_cols=[run_col, fold_col])
+    pooled = roc_auc(preds, group_cols=[run_col])
+    ll = log_loss(preds, group_cols=[run_col])
+    rows = [
+        per_fold.select(run_col, G.lit("auc").alias("metric"), G.col(fold_col).cast("int").alias("fold"),
+                        G.col("auc").alias("value")),
+        pooled.select(run_col, G.lit("oof_auc"), G.lit(-1), "auc"),
+        per_fold.groupBy(run_col).agg(G.avg("auc").alias("v")).select(run_col, G.lit("cv_auc"), G.lit(-1), "v"),
+        ll.select(run_col, G.lit("log_loss"), G.lit(-1), "log_loss"),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out.withColumnRenamed(run_col, "run")

@@ -61,23 +61,21 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 def value_share(df: DataFrame, col: str) -> DataFrame:
     """H4: share per value. The total is a scalar aggregate, not a global window."""
     vc = value_counts(df, col)
-    total = vc.agg(F.sum("n")).first()[0] or 0
-    return vc.select("value", (F.col("n") / F.lit(float(total))).alias("share"))
+    total = vc.select(F.sum("n").cast("double")).scalar()
+    return vc.select("value", (F.col("n") / total).alias("share"))
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins over [min, max]; the max falls into the last bin."""
     x = F.col(col).cast("double")
-    mm = df.agg(F.min(x).alias("mn"), F.max(x).alias("mx")).first()
-    mn, mx = mm["mn"], mm["mx"]
-    if mn is None:
-        return df.sparkSession.createDataFrame([], "bin int, lo double, hi double, n long")
-    width = (mx - mn) / bins if mx > mn else 1.0
-    b = (F.lit(0) if mx == mn else
-         F.least(F.floor((x - F.lit(mn)) / F.lit(mx - mn) * F.lit(float(bins))), F.lit(bins - 1))).cast("int")
+    mn = df.select(F.min(x)).scalar()                 # scalar subqueries, evaluated in-plan
+    mx = df.select(F.max(x)).scalar()
+    width = F.when(mx > mn, (mx - mn) / F.lit(float(bins))).otherwise(F.lit(1.0))
+    b = F.when(mx == mn, F.lit(0)).otherwise(
+        F.least(F.floor((x - mn) / (mx - mn) * F.lit(float(bins))), F.lit(bins - 1))).cast("int")
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bin", (F.lit(mn) + F.col("bin") * F.lit(width)).alias("lo"),
-                         (F.lit(mn) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "n")
+    return counts.select("bin", (mn + F.col("bin") * width).alias("lo"),
+                         (mn + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
 def box_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:

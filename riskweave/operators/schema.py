@@ -104,10 +104,10 @@ def submission_check(sub: DataFrame, expected_ids: DataFrame, id_col: str = "id"
                  .agg(F.count(F.lit(1)).alias("n_extra")))
         present = (have.join(ids, id_col, "left_semi").groupBy(*group_cols)
                    .agg(F.count(F.lit(1)).alias("n_present")))
-        n_ids = ids.count()
+        n_ids = ids.select(F.count(F.lit(1))).scalar()
         out = (groups.join(present, group_cols, "left").join(extra, group_cols, "left")
                .select(*group_cols,
-                       (F.lit(n_ids) - F.coalesce("n_present", F.lit(0))).cast("long").alias("n_missing"),
+                       (n_ids - F.coalesce("n_present", F.lit(0))).cast("long").alias("n_missing"),
                        F.coalesce("n_extra", F.lit(0)).cast("long").alias("n_extra")))
     else:
         have = sub.select(id_col).distinct()

@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from riskweave.operators.rank import maybe_broadcast
 
 
-def _global_mean(df: DataFrame, target_col: str) -> float:
-    return float(df.agg(F.avg(F.col(target_col).cast("double"))).first()[0])
+def _global_mean(df: DataFrame, target_col: str):
+    """Global target mean as a scalar subquery (evaluated inside the plan)."""
+    return df.select(F.avg(F.col(target_col).cast("double"))).scalar()
 
 
-def _encode(mean_col, n_col, gm: float, smoothing: float, count_weighted: bool):
-    g = F.lit(gm)
+def _encode(mean_col, n_col, gm, smoothing: float, count_weighted: bool):
+    g = gm if not isinstance(gm, (int, float)) else F.lit(gm)
     s = F.lit(float(smoothing))
     if count_weighted:
         # (n * mean + s * prior) / (n + s): the group size enters the shrinkage
@@ -47,10 +48,10 @@ def target_encode_oof(df: DataFrame, key_col: str, fold_col: str = "fold", targe
     if fold_safe_prior:
         # prior from the training part of each fold only (no held-out rows leak into it)
         fold_tot = df.groupBy(fold_col).agg(F.sum(y).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
-        tot = df.agg(F.sum(y).alias("_ts"), F.count(F.lit(1)).alias("_tn")).first()
-        priors = fold_tot.select(fold_col, ((F.lit(tot["_ts"]) - F.col("_fs")) /
-                                            (F.lit(tot["_tn"]) - F.col("_fn"))).alias("_gm"))
-        out = (df.join(F.broadcast(priors), fold_col, "left")
+        ts = df.select(F.sum(y)).scalar()
+        tn = df.select(F.count(F.lit(1))).scalar()
+        priors = fold_tot.select(fold_col, ((ts - F.col("_fs")) / (tn - F.col("_fn"))).alias("_gm"))
+        out = (df.join(maybe_broadcast(priors), fold_col, "left")
                .join(maybe_broadcast(state), [key_col, fold_col], "left"))
         g = F.col("_gm")
         s = F.lit(float(smoothing))

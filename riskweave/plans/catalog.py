@@ -712,3 +712,16 @@ def q_stream_score(spark, sf):
                              PAYLOAD_FIELDS, fm, model)
     q.awaitTermination()
     return spark.read.parquet(f"{root}/sink/scored").select("request_id", "pos", "p", "band")
+
+
+@query("gbt_depthwise_oof")
+def q_gbt_depthwise_oof(spark, sf):
+    """the depth-wise member, out of fold with early stopping on the held-out fold."""
+    return training.oof_gbt(spark, sf, family="depthwise", max_iter=10, max_depth=4).oof \
+                   .select("id", "fold", "target", "p")
+
+
+@query("oof_metrics")
+def q_oof_metrics(spark, sf):
+    """A4: the metric records a training run writes (per-fold and pooled AUC, cv AUC, log loss)."""
+    return metrics.metrics_table(views.preds(spark, sf)).select("run", "metric", "fold", r6("value"))

@@ -479,6 +479,18 @@ ORACLE["score_response"] = BASE + """SELECT CAST(floor(id / 10) AS BIGINT) AS re
 FROM preds WHERE model = 'lgb' GROUP BY floor(id / 10)"""
 
 
+
+ORACLE["oof_metrics"] = BASE + """,
+pf AS (""" + auc_sql("preds", ["model", "fold"]) + """),
+po AS (""" + auc_sql("preds", ["model"]) + """)
+SELECT model AS run, 'auc' AS metric, CAST(fold AS INTEGER) AS fold, {R6_}(auc) AS value FROM pf
+UNION ALL SELECT model, 'oof_auc', -1, {R6_}(auc) FROM po
+UNION ALL SELECT model, 'cv_auc', -1, {R6_}(avg(auc)) FROM pf GROUP BY model
+UNION ALL SELECT model, 'log_loss', -1,
+  {R6_}(-avg(target * ln(least(greatest(p, 1e-15), 1 - 1e-15)) + (1 - target) * ln(1 - least(greatest(p, 1e-15), 1 - 1e-15))))
+FROM preds GROUP BY model"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("
