@@ -68,10 +68,19 @@ def detect_roles(df: DataFrame, id_cols: Sequence[str], target_col: str, date_co
             "date": [c for c in date_cols if c in df.columns], "distinct": counts}
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float | None]:
-    """D5 state: exact median of each column (mean of the middle two); None when all missing."""
+def medians(df: DataFrame, cols: Sequence[str], mode: str = "exact",
+            accuracy: int = 100000) -> dict[str, float | None]:
+    """D5 state: median of each column; None when all missing.
+
+    ``exact`` (default): mean of the middle two, via two-level ranks over (column, value) cells.
+    ``approx``: one pass of ``percentile_approx`` (bounded sketch per column and task), for
+    tables where even the distinct (column, value) cells are too many to rank."""
     if not cols:
         return {}
+    if mode == "approx":
+        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c)
+                       for c in cols]).first()
+        return {c: row[c] for c in cols}
     q = exact_quantiles(long_form(df, [], cols), ["column_name"], "value", [0.5], n_groups=len(cols))
     got = {r["column_name"]: r["value"] for r in q.collect()}
     return {c: got.get(c) for c in cols}

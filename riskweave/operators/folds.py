@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from riskweave.functions.hashing import seeded_key
 from riskweave.operators.rank import dense_row_number
 
-# md5 hex prefix width used as the first rank level: 16^3 = 4096 uniform buckets.
-_PREFIX_HEX = 3
+# md5 hex prefix width used as the first rank level: 16^4 = 65536 uniform buckets, so each
+# (class, bucket) window holds ~1/65536 of a class even at 1000x the test data; the offsets
+# table (classes x 65536 rows) stays a few MB.
+_PREFIX_HEX = 4
 
 
 def _md5_order(df: DataFrame, id_col: str, seed: int) -> DataFrame:

@@ -17,21 +17,30 @@ from riskweave.operators.rank import materialize, maybe_broadcast, running_total
 EPS = 1e-15
 
 
-def _score_cells(df: DataFrame, score_col: str, label_col: str, group_cols: Sequence[str]) -> DataFrame:
+def _score_cells(df: DataFrame, score_col: str, label_col: str, group_cols: Sequence[str],
+                 resolution: float | None = None) -> DataFrame:
+    """Distinct (group, score) cells with positive / negative counts (map-side combined).
+    ``resolution`` (opt-in, approximate) floors scores to a grid first, which bounds the cells
+    per group by 1/resolution however many rows or candidates are scored."""
     y = F.col(label_col).cast("long")
-    return (df.select(*group_cols, F.col(score_col).cast("double").alias("_s"), y.alias("_y"))
+    s = F.col(score_col).cast("double")
+    if resolution:
+        s = F.floor(s / F.lit(resolution)) * F.lit(resolution)
+    return (df.select(*group_cols, s.alias("_s"), y.alias("_y"))
             .groupBy(*group_cols, "_s")
             .agg(F.sum("_y").alias("pos"), F.sum(F.lit(1) - F.col("_y")).alias("neg")))
 
 
 def roc_auc(df: DataFrame, score_col: str = "p", label_col: str = "target",
-            group_cols: Sequence[str] = (), out_col: str = "auc") -> DataFrame:
+            group_cols: Sequence[str] = (), out_col: str = "auc",
+            resolution: float | None = None) -> DataFrame:
     """Trapezoid ROC AUC (ties count one half) per group.
 
-    AUC = sum_s pos(s) * (neg(below s) + neg(s)/2) / (P * N)
+    AUC = sum_s pos(s) * (neg(below s) + neg(s)/2) / (P * N). Exact by default; with
+    ``resolution`` scores closer than the grid count as ties (bounded cells, approximate).
     """
     group_cols = list(group_cols)
-    cells = _score_cells(df, score_col, label_col, group_cols)
+    cells = _score_cells(df, score_col, label_col, group_cols, resolution)
     ranked = running_totals(cells, group_cols, ["_s"], ["neg"], prefix="below_", inclusive=False)
     return (ranked.groupBy(*group_cols)
             .agg((F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))

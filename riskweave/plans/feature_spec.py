@@ -30,6 +30,7 @@ class FeatureSpec:
     target_col: str = "target"
     age_mode: str = "fitted"          # "fitted": max date is state; "batch": max of each batch
     exact_roles: bool = False
+    median_mode: str = "exact"        # "exact" (parity) or "approx" (one sketch pass)
 
     def fit(self, df: DataFrame) -> "FeatureModel":
         # fit makes a handful of small-output passes; they share one persisted copy of the input,
@@ -49,7 +50,7 @@ class FeatureSpec:
         if dates:
             row = df.agg(*[F.max(parse_datetime(F.col(c), df.schema[c].dataType)).alias(c) for c in dates]).first()
             date_max = {c: (row[c].isoformat(sep=" ") if row[c] is not None else None) for c in dates}
-        med = fx.medians(df, roles["numeric"])
+        med = fx.medians(df, roles["numeric"], mode=self.median_mode)
         nums = [c for c in roles["numeric"] if med.get(c) is not None]   # all-missing: dropped
         mom = fx.moments(df, nums, med)
         cats = fx.categories(df, roles["low_card"])
