@@ -725,3 +725,9 @@ def q_gbt_depthwise_oof(spark, sf):
 def q_oof_metrics(spark, sf):
     """A4: the metric records a training run writes (per-fold and pooled AUC, cv AUC, log loss)."""
     return metrics.metrics_table(views.preds(spark, sf)).select("run", "metric", "fold", r6("value"))
+
+
+@query("flagship_risk_bands")
+def q_flagship_risk_bands(spark, sf):
+    """Features -> OOF logistic + GBT -> AUC-weighted blend -> risk band counts."""
+    return training.flagship(spark, sf).select("band", "n", r6("mean_p"))

@@ -161,3 +161,28 @@ def meta_features_by_scoring(members: dict, x: DataFrame, id_col: str = "id") ->
         scored = ml.fold_average(models if isinstance(models, list) else [models], out)
         out = scored.withColumnRenamed("p", name)
     return out.select(id_col, *members.keys())
+
+
+# ------------------------------------------------------------------ flagship
+
+def flagship(spark: SparkSession, sf: str, k: int = 5, gbt_iter: int = 5) -> DataFrame:
+    """Features -> out-of-fold logistic and GBT members -> AUC-weighted blend -> risk band
+    counts. One materialised feature table feeds every fold fit; the members' OOF tables are
+    unioned into the long prediction layout and blended by key."""
+    from pyspark.ml.classification import LogisticRegression
+
+    from riskweave.operators import ensemble as ens
+    fm, x = featurised(spark, sf)
+    x = ml.persist_input(x)
+    members = {
+        "logistic": ml.train_oof(x, LogisticRegression(regParam=0.01, maxIter=15), k).oof,
+        "gbt": ml.train_oof(x, ml.gbt_leafwise(max_iter=gbt_iter, maxDepth=4), k).oof,
+    }
+    long = None
+    for name, oof in members.items():
+        part = oof.select("id", F.lit(name).alias("model"), "fold", "target", "p")
+        long = part if long is None else long.unionByName(part)
+    weights = ens.auc_weights(long)
+    blended = ens.blend_weighted(long, weights)
+    return (blended.select(sc.risk_band(F.col("p")).alias("band"), "p")
+            .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))

@@ -38,8 +38,11 @@ def parse_requests(df: DataFrame, payload_col: str, fields: T.StructType,
     err: Column = (F.when(~valid, F.lit("invalid JSON"))
                    .when(F.col("_keys").isNull() | F.col("instances").isNull(),
                          F.lit("provide instance or instances")))
+    def absent(field: str):
+        return lambda x: x[field].isNull()
+
     for f in required:
-        err = err.when(F.exists("instances", lambda x, f=f: x[f].isNull()), F.lit(f"missing field {f}"))
+        err = err.when(F.exists("instances", absent(f)), F.lit(f"missing field {f}"))
     return out.withColumn("error", err).drop("_keys")
 
 

@@ -109,5 +109,5 @@ def test_auc_matches_evaluator(spark):
 def test_entry_smoke(spark):
     import __spark_entry__ as e
     df = e.entry(spark)
-    assert df.count() >= 0 and df.columns == ["model", "fold", "auc"]
+    assert df.count() >= 0 and df.columns == ["band", "n", "mean_p"]
     assert set(e.oracle_sql()) <= set(e.queries())

@@ -11,7 +11,7 @@ from .conftest import SF_SMALL
 from .oracle_check import compare, duck
 
 NAMES = sorted(entry_mod.queries())
-SLOW = {"gbt_oof", "gbt_cat_oof", "gbt_depthwise_oof", "oof_assembly", "score_batch", "tree_shap", "stream_score"}
+SLOW = {"gbt_oof", "gbt_cat_oof", "gbt_depthwise_oof", "flagship_risk_bands", "oof_assembly", "score_batch", "tree_shap", "stream_score"}
 
 
 @pytest.fixture(scope="module")
