@@ -48,24 +48,40 @@ def distinct_incl_missing(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
 def detect_roles(df: DataFrame, id_cols: Sequence[str], target_col: str, date_cols: Sequence[str],
                  low_card_thresh: int = 30, exact: bool = False) -> dict:
     """B2: numeric / low-card / high-card split; strings with distinct (incl. missing) below the
-    threshold are low-card. With ``exact=False`` only columns whose HyperLogLog estimate lies
-    within [thresh/2, 2*thresh] are counted exactly (the rest cannot change side)."""
+    threshold are low-card.
+
+    Pass 1: HyperLogLog estimate per string column. Pass 2: for columns estimated at no more
+    than twice the threshold only, the exact value set (``collect_set`` of at most ~2 x
+    threshold values, a proven bound) gives both the exact count and the sorted categories
+    of the low-card ones. Columns far above the threshold are high-card without exact counting
+    (``exact=True`` counts them exactly too, in long form)."""
     excluded = set(id_cols) | {target_col} | set(date_cols)
     nums = numeric_columns(df, excluded)
     strs = string_columns(df, excluded)
-    if exact or not strs:
-        counts = distinct_incl_missing(df, strs)
-    else:
+    counts: dict[str, int] = {}
+    cats: dict[str, list[str]] = {}
+    if strs:
         row = df.agg(*[(F.approx_count_distinct(c, 0.05) +
                         F.max(F.col(c).isNull().cast("int"))).alias(c) for c in strs]).first()
         est = {c: int(row[c] or 0) for c in strs}
-        near = [c for c in strs if low_card_thresh / 2 <= est[c] <= low_card_thresh * 2]
-        counts = dict(est)
-        counts.update(distinct_incl_missing(df, near))
+        small = [c for c in strs if est[c] <= low_card_thresh * 2]
+        if small:
+            sets = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"),
+                                                                  F.lit(MISSING_TOKEN)))).alias(c)
+                            for c in small]).first()
+            for c in small:
+                counts[c] = len(sets[c])
+                cats[c] = list(sets[c])
+        big = [c for c in strs if c not in counts]
+        if exact:
+            counts.update(distinct_incl_missing(df, big))
+        else:
+            counts.update({c: est[c] for c in big})
     low = [c for c in strs if counts[c] < low_card_thresh]
     high = [c for c in strs if counts[c] >= low_card_thresh]
     return {"numeric": nums, "low_card": low, "high_card": high,
-            "date": [c for c in date_cols if c in df.columns], "distinct": counts}
+            "date": [c for c in date_cols if c in df.columns], "distinct": counts,
+            "categories": {c: cats[c] for c in low}}
 
 
 def medians(df: DataFrame, cols: Sequence[str], mode: str = "exact",
@@ -144,8 +160,27 @@ def hashed_entries(cols: Sequence[str], n: int) -> Column:
     return F.filter(summed, lambda e: e["value"] != F.lit(0.0))
 
 
+def hash_token_columns(cols: Sequence[str], n: int, prefix: str = "_h") -> list[Column]:
+    """Per high-card column: its token's bucket and sign as plain columns (md5 once per token)."""
+    out = []
+    for j, c in enumerate(cols):
+        t = token(c, F.col(c))
+        out += [hash_bucket(t, n).alias(f"{prefix}b{j}"), hash_sign(t).alias(f"{prefix}s{j}")]
+    return out
+
+
+def hashed_cells(k: int, n: int, prefix: str = "_h") -> list[Column]:
+    """n bucket sums from k precomputed (bucket, sign) column pairs: n x k conditional adds that
+    compile into whole-stage codegen (no lambdas)."""
+    def cell(i):
+        terms = [F.when(F.col(f"{prefix}b{j}") == i, F.col(f"{prefix}s{j}")).otherwise(F.lit(0.0)) for j in range(k)]
+        return sum(terms[1:], terms[0])
+    return [cell(i) for i in range(n)]
+
+
 def hashed_dense(cols: Sequence[str], n: int) -> Column:
-    """Dense array of n hashed values (for the assembled vector)."""
+    """Dense array of n hashed values in one expression (higher-order functions; used where a
+    single column expression is needed, e.g. in a streaming projection)."""
     entries = hashed_entries(cols, n)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(
         F.filter(entries, lambda e: e["bucket"] == i), F.lit(0.0), lambda acc, e: acc + e["value"]))

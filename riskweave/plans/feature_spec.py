@@ -53,7 +53,7 @@ class FeatureSpec:
         med = fx.medians(df, roles["numeric"], mode=self.median_mode)
         nums = [c for c in roles["numeric"] if med.get(c) is not None]   # all-missing: dropped
         mom = fx.moments(df, nums, med)
-        cats = fx.categories(df, roles["low_card"])
+        cats = roles["categories"]                # sorted low-card values from the detection pass
         state = FeatureState(
             numeric=nums, low_card=roles["low_card"], high_card=roles["high_card"], dates=dates,
             date_max=date_max, medians={c: med[c] for c in nums},
@@ -144,19 +144,23 @@ class FeatureModel:
 
     def transform(self, df: DataFrame, keep: tuple = (), vector_col: str = "features",
                   wide: bool = False) -> DataFrame:
+        """Two narrow projections, fused by whole-stage codegen: token bucket/sign columns
+        (md5 once per token), then the feature array / vector. No shuffle, no Python."""
         s = self.state
         df = self._aligned(df)
         keep = [c for c in (list(keep) or [*s.id_cols, s.target_col]) if c in df.columns]
         parts = self.date_columns(df) + self.numeric_columns() + self.one_hot_columns()
+        k = len(s.high_card)
+        if k:
+            df = df.select("*", *fx.hash_token_columns(s.high_card, s.n_hash))
+            hashed = fx.hashed_cells(k, s.n_hash)
         if wide:
             cols = parts
-            if s.high_card:
-                h = fx.hashed_dense(s.high_card, s.n_hash)
-                cols = cols + [h[i].alias(f"hash_{i}") for i in range(s.n_hash)]
+            if k:
+                cols = cols + [h.alias(f"hash_{i}") for i, h in enumerate(hashed)]
             return df.select(*keep, *cols)
-        arr = F.array(*[p.cast("double") for p in parts]) if parts else F.array().cast("array<double>")
-        if s.high_card:
-            arr = F.concat(arr, fx.hashed_dense(s.high_card, s.n_hash))
+        arr = [p.cast("double") for p in parts] + (hashed if k else [])
+        arr = F.array(*arr) if arr else F.array().cast("array<double>")
         return df.select(*keep, array_to_vector(arr).alias(vector_col))
 
     # ------------------------------------------------------------ persistence
