@@ -57,3 +57,22 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the checkpoint root for written intermediate tables (shared on a cluster)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/tables/{name}"
+
+
+def cluster_conf(input_bytes: int, executors: int, cores_per_executor: int,
+                 target_partition_bytes: int = 256 << 20) -> dict:
+    """Starting values for a cluster run sized from the input: shuffle partitions so that a
+    reducer reads about ``target_partition_bytes`` (AQE coalesces small ones and splits skewed
+    ones), at least two waves of tasks, 256 MB scan splits."""
+    cores = max(1, executors * cores_per_executor)
+    parts = max(2 * cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.session.timeZone": "UTC",
+    }

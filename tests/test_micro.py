@@ -142,3 +142,16 @@ def test_tree_shap_brute_force_3_features(spark):
         a = ts.shap_row(trees, fac, X[i], 3)
         b = ts.brute_force_shapley(trees, fac, X[i], 3)
         assert np.allclose(a, b, atol=1e-12)
+
+
+def test_target_encoding_options(spark):
+    rows = [(1, "a", 0, 1), (2, "a", 1, 0), (3, "a", 2, 1), (4, "b", 0, 0), (5, "b", 1, 0), (6, "b", 2, 1)]
+    df = spark.createDataFrame(rows, "id long, k string, fold int, target int")
+    # count weighted: (n * mean + s * prior) / (n + s) over the other folds, s = 2
+    out = {r.id: r.enc for r in target_encode_oof(df, "k", "fold", smoothing=2.0, count_weighted=True).collect()}
+    g = 3 / 6
+    assert math.isclose(out[1], (2 * 0.5 + 2 * g) / (2 + 2))       # other folds of 'a': 0, 1
+    # fold-safe prior: prior from rows outside the fold only
+    out2 = {r.id: r.enc for r in target_encode_oof(df, "k", "fold", smoothing=10.0, fold_safe_prior=True).collect()}
+    prior_f0 = (0 + 1 + 0 + 1) / 4                                  # rows of folds 1, 2
+    assert math.isclose(out2[1], (10 * prior_f0 + 0.5) / 11)
