@@ -6,15 +6,31 @@ cast to the widths the SQL twin produces.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskweave import views
+from riskweave.functions import scoring as sc
+from riskweave.functions.dates import age_days, date_parts, parse_datetime, whole_days_between
+from riskweave.functions.text import text_length, word_count
+from riskweave.operators import ensemble as ens
+from riskweave.operators import explain as xp
+from riskweave.operators import features as fx
 from riskweave.operators import folds, metrics
-from riskweave.operators.target_encoding import TargetEncoding, target_encode_oof
-from riskweave.sources.tables import load
+from riskweave.operators import profile as prof
+from riskweave.operators import schema as sch
+from riskweave.operators import search as srch
+from riskweave.operators.sample import sample_n
+from riskweave.operators.target_encoding import TargetEncoding, per_fold_encodings, target_encode_oof
+from riskweave.plans import training
+from riskweave.plans.feature_spec import FeatureSpec
+from riskweave.session import scratch_path
+from riskweave.sources import payloads as pl
+from riskweave.sources.tables import load, read_table, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -102,10 +118,6 @@ def q_log_loss(spark, sf):
 
 # ---------------------------------------------------------------- schema and features (B, D)
 
-from riskweave.functions.dates import age_days, date_parts, parse_datetime, whole_days_between  # noqa: E402
-from riskweave.operators import features as fx  # noqa: E402
-from riskweave.operators import schema as sch  # noqa: E402
-from riskweave.plans.feature_spec import FeatureSpec  # noqa: E402
 
 T_DATES = ("date_as", "date_os")
 
@@ -246,13 +258,6 @@ def q_align_schema(spark, sf):
 
 # ---------------------------------------------------------------- profiling (H)
 
-from riskweave.functions import scoring as sc  # noqa: E402
-from riskweave.functions.text import text_length, word_count  # noqa: E402
-from riskweave.operators import ensemble as ens  # noqa: E402
-from riskweave.operators import explain as xp  # noqa: E402
-from riskweave.operators import profile as prof  # noqa: E402
-from riskweave.operators import search as srch  # noqa: E402
-from riskweave.operators.sample import sample_n  # noqa: E402
 
 
 @query("null_counts")
@@ -357,36 +362,13 @@ def q_fold_average(spark, sf):
     ``city`` fitted on the other folds. The mean depends on the key only, so it is computed
     per key (a small table) and joined back instead of scoring every row k times."""
     tf = views.telemetry_folds(spark, sf)
-    per_fold = target_encode_state_per_fold(tf, "city", k=5)
+    per_fold = per_fold_encodings(tf, "city", k=5)
     per_key = per_fold.groupBy("city").agg(F.avg("enc").alias("p"))
     g = per_fold.select("gm_avg").first()
     out = fx.encode_with(tf.select("id", "city"), per_key, "city", "p")
     return out.select("id", r6(F.coalesce(F.col("p"), F.lit(g["gm_avg"])), "p"))
 
 
-def target_encode_state_per_fold(df, key, k=5, smoothing=10.0):
-    """(key, fold, enc) for every key and fold model f: smoothed mean of rows outside fold f,
-    global mean (of rows outside f) for a key absent there. One aggregation, one window."""
-    y = F.col("target").cast("double")
-    cells = df.where(F.col(key).isNotNull()).groupBy(key, "fold").agg(F.sum(y).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    folds_tot = df.groupBy("fold").agg(F.sum(y).alias("_fs"), F.count(F.lit(1)).alias("_fn"))
-    tot = df.agg(F.sum(y).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    gms = {r["fold"]: (tot["s"] - r["_fs"]) / (tot["n"] - r["_fn"]) for r in folds_tot.collect()}
-    keys = cells.select(key).distinct()
-    grid = keys.select(key, F.explode(F.array(*[F.lit(f) for f in range(k)])).alias("fold"))
-    from pyspark.sql import Window
-    wk = Window.partitionBy(key)
-    st = (grid.join(cells, [key, "fold"], "left").fillna(0, subset=["_s", "_n"])
-          .select(key, "fold", (F.sum("_s").over(wk) - F.col("_s")).alias("_os"),
-                  (F.sum("_n").over(wk) - F.col("_n")).alias("_on")))
-    gm_map = F.create_map(*[x for f, g in gms.items() for x in (F.lit(f), F.lit(float(g)))])
-    gm = gm_map[F.col("fold")]
-    enc = (F.lit(smoothing) * gm + F.coalesce(F.try_divide(F.col("_os"), F.col("_on").cast("double")), gm)) \
-        / F.lit(smoothing + 1.0)
-    gm_avg = float(sum(((smoothing * g + g) / (smoothing + 1.0)) for g in gms.values()) / len(gms))
-    return st.select(key, "fold", enc.alias("enc"), F.lit(gm_avg).alias("gm_avg"))
-
-
 @query("median_prune")
 def q_median_prune(spark, sf):
     cands = ens.candidates(MODELS, N_TRIALS, TRIAL_SEED)
@@ -537,13 +519,8 @@ def q_learning_curve_best(spark, sf):
 
 # ---------------------------------------------------------------- sources and sinks
 
-import uuid  # noqa: E402
 
-from pyspark.sql import types as T  # noqa: E402
 
-from riskweave.session import scratch_path  # noqa: E402
-from riskweave.sources import payloads as pl  # noqa: E402
-from riskweave.sources.tables import read_table, write_table  # noqa: E402
 
 
 def _roundtrip_summary(df):
@@ -644,7 +621,6 @@ def q_artifact_registry(spark, sf):
 
 # ---------------------------------------------------------------- models (E3-E5, F1-F8), batch scoring (Q1)
 
-from riskweave.plans import training  # noqa: E402
 
 
 @query("oof_assembly")

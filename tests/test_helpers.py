@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 import pytest
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.operators import models as ml
