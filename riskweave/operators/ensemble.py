@@ -25,8 +25,9 @@ def auc_weights(preds: DataFrame, model_col: str = "model") -> DataFrame:
 
 def blend_weighted(preds: DataFrame, weights: DataFrame, id_col: str = "id",
                    model_col: str = "model") -> DataFrame:
-    """Sum over members of weight x p per id (weights broadcast, one partial-agg shuffle)."""
-    w = F.broadcast(weights.select(model_col, "weight"))
+    """Sum over members of weight x p per id (one partial-agg shuffle on id). The weights
+    table has one row per member; adaptive execution broadcasts it from its measured size."""
+    w = maybe_broadcast(weights.select(model_col, "weight"))
     return (preds.join(w, model_col, "inner").groupBy(id_col)
             .agg(F.sum(F.col("weight") * F.col("p")).alias("p")))
 

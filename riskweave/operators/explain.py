@@ -66,7 +66,7 @@ def stacked(attr: DataFrame, meta_coefs: dict[str, float], id_col: str = "id") -
     present in the coefficient table takes part (none is skipped)."""
     spark = attr.sparkSession
     coef = spark.createDataFrame([(m, float(c)) for m, c in meta_coefs.items()], "model string, coef double")
-    return (attr.join(F.broadcast(coef), "model", "inner")
+    return (attr.join(maybe_broadcast(coef, bound=len(meta_coefs)), "model", "inner")
             .groupBy(id_col, "feature_idx").agg(F.sum(F.col("coef") * F.col("phi")).alias("phi")))
 
 

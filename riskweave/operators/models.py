@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.folds import assemble_oof
+from riskweave.operators.rank import maybe_broadcast
 
 
 def gbt_leafwise(max_iter: int = 2000, seed: int = 42, **kw) -> GBTClassifier:
@@ -102,8 +103,8 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
     if imps:
         imp_df = spark.createDataFrame(imps, "fold int, feature_idx int, importance double")
         if lineage is not None:
-            imp_df = imp_df.join(F.broadcast(lineage.select(F.col("idx").alias("feature_idx"),
-                                                            F.col("name").alias("feature"))), "feature_idx", "left")
+            names = lineage.select(F.col("idx").alias("feature_idx"), F.col("name").alias("feature"))
+            imp_df = imp_df.join(maybe_broadcast(names, bound=len(imps)), "feature_idx", "left")
     return OOFResult(oof, models, imp_df)
 
 
