@@ -74,15 +74,19 @@ def persist_input(df: DataFrame, checkpoint: bool = False) -> DataFrame:
 def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features", label_col: str = "target",
               fold_col: str = "fold", id_col: str = "id", early_stopping: bool = True,
               lineage: DataFrame | None = None, checkpoint: bool = False,
-              keep: Sequence[str] = ()) -> OOFResult:
+              keep: Sequence[str] = (), parallelism: int = 1) -> OOFResult:
     """Fit one model per fold on the other folds (held-out fold as the early-stopping
-    set when the estimator supports it), score the held-out fold, union the folds."""
+    set when the estimator supports it), score the held-out fold, union the folds.
+
+    ``parallelism`` > 1 submits that many fold fits concurrently from driver threads (as Spark
+    ML's ``CrossValidator`` does): each fit is its own set of jobs over the shared materialised
+    input, so small fits overlap instead of leaving executors idle between their jobs."""
     spark = df.sparkSession
     base = persist_input(df.select(id_col, fold_col, label_col, features_col, *keep)
                          .withColumn(label_col, F.col(label_col).cast("double")), checkpoint)
-    models, scored, imps = [], [], []
     es = early_stopping and estimator.hasParam("validationIndicatorCol")
-    for f in range(k):
+
+    def fit_fold(f: int):
         est = estimator.copy()
         est.setFeaturesCol(features_col).setLabelCol(label_col)
         if es:
@@ -90,8 +94,16 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
             train = base.withColumn("_is_val", F.col(fold_col) == f)
         else:
             train = base.where(F.col(fold_col) != f)
-        model = est.fit(train)
-        models.append(model)
+        return est.fit(train)
+
+    if parallelism > 1:
+        from concurrent.futures import ThreadPoolExecutor
+        with ThreadPoolExecutor(max_workers=min(parallelism, k)) as pool:
+            models = list(pool.map(fit_fold, range(k)))
+    else:
+        models = [fit_fold(f) for f in range(k)]
+    scored, imps = [], []
+    for f, model in enumerate(models):
         val = base.where(F.col(fold_col) == f)
         scored.append(positive_probability(model.transform(val))
                       .select(id_col, fold_col, F.col(label_col).cast("int").alias(label_col), "p", *keep))

@@ -39,7 +39,7 @@ def oof_logistic(spark: SparkSession, sf: str, k: int = 5) -> ml.OOFResult:
     fm, x = featurised(spark, sf)
     from pyspark.ml.classification import LogisticRegression
     est = LogisticRegression(regParam=0.01, maxIter=50)
-    return ml.train_oof(x, est, k, lineage=fm.lineage(spark))
+    return ml.train_oof(x, est, k, lineage=fm.lineage(spark), parallelism=k)
 
 
 def oof_gbt(spark: SparkSession, sf: str, family: str = "leafwise", max_iter: int = 100,
@@ -48,7 +48,7 @@ def oof_gbt(spark: SparkSession, sf: str, family: str = "leafwise", max_iter: in
     kw = {} if max_depth is None else {"maxDepth": max_depth}
     est = (ml.gbt_leafwise(max_iter=max_iter, **kw) if family == "leafwise"
            else ml.gbt_depthwise(max_iter=max_iter, **kw))
-    return ml.train_oof(x, est, k, lineage=fm.lineage(spark))
+    return ml.train_oof(x, est, k, lineage=fm.lineage(spark), parallelism=k)
 
 
 def native_category_matrix(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,7 +76,8 @@ def native_category_matrix(spark: SparkSession, sf: str) -> DataFrame:
 
 def oof_gbt_native_category(spark: SparkSession, sf: str, max_iter: int = 100, k: int = 5) -> ml.OOFResult:
     x = native_category_matrix(spark, sf)
-    return ml.train_oof(x, ml.gbt_native_category(max_iter=max_iter, max_bins=64, maxDepth=5), k)
+    return ml.train_oof(x, ml.gbt_native_category(max_iter=max_iter, max_bins=64, maxDepth=5), k,
+                        parallelism=k)
 
 
 def stack_logistic(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
@@ -85,7 +86,7 @@ def stack_logistic(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
     assembler = VectorAssembler(inputCols=list(views.MODELS), outputCol="features")
     x = assembler.transform(wide)
     n = wide.count()
-    return ml.train_oof(x, ml.logistic_meta(n), k).oof
+    return ml.train_oof(x, ml.logistic_meta(n), k, parallelism=k).oof
 
 
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -175,8 +176,8 @@ def flagship(spark: SparkSession, sf: str, k: int = 5, gbt_iter: int = 5) -> Dat
     fm, x = featurised(spark, sf)
     x = ml.persist_input(x)
     members = {
-        "logistic": ml.train_oof(x, LogisticRegression(regParam=0.01, maxIter=15), k).oof,
-        "gbt": ml.train_oof(x, ml.gbt_leafwise(max_iter=gbt_iter, maxDepth=4), k).oof,
+        "logistic": ml.train_oof(x, LogisticRegression(regParam=0.01, maxIter=15), k, parallelism=k).oof,
+        "gbt": ml.train_oof(x, ml.gbt_leafwise(max_iter=gbt_iter, maxDepth=4), k, parallelism=k).oof,
     }
     long = None
     for name, oof in members.items():
