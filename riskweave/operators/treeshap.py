@@ -10,8 +10,9 @@ model margin in log-odds (Spark GBT: 2 x sum of weighted tree outputs), so
 
 from __future__ import annotations
 
+import sys
 import uuid
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pandas as pd
@@ -181,10 +182,15 @@ def tree_shap(df: DataFrame, model, features_col: str = "features", id_col: str
     trees, factor = read_trees(spark, model)
     nf = n_features or int(model.numFeatures)
     base = base_value(trees, factor)
-    bc = spark.sparkContext.broadcast((trees, factor))
+    # executors need no copy of this library: the explain function and this module's helpers
+    # are pickled by value, and the broadcast holds plain tuples of numpy arrays
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    bc = spark.sparkContext.broadcast(([astuple(t) for t in trees], factor))
 
     def explain(batches):
-        ts, fac = bc.value
+        raw, fac = bc.value
+        ts = [Tree(*t) for t in raw]
         for pdf in batches:
             out_id, out_idx, out_phi = [], [], []
             for rid, vec in zip(pdf[id_col].to_numpy(), pdf["_x"]):
