@@ -71,6 +71,25 @@ def persist_input(df: DataFrame, checkpoint: bool = False) -> DataFrame:
     return df.checkpoint(eager=True) if checkpoint else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def fit_partitions(df: DataFrame, features_col: str, rows: int,
+                   target_bytes: int = 256 << 20) -> int:
+    """Partitions for an iterative fit: every boosting level / optimiser step is a pass over the
+    input, so per-task overhead repeats each pass. One partition per core while the table is
+    small, growing with its estimated size (rows x vector width) beyond that."""
+    sc = df.sparkSession.sparkContext
+    first = df.select(features_col).first()
+    width = first[0].size if first is not None else 1
+    est = rows * (8 * width + 64)
+    return max(sc.defaultParallelism, -(-est // target_bytes))
+
+
+def fit_input(df: DataFrame, features_col: str = "features", checkpoint: bool = False) -> DataFrame:
+    """Size the partitions for iterative fits (one count), then materialise once."""
+    rows = df.count()
+    parts = fit_partitions(df, features_col, rows)
+    return persist_input(df.repartition(parts), checkpoint)
+
+
 def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features", label_col: str = "target",
               fold_col: str = "fold", id_col: str = "id", early_stopping: bool = True,
               lineage: DataFrame | None = None, checkpoint: bool = False,
@@ -82,8 +101,8 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
     ML's ``CrossValidator`` does): each fit is its own set of jobs over the shared materialised
     input, so small fits overlap instead of leaving executors idle between their jobs."""
     spark = df.sparkSession
-    base = persist_input(df.select(id_col, fold_col, label_col, features_col, *keep)
-                         .withColumn(label_col, F.col(label_col).cast("double")), checkpoint)
+    base = fit_input(df.select(id_col, fold_col, label_col, features_col, *keep)
+                     .withColumn(label_col, F.col(label_col).cast("double")), features_col, checkpoint)
     es = early_stopping and estimator.hasParam("validationIndicatorCol")
 
     def fit_fold(f: int):
