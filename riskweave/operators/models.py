@@ -63,6 +63,12 @@ class OOFResult:
     oof: DataFrame
     models: list
     importances: DataFrame | None
+    base: DataFrame | None = None
+
+    def release(self) -> None:
+        """Drop the materialised fit input once the OOF table has been consumed or written."""
+        if self.base is not None:
+            self.base.unpersist()
 
 
 def persist_input(df: DataFrame, checkpoint: bool = False) -> DataFrame:
@@ -136,7 +142,7 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
         if lineage is not None:
             names = lineage.select(F.col("idx").alias("feature_idx"), F.col("name").alias("feature"))
             imp_df = imp_df.join(maybe_broadcast(names, bound=len(imps)), "feature_idx", "left")
-    return OOFResult(oof, models, imp_df)
+    return OOFResult(oof, models, imp_df, base)
 
 
 def mean_importance(importances: DataFrame) -> DataFrame:

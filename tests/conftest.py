@@ -16,7 +16,8 @@ def spark():
     from pyspark.sql import SparkSession
 
     from riskweave.session import LOCAL_CONF, ensure_checkpoint_dir
-    b = SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+    b = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "8g"))
     for k, v in LOCAL_CONF.items():
         b = b.config(k, v)
     s = b.getOrCreate()
