@@ -134,14 +134,19 @@ def _unwound_sum(z, o, w, length, i):
 
 
 def _recurse(t: Tree, x, phi, j, d, z, o, w, n, pz, po, pi, scale):
-    d, z, o, w = d.copy(), z.copy(), o.copy(), w.copy()
+    # path state lives in short Python lists: copying and indexing them is much cheaper than
+    # numpy scalars at these sizes (paths are at most depth + 1 long)
+    d, z, o, w = d[:], z[:], o[:], w[:]
     n = _extend(d, z, o, w, n, pz, po, pi)
-    if t.left[j] < 0:
+    left = t.left[j]
+    if left < 0:
+        v = t.value[j] * scale
         for i in range(1, n):
-            phi[d[i]] += _unwound_sum(z, o, w, n, i) * (o[i] - z[i]) * t.value[j] * scale
+            phi[d[i]] += _unwound_sum(z, o, w, n, i) * (o[i] - z[i]) * v
         return
-    f = int(t.feature[j])
-    hot, cold = (t.left[j], t.right[j]) if _goes_left(t, j, x[f]) else (t.right[j], t.left[j])
+    f = t.feature[j]
+    right = t.right[j]
+    hot, cold = (left, right) if _goes_left(t, j, x[f]) else (right, left)
     iz, io = 1.0, 1.0
     for k in range(1, n):
         if d[k] == f:
@@ -160,14 +165,23 @@ def expected_value(t: Tree, j: int = 0) -> float:
     return (t.cover[l] * expected_value(t, l) + t.cover[r] * expected_value(t, r)) / t.cover[j]
 
 
-def shap_row(trees: list[Tree], factor: float, x: np.ndarray, n_features: int) -> np.ndarray:
-    phi = np.zeros(n_features + 1)          # last slot absorbs the dummy path element
+def _as_lists(t: Tree) -> Tree:
+    """Plain-Python copies of the node arrays (fast scalar access in the recursion)."""
+    return Tree([int(v) for v in t.left], [int(v) for v in t.right], [int(v) for v in t.feature],
+                [float(v) for v in t.threshold], t.categories, [float(v) for v in t.value],
+                [float(v) for v in t.cover], float(t.weight))
+
+
+def shap_row(trees: list[Tree], factor: float, x, n_features: int) -> np.ndarray:
+    phi = [0.0] * (n_features + 1)          # last slot absorbs the dummy path element
+    xs = [float(v) for v in x]
     for t in trees:
+        if not isinstance(t.left, list):
+            t = _as_lists(t)
         depth = len(t.left) + 2
-        d = np.full(depth, -1, dtype=np.int64)
-        z, o, w = np.zeros(depth), np.zeros(depth), np.zeros(depth)
-        _recurse(t, x, phi, 0, d, z, o, w, 0, 1.0, 1.0, n_features, factor * t.weight)
-    return phi[:n_features]
+        _recurse(t, xs, phi, 0, [-1] * depth, [0.0] * depth, [0.0] * depth, [0.0] * depth,
+                 0, 1.0, 1.0, n_features, factor * t.weight)
+    return np.asarray(phi[:n_features])
 
 
 def base_value(trees: list[Tree], factor: float) -> float:
@@ -190,7 +204,7 @@ def tree_shap(df: DataFrame, model, features_col: str = "features", id_col: str
 
     def explain(batches):
         raw, fac = bc.value
-        ts = [Tree(*t) for t in raw]
+        ts = [_as_lists(Tree(*t)) for t in raw]
         for pdf in batches:
             out_id, out_idx, out_phi = [], [], []
             for rid, vec in zip(pdf[id_col].to_numpy(), pdf["_x"]):
