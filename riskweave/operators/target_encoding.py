@@ -32,10 +32,32 @@ def _encode(mean_col, n_col, gm, smoothing: float, count_weighted: bool):
     return (s * g + F.coalesce(mean_col, g)) / (s + F.lit(1.0))
 
 
+def join_state_split_hot(df: DataFrame, state: DataFrame, cells: DataFrame, key_col: str,
+                         fold_col: str, hot_key_rows: int) -> DataFrame:
+    """Left join of rows to the (key, fold) state with hot keys split off.
+
+    Keys holding more than ``hot_key_rows`` rows number at most rows / hot_key_rows (a proven
+    bound), so their slice of the state (x folds) is broadcast to the hot rows; every other row
+    takes the ordinary join, which then carries no heavy key. Exact: each row meets the same
+    state row either way. One small job reads the totals off the aggregated cells."""
+    tot = cells.agg(F.sum("_nf").alias("rows"), F.countDistinct(fold_col).alias("folds")).first()
+    bound = max(1, int(tot["rows"] or 0) // max(1, hot_key_rows))
+    hot = (cells.groupBy(key_col).agg(F.sum("_nf").alias("_rows"))
+           .where(F.col("_rows") > F.lit(hot_key_rows)).select(key_col))
+    hot_keys = maybe_broadcast(hot, bound=bound)
+    hot_state = maybe_broadcast(state.join(hot_keys, key_col, "left_semi"),
+                                bound=bound * max(1, int(tot["folds"] or 1)))
+    hot_part = df.join(hot_keys, key_col, "left_semi").join(hot_state, [key_col, fold_col], "left")
+    cold_part = df.join(hot_keys, key_col, "left_anti").join(maybe_broadcast(state), [key_col, fold_col], "left")
+    return hot_part.unionByName(cold_part)
+
+
 def target_encode_oof(df: DataFrame, key_col: str, fold_col: str = "fold", target_col: str = "target",
                       smoothing: float = 10.0, out_col: str = "enc", count_weighted: bool = False,
-                      fold_safe_prior: bool = False) -> DataFrame:
-    """Adds ``out_col`` to every row of ``df`` (which must carry ``fold_col``)."""
+                      fold_safe_prior: bool = False, hot_key_rows: int | None = None) -> DataFrame:
+    """Adds ``out_col`` to every row of ``df`` (which must carry ``fold_col``). With
+    ``hot_key_rows`` the state join splits hot keys off (see :func:`join_state_split_hot`);
+    by default adaptive execution broadcasts the state or splits skewed partitions itself."""
     y = F.col(target_col).cast("double")
     cells = (df.where(F.col(key_col).isNotNull())
              .groupBy(key_col, fold_col).agg(F.sum(y).alias("_sf"), F.count(F.lit(1)).alias("_nf")))
@@ -61,7 +83,10 @@ def target_encode_oof(df: DataFrame, key_col: str, fold_col: str = "fold", targe
             enc = F.when(F.col("_n") > 0, enc).otherwise(g)
         return out.withColumn(out_col, enc).drop("_m", "_n", "_gm")
     gm = _global_mean(df, target_col)
-    out = df.join(maybe_broadcast(state), [key_col, fold_col], "left")
+    if hot_key_rows is not None:
+        out = join_state_split_hot(df, state, cells, key_col, fold_col, hot_key_rows)
+    else:
+        out = df.join(maybe_broadcast(state), [key_col, fold_col], "left")
     return out.withColumn(out_col, _encode(F.col("_m"), F.col("_n"), gm, smoothing, count_weighted)) \
               .drop("_m", "_n")
 

@@ -155,3 +155,13 @@ def test_target_encoding_options(spark):
     out2 = {r.id: r.enc for r in target_encode_oof(df, "k", "fold", smoothing=10.0, fold_safe_prior=True).collect()}
     prior_f0 = (0 + 1 + 0 + 1) / 4                                  # rows of folds 1, 2
     assert math.isclose(out2[1], (10 * prior_f0 + 0.5) / 11)
+
+
+def test_target_encoding_hot_key_split_is_exact(spark):
+    # one key holds most rows; the split path must give the same encodings as the plain join
+    rows = [(i, "hot" if i % 4 else f"k{i % 9}", i % 5, (i * 7) % 3 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, k string, fold int, t boolean").selectExpr(
+        "id", "k", "fold", "cast(t as int) as target")
+    a = {r.id: r.enc for r in target_encode_oof(df, "k", "fold").collect()}
+    b = {r.id: r.enc for r in target_encode_oof(df, "k", "fold", hot_key_rows=50).collect()}
+    assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-12) for i in a)
