@@ -78,3 +78,12 @@ def test_coerce_flags_and_required_fields(spark):
                                 "request_id long, payload string")
     got = {r.request_id: r.error for r in pl.parse_requests(req, "payload", fields, required=("k",)).collect()}
     assert got == {1: None, 2: "missing field k", 3: None, 4: "invalid JSON", 5: "provide instance or instances"}
+
+
+def test_cluster_conf_scales_partitions():
+    from riskweave.session import cluster_conf
+    small = cluster_conf(10 << 20, executors=2, cores_per_executor=4)
+    big = cluster_conf(100 << 40, executors=1000, cores_per_executor=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16            # two waves of 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20) + 1
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
