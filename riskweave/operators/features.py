@@ -123,7 +123,8 @@ def scaled(c: str, fill: float | None, mean: float | None, std: float | None) ->
 
 def categories(df: DataFrame, cols: Sequence[str], fill: str = MISSING_TOKEN) -> dict[str, list[str]]:
     """D8 state: sorted distinct values (missing spelled ``__missing__``) of low-card columns.
-    Bounded: each column has fewer values than the low-card threshold."""
+    Call it only for columns known to be low-card (as ``detect_roles`` establishes): each set
+    then holds fewer values than the threshold."""
     if not cols:
         return {}
     row = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(fill)))).alias(c)

@@ -1,10 +1,13 @@
 """FeatureSpec -> FeatureModel (D20): fit a few bounded aggregations, transform with projections.
 
-fit:   1 pass  role detection (HLL, exact only near the threshold) + date maxima
-       1 job   exact medians (two-level quantiles, no single-task merge)
-       1 pass  mean / population std after imputation + low-card categories
-transform: one narrow projection per row (no shuffle, no Python); the feature vector is the
-       concatenation date parts/ages | scaled numerics | one-hot | signed hashed buckets,
+fit (over one persisted copy of the input):
+       1 pass  HyperLogLog estimate per string column
+       1 pass  value sets of the columns estimated at <= 2 x threshold (exact counts + categories)
+       1 pass  date maxima
+       1 job   exact medians (two-level quantiles, no single-task merge; or one sketch pass)
+       1 pass  mean / population std after imputation
+transform: narrow projections fused by whole-stage codegen (no shuffle, no Python); the
+       feature vector is date parts/ages | scaled numerics | one-hot | signed hashed buckets,
        described row by row by ``lineage()``.
 """
 
