@@ -707,3 +707,11 @@ def q_oof_metrics(spark, sf):
 def q_flagship_risk_bands(spark, sf):
     """Features -> OOF logistic + GBT -> AUC-weighted blend -> risk band counts."""
     return training.flagship(spark, sf).select("band", "n", r6("mean_p"))
+
+
+@query("roc_auc_grid")
+def q_roc_auc_grid(spark, sf):
+    """I1 with the opt-in score grid: scores floored to 1e-6 before collapsing, so the cells per
+    member are bounded by 10^6 however many rows are scored (ties within a grid step count half)."""
+    return (metrics.roc_auc(views.preds(spark, sf), group_cols=["model"], resolution=1e-6)
+            .select("model", r6("auc")))

@@ -491,6 +491,11 @@ UNION ALL SELECT model, 'log_loss', -1,
 FROM preds GROUP BY model"""
 
 
+
+ORACLE["roc_auc_grid"] = BASE + ",\npg AS (SELECT model, target, floor(p / 1e-6) * 1e-6 AS pg FROM preds)\n" + \
+    "SELECT model, {R6_}(auc) AS auc FROM (" + auc_sql("pg", ["model"], score="pg") + ") a"
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("
