@@ -10,7 +10,9 @@ import __spark_entry__ as entry_mod
 from .conftest import SF_SMALL
 from .oracle_check import compare, duck
 
-NAMES = sorted(entry_mod.queries())
+from riskweave.plans.catalog import QUERIES
+
+NAMES = sorted(QUERIES)
 SLOW = {"gbt_oof", "gbt_cat_oof", "gbt_depthwise_oof", "flagship_risk_bands", "oof_assembly", "score_batch", "tree_shap", "stream_score"}
 
 
