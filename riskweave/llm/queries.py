@@ -24,3 +24,32 @@ def query(name: str):
 def op1(spark, sf):
     from riskweave.llm.ngram_join import jaccard_components
     return jaccard_components(c.documents(spark, sf))
+
+
+@query("op9_best_fit_packing")
+def op9(spark, sf):
+    from riskweave.llm.packing import best_fit_packing
+    return best_fit_packing(c.documents(spark, sf))
+
+
+@query("op10_sharding")
+def op10(spark, sf):
+    from pyspark.sql import functions as F
+
+    from riskweave.llm.sharding import place
+    return place(c.documents(spark, sf)).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_warc")
+def op5(spark, sf):
+    from riskweave.llm.warc import archive_pages, page_digest
+    return page_digest(archive_pages(c.documents(spark, sf, "pages"), c.stage_root(spark)))
+
+
+@query("op7_token_counts")
+def op7(spark, sf):
+    import public_tokenizers
+
+    from riskweave.llm.bpe_count import token_counts
+    return token_counts(c.documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
