@@ -53,3 +53,9 @@ def op7(spark, sf):
 
     from riskweave.llm.bpe_count import token_counts
     return token_counts(c.documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op3_suffix_array_dedup")
+def op3(spark, sf):
+    from riskweave.llm.suffix_dedup import remove_repeats
+    return remove_repeats(c.documents(spark, sf), kept=False)
