@@ -13,10 +13,11 @@ A document is its set of word n-grams (64-bit hashes, sorted). Two documents lin
 * **Bitmaps.** Each set has a 512-bit parity bitmap. The bits in which two bitmaps differ are a
   lower bound of the symmetric difference, and so bound the overlap from above.
 * **Exact check.** Pairs that pass are intersected as sorted arrays.
-* **No all-pairs groups.** Equal sets are one node. In each cell every node is first paired with
-  the cell's smallest node only; verified links make components. Only then are pairs of one cell
-  that lie in different components verified, so a group of near copies costs about as many
-  checks as it has members and no link between different components is lost.
+* **Groups of copies.** Equal sets are one node. In each cell every node is first paired with the
+  cell's smallest node only, then with the node before it; verified links make components. Only
+  then are pairs of one cell that still lie in different components compared by their bitmaps,
+  and verified where these allow a link. So a group of near copies costs about as many checks as
+  it has members, and no link between different components is lost.
 
 Hashes of shingles and of sets have 64 bits; a false link needs a collision among them.
 """
@@ -186,15 +187,17 @@ def _verify(n, num, den):
     return run
 
 
-def _bounded(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose bitmaps leave the overlap large enough."""
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), *[F.col(f"_w{k}").alias(f"p{k}") for k in range(WORDS)])
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), *[F.col(f"_w{k}").alias(f"q{k}") for k in range(WORDS)])
-    j = pairs.join(left, "a").join(right, "b")
-    differ = sum((F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}"))) for k in range(1, WORDS)),
-                 F.bit_count(F.col("p0").bitwiseXOR(F.col("q0"))))
-    both = F.floor((F.col("na") + F.col("nb") - differ) / 2)
-    return j.where(den * F.least(both, "na", "nb") >= num * (F.col("na") + F.col("nb") - F.least(both, "na", "nb"))).select("a", "b")
+def _side(nodes: DataFrame, x: str) -> DataFrame:
+    """Size and bitmap of each node, named for one side of a pair."""
+    return nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(f"_w{k}").alias(f"w{k}_{x}") for k in range(WORDS)])
+
+
+def _may_link(num: int, den: int):
+    """Whether the bitmaps of the sides a and b leave the overlap large enough."""
+    differ = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in range(1, WORDS)),
+                 F.bit_count(F.col("w0_a").bitwiseXOR(F.col("w0_b"))))
+    both = F.least(F.floor((F.col("n_a") + F.col("n_b") - differ) / 2), "n_a", "n_b")
+    return den * both >= num * (F.col("n_a") + F.col("n_b") - both)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 4,
@@ -212,38 +215,45 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = c.stage(profile.where("_node is not null").groupBy(F.col("_node").alias("node")).agg(
         F.min("_id").alias("rep"), F.first("_n").alias("n"), *[F.first(f"_w{k}").alias(f"_w{k}") for k in range(WORDS)]))
 
-    # cells that hold two nodes or more, as (key, smallest node, other node)
+    # cells that hold two nodes or more: each node with the cell's smallest and the one before it
     cells = texts.select("_text").mapInArrow(_emit_cells(n, num, den), "key long, node long")
     w = Window.partitionBy("key").orderBy("node")
     star = c.stage(cells.select("key", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("prev"))
-                   .where("node != first and node != prev").select("key", "first", "node"))
+                   .where("node != first and node != prev"))
 
     ids = star.select("node").unionByName(star.select(F.col("first").alias("node"))).distinct()
     wanted = nodes.join(ids, "node", "left_semi").select("node", F.col("rep").alias("_id"))
     held = c.stage(texts.join(wanted, "_id").select("node", "_text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among pairs (a, b) that passed the bitmaps."""
         ta = held.select(F.col("node").alias("a"), F.col("_text").alias("ta"))
         tb = held.select(F.col("node").alias("b"), F.col("_text").alias("tb"))
-        rows = _bounded(pairs, nodes, num, den).join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb")
-        return rows.mapInArrow(_verify(n, num, den), "a long, b long")
+        return c.stage(pairs.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(n, num, den), "a long, b long"))
+
+    def bounded(pairs: DataFrame) -> DataFrame:
+        return pairs.join(_side(nodes, "a"), "a").join(_side(nodes, "b"), "b").where(_may_link(num, den)).select("a", "b")
+
+    def rooted(df: DataFrame, root: DataFrame, x: str) -> DataFrame:
+        return df.join(root.select(F.col("node").alias(x), F.col("root").alias(f"r_{x}")), x, "left").withColumn(f"r_{x}", F.coalesce(f"r_{x}", x))
 
     # first each node with the smallest node of most of its cells
-    tried = c.stage(star.groupBy(F.col("node").alias("b")).agg(F.mode("first", True).alias("a")).select("a", "b"))
-    links = c.stage(verified(tried))
-    root = components(links)
-    # then the pairs of a cell that are still in different components
-    side = lambda x: root.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-    known = star.join(side("node"), "node", "left").join(side("first"), "first", "left").select(
-        "key", "node", "first", F.coalesce("node_root", "node").alias("node_root"), F.coalesce("first_root", "first").alias("first_root"))
-    open_keys = known.where("node_root != first_root").select("key").distinct()
+    links = verified(bounded(star.groupBy(F.col("node").alias("b")).agg(F.mode("first", True).alias("a")).select("a", "b")))
+    root = c.components(links)
+    # then neighbours in cells that are still in different components
+    near = star.where("prev != first").select(F.col("prev").alias("a"), F.col("node").alias("b")).distinct()
+    links = links.unionByName(verified(bounded(rooted(rooted(near, root, "a"), root, "b").where("r_a != r_b").select("a", "b"))))
+    root = c.components(links)
+    # last all pairs of a cell that still are: the bitmaps are compared in the join
+    known = rooted(rooted(star.select("key", "node", "first"), root, "node"), root, "first")
+    open_keys = known.where("r_node != r_first").select("key").distinct()
     rest = c.stage(known.join(open_keys, "key", "left_semi"))
-    member = rest.select("key", "node", "node_root").unionByName(
-        rest.select("key", F.col("first").alias("node"), F.col("first_root").alias("node_root")).distinct())
-    x = member.select("key", F.col("node").alias("a"), F.col("node_root").alias("ra"))
-    y = member.select("key", F.col("node").alias("b"), F.col("node_root").alias("rb"))
-    pairs = x.join(y, "key").where("a < b and ra != rb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    root = components(links.unionByName(verified(pairs)))
+    member = rest.select("key", "node", F.col("r_node").alias("root")).unionByName(
+        rest.select("key", F.col("first").alias("node"), F.col("r_first").alias("root")).distinct())
+    x = member.select("key", F.col("node").alias("a"), F.col("root").alias("r_a")).join(_side(nodes, "a"), "a")
+    y = member.select("key", F.col("node").alias("b"), F.col("root").alias("r_b")).join(_side(nodes, "b"), "b")
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _may_link(num, den)).select("a", "b").distinct()
+    root = c.components(links.unionByName(verified(pairs)))
 
     label = nodes.select("node", "rep").join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
@@ -252,9 +262,6 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("component_id", "_id").alias("component_id"))
 
 
-components = c.components
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5,
              num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without the members of a near-duplicate group other than its smallest id (rows
