@@ -59,3 +59,12 @@ def op7(spark, sf):
 def op3(spark, sf):
     from riskweave.llm.suffix_dedup import remove_repeats
     return remove_repeats(c.documents(spark, sf), kept=False)
+
+
+@query("op8_substring_dedup")
+def op8(spark, sf):
+    from pyspark.sql import functions as F
+
+    from riskweave.llm.cdc import dedup_chunks
+    return dedup_chunks(c.documents(spark, sf)).select(
+        "doc_id", "n_bytes", "n_shared", "shared_bytes", "n_cut", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
