@@ -68,3 +68,12 @@ def op8(spark, sf):
     from riskweave.llm.cdc import dedup_chunks
     return dedup_chunks(c.documents(spark, sf)).select(
         "doc_id", "n_bytes", "n_shared", "shared_bytes", "n_cut", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op6_language_id")
+def op6(spark, sf):
+    from riskweave.llm import langid
+    docs = c.documents(spark, sf)
+    model = langid.fit_documents(docs)
+    return langid.predict(docs.select("doc_id", "text"), model, columns=["doc_id"]).select(
+        "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
