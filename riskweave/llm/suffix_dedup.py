@@ -67,14 +67,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int):
 
 
 def _anchor_rows(length):
+    """Rows (text, a, f, at, m). Equal blocks of one batch are combined: the first has their number
+    as ``m``; the others are known to repeat and come as spans (at, -m bytes), joined where they
+    touch, under a key of their own. So a block that is everywhere sends a row per batch."""
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in c.text_chunks(batch.column(2)):
                 key, block, row, q1, q2, _ = anchors(data, offsets, length)
-                at = pa.array(a + row)
+                _, first, back, count = np.unique(block, return_index=True, return_inverse=True, return_counts=True)
+                lead = np.zeros(len(block), bool)
+                lead[first] = True
+                rest = ~lead
+                begin = rest.copy()
+                begin[1:] &= lead[:-1] | (row[1:] != row[:-1])
+                start = np.flatnonzero(begin)
+                group = np.cumsum(begin)[rest] - 1
+                stop = np.zeros(len(start), np.int64)
+                stop[group] = q2[rest] + length                # the last of each run stays
+                rows = np.concatenate((row[lead], row[start]))
+                at = np.concatenate((q1[lead] * 1024 + (q2 - q1)[lead], q1[start]))
+                m = np.concatenate((count[back[lead]], q1[start] - stop))
+                own = c.mix64(block[start] + q1[start].astype(U64) + (row[start].astype(U64) << U64(32)))
+                take = pa.array(a + rows)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(key.view(np.int64)), pa.array(block.view(np.int64)),
-                     pa.array(q1 * 1024 + (q2 - q1))], names=["_id", "_th", "a", "f", "at"])
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate((key[lead], own)).view(np.int64)),
+                     pa.array(np.concatenate((block[lead], own)).view(np.int64)), pa.array(at), pa.array(m)], names=["_id", "_th", "a", "f", "at", "m"])
 
     return run
 
@@ -233,17 +250,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     row = F.struct(*[docs[x].alias(f"c{k}") for k, x in enumerate(columns)])
     rows = docs.select(F.col(id_col).alias("_id"), F.hash(text_col).alias("_th"), F.col(text_col).alias("_text"), row.alias("_row"))
     found = rows.select("_id", "_th", "_text").where(F.octet_length("_text") >= length).mapInArrow(
-        _anchor_rows(length), f"_id {id_type}, _th int, a long, f long, at long")
+        _anchor_rows(length), f"_id {id_type}, _th int, a long, f long, at long, m long")
     same = Window.partitionBy("a", "f")
     group = Window.partitionBy("a")
-    found = c.stage(found.repartition("a").select("*", F.count("*").over(same).alias("n"))
-                    .select("*", F.min("f").over(group).alias("f0"), F.max("f").over(group).alias("f1"))
-                    .where("n > 1 or f0 != f1").select("_id", "_th", "a", "f", "at", "n", (F.col("f0") != F.col("f1")).alias("open")))
-    settled = found.where("n > 1").select("_id", "_th", F.floor(F.col("at") / 1024).alias("start"),
-                                          (F.floor(F.col("at") / 1024) + F.col("at") % 1024 + length).alias("end"))
-    asked = found.where("open").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "f", "n", "at")).alias("asked"))
+    found = c.stage(found.repartition("a").select("*", F.sum("m").over(same).alias("n"))
+                    .select("*", (F.min("f").over(group) != F.max("f").over(group)).alias("open"))
+                    .where("n > 1 or open or m < 0").select("_id", "_th", "a", "f", "at", "m", "n", "open"))
+    first = F.when(F.col("m") < 0, F.col("at")).otherwise(F.floor(F.col("at") / 1024))
+    size = F.when(F.col("m") < 0, -F.col("m")).otherwise(F.col("at") % 1024 + length)
+    settled = found.where("n > 1 or m < 0").select("_id", "_th", first.alias("start"), (first + size).alias("end"))
+    asked = found.where("open and m > 0").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "f", "n", "at")).alias("asked"))
     on = lambda x, y: x["_id"].eqNullSafe(y["_id"]) & (x["_th"] == y["_th"])
-    blocks = rows.join(asked, on(rows, asked)).select(rows["_id"], rows["_th"], "_text", "asked").mapInArrow(
+    # both joins take the same columns of the texts, so the second reuses the first one's shuffle
+    blocks = rows.join(asked, on(rows, asked)).select(rows["_id"], rows["_th"], "_text", "asked", "_row").mapInArrow(
         _fetch(length), f"_id {id_type}, _th int, a long, f long, n long, at long, block binary")
     shards = blocks.repartition("a").sortWithinPartitions("a", "f")
     spans = settled.unionByName(shards.mapInArrow(_sort_shards(length), f"_id {id_type}, _th int, start long, end long"))
