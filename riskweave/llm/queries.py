@@ -77,3 +77,13 @@ def op6(spark, sf):
     model = langid.fit_documents(docs)
     return langid.predict(docs.select("doc_id", "text"), model, columns=["doc_id"]).select(
         "doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op4_fertility_rules")
+def op4(spark, sf):
+    import public_tokenizers
+
+    from riskweave.llm.fertility import judge
+    return judge(c.documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"), columns=["doc_id"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_tokens", "chars_per_token", "byte_share", "entropy")
