@@ -87,3 +87,9 @@ def op4(spark, sf):
     return judge(c.documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"), columns=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_tokens", "chars_per_token", "byte_share", "entropy")
+
+
+@query("op2_benchmark_decontamination")
+def op2(spark, sf):
+    from riskweave.llm.decontam import contaminated
+    return contaminated(c.documents(spark, sf), c.documents(spark, sf, "benchmark"))
