@@ -58,7 +58,7 @@ def op7(spark, sf):
 @query("op3_suffix_array_dedup")
 def op3(spark, sf):
     from riskweave.llm.suffix_dedup import remove_repeats
-    return remove_repeats(c.documents(spark, sf), kept=False)
+    return remove_repeats(c.documents(spark, sf), kept=None)
 
 
 @query("op8_substring_dedup")

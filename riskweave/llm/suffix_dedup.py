@@ -206,7 +206,7 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[at, 0], reach[np.concatenate((at[1:] - 1, [len(spans) - 1]))]], axis=1)
 
 
-def _cut(keep_bytes):
+def _cut(what):
     def run(batches):
         for batch in batches:
             raw, off = c.text_buffers(batch.column(1))
@@ -226,18 +226,19 @@ def _cut(keep_bytes):
                 kept.append(text[last:])
                 kept = b"".join(kept)
                 rows.append((len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(),
-                             kept if keep_bytes and valid[i] else None))
+                             None if not valid[i] or what is None else kept if what == "bytes" else kept.decode("utf-8", "ignore")))
             cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]],
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary() if what == "bytes" else pa.string()))]],
                                              names=["_row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                   columns: list[str] | None = None, kept: bool = True) -> DataFrame:
+                   columns: list[str] | None = None, kept: str | None = "bytes") -> DataFrame:
     """Per input row its ``columns`` (default: the id), ``n_bytes``, ``n_removed``, ``n_spans``,
-    ``kept_sha256`` and, with ``kept``, the bytes left (``kept``; they may end within a character).
+    ``kept_sha256`` and ``kept``: the bytes left, or with ``kept="text"`` the text they make without
+    the rests of characters that were cut through (not with ``kept=None``).
 
     Removed is each byte covered by a string of ``length`` bytes that also starts elsewhere, in
     the same row or another; repeated rows so remove one another, an id that comes with several
@@ -269,5 +270,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = spans.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     row_type = rows.schema["_row"].dataType.simpleString()
     out = rows.join(spans, on(rows, spans), "left").select("_row", "_text", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("_spans")).mapInArrow(
-        _cut(kept), f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+        _cut(kept), f"_row {row_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept {'binary' if kept == 'bytes' else 'string'}")
     return out.select(*[F.col(f"_row.c{k}").alias(x) for k, x in enumerate(columns)], "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept else []))
