@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.metrics import roc_auc
-from riskweave.operators.rank import maybe_broadcast
+from riskweave.operators.metrics import auc_of_cells, roc_auc
+from riskweave.operators.rank import materialize, maybe_broadcast
 
 
 def auc_weights(preds: DataFrame, model_col: str = "model") -> DataFrame:
@@ -26,10 +26,19 @@ def auc_weights(preds: DataFrame, model_col: str = "model") -> DataFrame:
 def blend_weighted(preds: DataFrame, weights: DataFrame, id_col: str = "id",
                    model_col: str = "model") -> DataFrame:
     """Sum over members of weight x p per id (one partial-agg shuffle on id). The weights
-    table has one row per member; adaptive execution broadcasts it from its measured size."""
+    table has one row per member; adaptive execution broadcasts it from its measured size.
+    An id without exactly one prediction of every member raises."""
     w = maybe_broadcast(weights.select(model_col, "weight"))
-    return (preds.join(w, model_col, "inner").groupBy(id_col)
-            .agg(F.sum(F.col("weight") * F.col("p")).alias("p")))
+    n = weights.select(F.count(F.lit(1))).scalar()
+    blended = (preds.join(w, model_col, "inner").groupBy(id_col)
+               .agg(F.sum(F.col("weight") * F.col("p")).alias("_p"), F.count("p").alias("_n"), F.count(F.lit(1)).alias("_rows")))
+    wrong = (F.col("_n") != n) | (F.col("_rows") != n)
+    return blended.select(id_col, F.when(wrong, _incomplete(F.col(id_col))).otherwise(F.col("_p")).alias("p"))
+
+
+def _incomplete(id_: Column) -> Column:
+    return F.raise_error(F.concat(F.lit("blend: a member's prediction is missing or repeated for id "),
+                                  F.coalesce(id_.cast("string"), F.lit("NULL")))).cast("double")
 
 
 def normalise(weights: dict[str, float]) -> dict[str, float]:
@@ -41,20 +50,24 @@ def normalise(weights: dict[str, float]) -> dict[str, float]:
 
 
 def blend_fixed(members: dict[str, DataFrame], weights: dict[str, float], id_col: str = "id",
-                normalise_weights: bool = False) -> DataFrame:
-    """Keyed inner joins of member submissions (id, p) and a weighted sum."""
+                normalise_weights: bool = False, fill_missing: float | None = None) -> DataFrame:
+    """Keyed full joins of member submissions (id, p) and a weighted sum. An id that a member
+    lacks raises, unless ``fill_missing`` stands in for its prediction (G7)."""
+    require_members(len(weights), 1, "blending")
     if normalise_weights:
         weights = normalise(weights)
     names = list(weights)
     out = None
     for m in names:
         d = members[m].select(id_col, F.col("p").alias(f"_p_{m}"))
-        out = d if out is None else out.join(d, id_col, "inner")
-    expr = None
+        out = d if out is None else out.join(d, id_col, "full")
+    if fill_missing is not None:
+        out = out.fillna(fill_missing, subset=[f"_p_{m}" for m in names])
+    expr, missing = None, None
     for m in names:
-        term = F.lit(float(weights[m])) * F.col(f"_p_{m}")
-        expr = term if expr is None else expr + term
-    return out.select(id_col, expr.alias("p"))
+        term, gap = F.lit(float(weights[m])) * F.col(f"_p_{m}"), F.col(f"_p_{m}").isNull()
+        expr, missing = (term, gap) if expr is None else (expr + term, missing | gap)
+    return out.select(id_col, F.when(missing, _incomplete(F.col(id_col))).otherwise(expr).alias("p"))
 
 
 def stack_matrix(preds: DataFrame, models: Sequence[str], id_col: str = "id",
@@ -79,25 +92,41 @@ def candidates(models: Sequence[str], n: int, seed: int = 42) -> list[dict[str,
     return [normalise({m: float(w) for m, w in zip(models, row)}) for row in draws]
 
 
-def candidate_scores(wide: DataFrame, models: Sequence[str], cands: list[dict[str, float]],
-                     keep: Sequence[str] = ("id", "fold", "target")) -> DataFrame:
-    """Rows x candidates: each row emits its blended score under every candidate weight vector
-    (a generator over a literal array, no join). Output keep..., candidate, score."""
-    scores = []
-    for i, w in enumerate(cands):
-        expr = None
-        for m in models:
-            term = F.lit(w[m]) * F.col(m)
-            expr = term if expr is None else expr + term
-        scores.append(F.struct(F.lit(i).alias("candidate"), expr.alias("score")))
-    return wide.select(*keep, F.inline(F.array(*scores)))
+#: Candidates whose scores are expanded at once.
+CANDIDATE_BATCH = 16
+
+
+def candidate_auc(wide: DataFrame, models: Sequence[str], cands: list[dict[str, float]],
+                  group_cols: Sequence[str] = ()) -> DataFrame:
+    """group..., candidate, auc of every candidate weight vector.
+
+    Rows collapse to distinct member-score tuples with positive and negative counts first (map-side
+    combined), so rows that share their scores are expanded once. Candidates are expanded
+    ``CANDIDATE_BATCH`` at a time over the one written tuple table: what is shuffled at once does
+    not grow with the number of candidates."""
+    y = F.col("target").cast("long")
+    tuples = materialize(wide.groupBy(*group_cols, *models).agg(F.sum(y).alias("pos"), F.sum(F.lit(1) - y).alias("neg")))
+    out = None
+    for lo in range(0, len(cands), CANDIDATE_BATCH):
+        scores = []
+        for i, w in enumerate(cands[lo:lo + CANDIDATE_BATCH], lo):
+            expr = None
+            for m in models:
+                term = F.lit(w[m]) * F.col(m)
+                expr = term if expr is None else expr + term
+            scores.append(F.struct(F.lit(i).alias("candidate"), expr.alias("_s")))
+        keys = [*group_cols, "candidate"]
+        cells = (tuples.select(*group_cols, "pos", "neg", F.inline(F.array(*scores)))
+                 .groupBy(*keys, "_s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+        part = auc_of_cells(cells, keys)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def blend_search(wide: DataFrame, models: Sequence[str], cands: list[dict[str, float]]) -> DataFrame:
-    """AUC of every candidate blend in one job; ``best`` marks the highest AUC (lowest
-    candidate id on ties)."""
-    sc = candidate_scores(wide, models, cands)
-    aucs = roc_auc(sc, "score", "target", ["candidate"])
+    """AUC of every candidate blend; ``best`` marks the highest AUC (lowest candidate id on
+    ties)."""
+    aucs = candidate_auc(wide, models, cands)
     w = Window.orderBy(F.desc("auc"), F.asc("candidate"))   # over len(cands) rows only
     wt = wide.sparkSession.createDataFrame(
         [(i, *[c[m] for m in models]) for i, c in enumerate(cands)],

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskweave.functions.hashing import MISSING_TOKEN, hash_bucket, hash_sign, token
+from riskweave.functions.missing import number
 from riskweave.operators.quantiles import exact_quantiles, long_form
 from riskweave.operators.rank import maybe_broadcast
 
@@ -31,6 +32,12 @@ def string_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, T.StringType) and f.name not in exclude]
 
 
+def _pairs(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Distinct (column c, value v) pairs, map-side combined."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
+                                        for c in cols]))).distinct()
+
+
 def distinct_incl_missing(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """H6: exact distinct count of each column with missing counted as one more value.
 
@@ -39,49 +46,28 @@ def distinct_incl_missing(df: DataFrame, cols: Sequence[str]) -> dict[str, int]:
     """
     if not cols:
         return {}
-    lf = (df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))
-                                       for c in cols])))
-          .distinct().groupBy("c").agg(F.count(F.lit(1)).alias("n")))
-    return {r["c"]: int(r["n"]) for r in lf.collect()}
+    rows = _pairs(df, cols).groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()
+    return {r["c"]: int(r["n"]) for r in rows}
 
 
 def detect_roles(df: DataFrame, id_cols: Sequence[str], target_col: str, date_cols: Sequence[str],
-                 low_card_thresh: int = 30, exact: bool = False) -> dict:
+                 low_card_thresh: int = 30) -> dict:
     """B2: numeric / low-card / high-card split; strings with distinct (incl. missing) below the
     threshold are low-card.
 
-    Pass 1: HyperLogLog estimate per string column. Pass 2: for columns estimated at no more
-    than twice the threshold only, the exact value set (``collect_set`` of at most ~2 x
-    threshold values, a proven bound) gives both the exact count and the sorted categories
-    of the low-card ones. Columns far above the threshold are high-card without exact counting
-    (``exact=True`` counts them exactly too, in long form)."""
+    All counts are exact, in long form (one row per distinct (column, value) pair after map-side
+    distinct). The sorted categories of the low-card columns are then collected: fewer than the
+    threshold per column."""
     excluded = set(id_cols) | {target_col} | set(date_cols)
     nums = numeric_columns(df, excluded)
     strs = string_columns(df, excluded)
-    counts: dict[str, int] = {}
-    cats: dict[str, list[str]] = {}
-    if strs:
-        row = df.agg(*[(F.approx_count_distinct(c, 0.05) +
-                        F.max(F.col(c).isNull().cast("int"))).alias(c) for c in strs]).first()
-        est = {c: int(row[c] or 0) for c in strs}
-        small = [c for c in strs if est[c] <= low_card_thresh * 2]
-        if small:
-            sets = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"),
-                                                                  F.lit(MISSING_TOKEN)))).alias(c)
-                            for c in small]).first()
-            for c in small:
-                counts[c] = len(sets[c])
-                cats[c] = list(sets[c])
-        big = [c for c in strs if c not in counts]
-        if exact:
-            counts.update(distinct_incl_missing(df, big))
-        else:
-            counts.update({c: est[c] for c in big})
+    counts = distinct_incl_missing(df, strs)
+    counts = {c: counts.get(c, 0) for c in strs}
     low = [c for c in strs if counts[c] < low_card_thresh]
     high = [c for c in strs if counts[c] >= low_card_thresh]
     return {"numeric": nums, "low_card": low, "high_card": high,
             "date": [c for c in date_cols if c in df.columns], "distinct": counts,
-            "categories": {c: cats[c] for c in low}}
+            "categories": _value_lists(df, low, MISSING_TOKEN)}
 
 
 def medians(df: DataFrame, cols: Sequence[str], mode: str = "exact",
@@ -94,7 +80,7 @@ def medians(df: DataFrame, cols: Sequence[str], mode: str = "exact",
     if not cols:
         return {}
     if mode == "approx":
-        row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c)
+        row = df.agg(*[F.percentile_approx(number(F.col(c)), 0.5, accuracy).alias(c)
                        for c in cols]).first()
         return {c: row[c] for c in cols}
     q = exact_quantiles(long_form(df, [], cols), ["column_name"], "value", [0.5], n_groups=len(cols))
@@ -103,10 +89,10 @@ def medians(df: DataFrame, cols: Sequence[str], mode: str = "exact",
 
 
 def moments(df: DataFrame, cols: Sequence[str], fills: dict[str, float | None]) -> dict[str, tuple]:
-    """D6 state: mean and population std after imputation (one aggregation)."""
+    """D6 state: mean and population std after imputation (one aggregation); NaN is missing."""
     exprs = []
     for c in cols:
-        x = F.coalesce(F.col(c).cast("double"), F.lit(fills.get(c)))
+        x = F.coalesce(number(F.col(c)), F.lit(fills.get(c)))
         exprs += [F.avg(x).alias(f"{c}__m"), F.stddev_pop(x).alias(f"{c}__s")]
     if not exprs:
         return {}
@@ -116,20 +102,29 @@ def moments(df: DataFrame, cols: Sequence[str], fills: dict[str, float | None])
 
 def scaled(c: str, fill: float | None, mean: float | None, std: float | None) -> Column:
     """(x - mean) / std after median fill; zero std divides by one."""
-    x = F.coalesce(F.col(c).cast("double"), F.lit(fill).cast("double"))
+    x = F.coalesce(number(F.col(c)), F.lit(fill).cast("double"))
     sd = 1.0 if (std is None or std == 0.0) else std
     return (x - F.lit(mean).cast("double")) / F.lit(sd)
 
 
-def categories(df: DataFrame, cols: Sequence[str], fill: str = MISSING_TOKEN) -> dict[str, list[str]]:
-    """D8 state: sorted distinct values (missing spelled ``__missing__``) of low-card columns.
-    Call it only for columns known to be low-card (as ``detect_roles`` establishes): each set
-    then holds fewer values than the threshold."""
+def _value_lists(df: DataFrame, cols: Sequence[str], fill: str) -> dict[str, list[str]]:
     if not cols:
         return {}
-    row = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(fill)))).alias(c)
-                   for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+    rows = _pairs(df, cols).select("c", F.coalesce("v", F.lit(fill)).alias("v")).distinct().collect()
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v, key=lambda x: x.encode("utf-8")) for c, v in out.items()}
+
+
+def categories(df: DataFrame, cols: Sequence[str], fill: str = MISSING_TOKEN, limit: int = 1000) -> dict[str, list[str]]:
+    """D8 state: sorted distinct values (missing spelled ``__missing__``) of low-card columns. The
+    values come to the driver, so they are counted first: a column with more than ``limit``
+    raises."""
+    for c, n in distinct_incl_missing(df, cols).items():
+        if n > limit:
+            raise ValueError(f"column {c} has {n} distinct values, more than {limit}")
+    return _value_lists(df, cols, fill)
 
 
 def one_hot_columns(c: str, cats: Sequence[str], fill: str = MISSING_TOKEN) -> list[Column]:
@@ -179,14 +174,6 @@ def hashed_cells(k: int, n: int, prefix: str = "_h") -> list[Column]:
     return [cell(i) for i in range(n)]
 
 
-def hashed_dense(cols: Sequence[str], n: int) -> Column:
-    """Dense array of n hashed values in one expression (higher-order functions; used where a
-    single column expression is needed, e.g. in a streaming projection)."""
-    entries = hashed_entries(cols, n)
-    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.aggregate(
-        F.filter(entries, lambda e: e["bucket"] == i), F.lit(0.0), lambda acc, e: acc + e["value"]))
-
-
 def cat_fill(c: str, fill: str = "NA") -> Column:
     """Categorical fill before the string cast (missing becomes NA, not 'nan')."""
     return F.coalesce(F.col(c).cast("string"), F.lit(fill)).alias(c)
@@ -194,11 +181,11 @@ def cat_fill(c: str, fill: str = "NA") -> Column:
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """B16/D17 state: dense 0-based code per distinct non-missing value in sorted order.
-    The code table has one row per distinct value; codes come from the two-level rank."""
-    from riskweave.operators.rank import dense_row_number, string_order_proxy
-    vals = (df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
-            .withColumn("_proxy", string_order_proxy(F.col(col))))
-    ranked = dense_row_number(vals, [], [col], bucket_on="_proxy", out_col="_rn")
+    The code table has one row per distinct value. Values are range-partitioned on the whole
+    string; a value's code is its place in its partition plus the sizes of the partitions before."""
+    from riskweave.operators.rank import dense_row_number, range_buckets
+    vals = df.select(F.col(col).cast("string").alias(col)).where(F.col(col).isNotNull()).distinct()
+    ranked = dense_row_number(range_buckets(vals, col, "_range"), [], [col], bucket=F.col("_range"), out_col="_rn")
     return ranked.select(col, (F.col("_rn") - 1).cast("long").alias("code"))
 
 

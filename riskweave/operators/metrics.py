@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskweave.operators.rank import materialize, maybe_broadcast, running_totals
@@ -39,9 +39,24 @@ def roc_auc(df: DataFrame, score_col: str = "p", label_col: str = "target",
     AUC = sum_s pos(s) * (neg(below s) + neg(s)/2) / (P * N). Exact by default; with
     ``resolution`` scores closer than the grid count as ties (bounded cells, approximate).
     """
+    return auc_of_cells(_score_cells(df, score_col, label_col, list(group_cols), resolution), group_cols, out_col)
+
+
+#: Equal steps of [0, 1] that scores are dealt into before they are ordered.
+SCORE_STEPS = 8192
+
+
+def score_bucket(score: str = "_s") -> Column:
+    """A first-level bucket that is monotone in the score: the step of [0, 1] it lies in, scores
+    outside in the end steps. It needs no pass over the data; probabilities spread over it."""
+    inside = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(1.0))
+    return F.floor(inside * F.lit(float(SCORE_STEPS))).cast("int")
+
+
+def auc_of_cells(cells: DataFrame, group_cols: Sequence[str] = (), out_col: str = "auc") -> DataFrame:
+    """AUC per group from distinct (group, score ``_s``) cells with counts ``pos`` and ``neg``."""
     group_cols = list(group_cols)
-    cells = _score_cells(df, score_col, label_col, group_cols, resolution)
-    ranked = running_totals(cells, group_cols, ["_s"], ["neg"], prefix="below_", inclusive=False)
+    ranked = running_totals(cells, group_cols, ["_s"], ["neg"], bucket=score_bucket(), prefix="below_", inclusive=False)
     return (ranked.groupBy(*group_cols)
             .agg((F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))
                   / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias(out_col)))

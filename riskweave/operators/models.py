@@ -101,7 +101,8 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
               lineage: DataFrame | None = None, checkpoint: bool = False,
               keep: Sequence[str] = (), parallelism: int = 1) -> OOFResult:
     """Fit one model per fold on the other folds (held-out fold as the early-stopping
-    set when the estimator supports it), score the held-out fold, union the folds.
+    set when the estimator supports it), score the held-out fold, union the folds. ``estimator``
+    may be a function of the fold, for settings that depend on the fold's training rows.
 
     ``parallelism`` > 1 submits that many fold fits concurrently from driver threads (as Spark
     ML's ``CrossValidator`` does): each fit is its own set of jobs over the shared materialised
@@ -109,12 +110,11 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
     spark = df.sparkSession
     base = fit_input(df.select(id_col, fold_col, label_col, features_col, *keep)
                      .withColumn(label_col, F.col(label_col).cast("double")), features_col, checkpoint)
-    es = early_stopping and estimator.hasParam("validationIndicatorCol")
 
     def fit_fold(f: int):
-        est = estimator.copy()
+        est = (estimator(f) if callable(estimator) else estimator).copy()
         est.setFeaturesCol(features_col).setLabelCol(label_col)
-        if es:
+        if early_stopping and est.hasParam("validationIndicatorCol"):
             est.setValidationIndicatorCol("_is_val")
             train = base.withColumn("_is_val", F.col(fold_col) == f)
         else:

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskweave.functions.missing import number, present
 from riskweave.operators.quantiles import exact_quantiles
 from riskweave.operators.rank import maybe_broadcast
 
@@ -19,14 +20,13 @@ def _one_row_long(df: DataFrame, exprs: dict, value_name: str, value_type: str)
 
 def null_counts(df: DataFrame) -> DataFrame:
     """H1: missing count per column (NULL, and NaN for floating columns)."""
-    exprs = {c: F.count_if(F.col(c).isNull() | (F.isnan(F.col(c)) if t in ("double", "float") else F.lit(False)))
-             for c, t in df.dtypes}
+    exprs = {c: F.count_if(~present(c, t)) for c, t in df.dtypes}
     return _one_row_long(df, exprs, "n_missing", "long")
 
 
 def null_fraction(df: DataFrame, top: int = 20) -> DataFrame:
-    """H2: missing fraction per column, highest first, top n (a top-k report)."""
-    exprs = {c: F.avg(F.col(c).isNull().cast("double")) for c in df.columns}
+    """H2: missing fraction per column (NULL or NaN), highest first, top n (a top-k report)."""
+    exprs = {c: F.avg((~present(c, t)).cast("double")) for c, t in df.dtypes}
     return (_one_row_long(df, exprs, "fraction", "double")
             .orderBy(F.desc("fraction"), F.asc("column_name")).limit(top))
 
@@ -44,7 +44,7 @@ def nunique(df: DataFrame, cols: Sequence[str], top: int = 50) -> DataFrame:
 def table_info(df: DataFrame) -> DataFrame:
     """One row per column with type, non-null count and the table's row count."""
     types = dict(df.dtypes)
-    exprs = {c: F.count(F.col(c)) for c in df.columns}
+    exprs = {c: F.count_if(present(c, types[c])) for c in df.columns}
     agg = df.agg(F.count(F.lit(1)).alias("_n"), *[e.alias(c) for c, e in exprs.items()])
     long = agg.unpivot(["_n"], list(exprs), "column_name", "non_null")
     tmap = F.create_map(*[x for c in df.columns for x in (F.lit(c), F.lit(types[c]))])
@@ -66,16 +66,19 @@ def value_share(df: DataFrame, col: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
-    """Equal-width bins over [min, max]; the max falls into the last bin."""
-    x = F.col(col).cast("double")
+    """All ``bins`` equal-width bins over [min, max], empty ones too; the max falls into the
+    last bin. A column with one value has all its rows in bin 0; one without values has no bins."""
+    x = number(F.col(col))
     mn = df.select(F.min(x)).scalar()                 # scalar subqueries, evaluated in-plan
     mx = df.select(F.max(x)).scalar()
     width = F.when(mx > mn, (mx - mn) / F.lit(float(bins))).otherwise(F.lit(1.0))
     b = F.when(mx == mn, F.lit(0)).otherwise(
         F.least(F.floor((x - mn) / (mx - mn) * F.lit(float(bins))), F.lit(bins - 1))).cast("int")
     counts = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("bin", (mn + F.col("bin") * width).alias("lo"),
-                         (mn + (F.col("bin") + 1) * width).alias("hi"), "n")
+    all_bins = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
+    return (all_bins.join(counts, "bin", "left").where(mn.isNotNull())
+            .select("bin", (mn + F.col("bin") * width).alias("lo"),
+                    (mn + (F.col("bin") + 1) * width).alias("hi"), F.coalesce("n", F.lit(0)).cast("long").alias("n")))
 
 
 def box_stats(df: DataFrame, group_col: str, value_col: str) -> DataFrame:

@@ -126,7 +126,9 @@ def dense_row_number(df: DataFrame, group_cols: Sequence[str], order_cols: Seque
     return out.withColumnRenamed("_rn_one", out_col).drop("_one")
 
 
-def string_order_proxy(c: Column) -> Column:
-    """A long that is monotone (non-decreasing) in the binary order of a string: its first seven
-    UTF-8 bytes, right-padded. Strings sharing those bytes share a first-level bucket."""
-    return F.conv(F.rpad(F.hex(F.substring(c.cast("string"), 1, 7)), 14, "0"), 16, 10).cast("double")
+def range_buckets(df: DataFrame, order_col: str, out_col: str = "_bucket") -> DataFrame:
+    """Range-partition on the whole key and keep each row's partition number: a bucket that is
+    monotone in the key for any type, long shared prefixes included. The result is checkpointed,
+    so the numbers stay as they were dealt."""
+    parts = _bucket_count(df)
+    return materialize(df.repartitionByRange(parts, order_col).withColumn(out_col, F.spark_partition_id()))

@@ -13,8 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskweave.operators.ensemble import candidate_scores
-from riskweave.operators.metrics import roc_auc
+from riskweave.operators.ensemble import candidate_auc
 
 # Reports are rounded before being compared with a median, so engines agree on ties.
 REPORT_DIGITS = 9
@@ -22,8 +21,7 @@ REPORT_DIGITS = 9
 
 def trial_table(wide: DataFrame, models: Sequence[str], cands: list[dict[str, float]]) -> DataFrame:
     """trial, fold, auc for every candidate weight vector and fold (F9 objective per fold)."""
-    sc = candidate_scores(wide, models, cands)
-    return roc_auc(sc, "score", "target", ["candidate", "fold"]).withColumnRenamed("candidate", "trial")
+    return candidate_auc(wide, models, cands, ["fold"]).withColumnRenamed("candidate", "trial")
 
 
 def median_prune(trials: DataFrame, startup: int = 10) -> DataFrame:

@@ -1,15 +1,16 @@
-"""Tree SHAP for Spark tree ensembles (P1), path-dependent algorithm of Lundberg, Erion and Lee,
-"Consistent Individualized Feature Attribution for Tree Ensembles" (2018), Algorithm 2.
+"""Tree SHAP for Spark tree ensembles (P1): Shapley values of the path-dependent (cover-weighted)
+conditional expectation, computed leaf by leaf for whole batches with NumPy.
 
 The fitted model is saved with Spark ML persistence and its node table read back with
 ``spark.read.parquet`` (bounded: trees x nodes rows); the arrays travel to executors as a
-broadcast and ``mapInPandas`` explains each partition's rows. The explained quantity is the
+broadcast and ``mapInPandas`` explains each partition's batches. The explained quantity is the
 model margin in log-odds (Spark GBT: 2 x sum of weighted tree outputs), so
 ``base + sum(phi) = logit(probability)``.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 import uuid
 from dataclasses import astuple, dataclass
@@ -93,69 +94,85 @@ def _goes_left(t: Tree, j: int, xv: float) -> bool:
     return (xv in c) if c is not None else (xv <= t.threshold[j])
 
 
-def _extend(d, z, o, w, n, pz, po, pi):
-    d[n], z[n], o[n] = pi, pz, po
-    w[n] = 1.0 if n == 0 else 0.0
-    for i in range(n - 1, -1, -1):
-        w[i + 1] += po * w[i] * (i + 1) / (n + 1)
-        w[i] = pz * w[i] * (n - i) / (n + 1)
-    return n + 1
-
-
-def _unwind(d, z, o, w, length, i):
-    l = length - 1
-    nxt = w[l]
-    oi, zi = o[i], z[i]
-    for j in range(l - 1, -1, -1):
-        if oi != 0:
-            tmp = w[j]
-            w[j] = nxt * (l + 1) / ((j + 1) * oi)
-            nxt = tmp - w[j] * zi * (l - j) / (l + 1)
-        else:
-            w[j] = w[j] * (l + 1) / (zi * (l - j))
-    for j in range(i, l):
-        d[j], z[j], o[j] = d[j + 1], z[j + 1], o[j + 1]
-    return l
-
-
-def _unwound_sum(z, o, w, length, i):
-    l = length - 1
-    oi, zi = o[i], z[i]
-    nxt = w[l]
-    total = 0.0
-    for j in range(l - 1, -1, -1):
-        if oi != 0:
-            tmp = nxt * (l + 1) / ((j + 1) * oi)
-            total += tmp
-            nxt = w[j] - tmp * zi * (l - j) / (l + 1)
-        else:
-            total += (w[j] / zi) / ((l - j) / (l + 1))
-    return total
-
-
-def _recurse(t: Tree, x, phi, j, d, z, o, w, n, pz, po, pi, scale):
-    # path state lives in short Python lists: copying and indexing them is much cheaper than
-    # numpy scalars at these sizes (paths are at most depth + 1 long)
-    d, z, o, w = d[:], z[:], o[:], w[:]
-    n = _extend(d, z, o, w, n, pz, po, pi)
-    left = t.left[j]
-    if left < 0:
-        v = t.value[j] * scale
-        for i in range(1, n):
-            phi[d[i]] += _unwound_sum(z, o, w, n, i) * (o[i] - z[i]) * v
-        return
-    f = t.feature[j]
-    right = t.right[j]
-    hot, cold = (left, right) if _goes_left(t, j, x[f]) else (right, left)
-    iz, io = 1.0, 1.0
-    for k in range(1, n):
-        if d[k] == f:
-            iz, io = z[k], o[k]
-            n = _unwind(d, z, o, w, n, k)
-            break
-    cj = t.cover[j]
-    _recurse(t, x, phi, hot, d, z, o, w, n, iz * t.cover[hot] / cj, io, f, scale)
-    _recurse(t, x, phi, cold, d, z, o, w, n, iz * t.cover[cold] / cj, 0.0, f, scale)
+# A leaf contributes the game in which a coalition S earns value * prod(j in S: follows_j) *
+# prod(j not in S: share_j) over the features j on its path: follows_j says whether x passes all of
+# j's splits there, share_j is the fraction of the training rows that do (product of cover
+# ratios). Its Shapley values depend on x only through the 0/1 vector of follows_j, so a batch is
+# grouped by that vector and the values are computed once for each that occurs.
+
+@dataclass
+class Leaf:
+    value: float
+    features: list            # distinct features on the path
+    shares: np.ndarray
+    tests: list               # per feature: [(node, must go left), ...]
+
+
+def leaves(t: Tree) -> list[Leaf]:
+    """All leaves with their paths, gathered once per tree."""
+    out, todo = [], [(0, [])]
+    while todo:
+        j, path = todo.pop()
+        left, right = int(t.left[j]), int(t.right[j])
+        if left >= 0:
+            todo += [(left, [*path, (j, True, t.cover[left] / t.cover[j])]),
+                     (right, [*path, (j, False, t.cover[right] / t.cover[j])])]
+            continue
+        tests: dict[int, list] = {}
+        share: dict[int, float] = {}
+        for node, is_left, ratio in path:
+            f = int(t.feature[node])
+            tests.setdefault(f, []).append((node, is_left))
+            share[f] = share.get(f, 1.0) * ratio
+        out.append(Leaf(float(t.value[j]), list(tests), np.array([share[f] for f in tests]), list(tests.values())))
+    return out
+
+
+def leaf_values(follows: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """Shapley values of a leaf of value 1 for each row of the 0/1 matrix ``follows``.
+
+    For feature i the coalitions of the others are summed by size: coefficient k of the product
+    over j != i of (share_j + follows_j * s) is what coalitions of k features earn together."""
+    rows, m = follows.shape
+    weight = np.array([math.factorial(k) * math.factorial(m - k - 1) / math.factorial(m) for k in range(m)])
+    out = np.empty((rows, m))
+    for i in range(m):
+        by_size = np.zeros((rows, m))
+        by_size[:, 0] = 1.0
+        for j in range(m):
+            if j != i:
+                grown = by_size * shares[j]
+                grown[:, 1:] += by_size[:, :-1] * follows[:, j:j + 1]
+                by_size = grown
+        out[:, i] = (follows[:, i] - shares[i]) * (by_size @ weight)
+    return out
+
+
+def shap_batch(trees: list[Tree], factor: float, X: np.ndarray, n_features: int) -> np.ndarray:
+    """Attributions of all rows of X (rows x features) to all features."""
+    phi = np.zeros((len(X), n_features))
+    for t in trees:
+        goes_left: dict[int, np.ndarray] = {}
+        for j in np.flatnonzero(t.left >= 0).tolist():
+            x, c = X[:, int(t.feature[j])], t.categories[j]
+            goes_left[j] = np.isin(x, list(c)) if c is not None else x <= t.threshold[j]
+        for leaf in leaves(t):
+            if not leaf.features:
+                continue
+            follows = np.ones((len(X), len(leaf.features)), bool)
+            for i, tests in enumerate(leaf.tests):
+                for node, is_left in tests:
+                    follows[:, i] &= goes_left[node] == is_left
+            code = np.zeros(len(X), np.int64)
+            for i in range(follows.shape[1]):
+                code = code * 2 + follows[:, i]
+                if i % 60 == 59:                              # keep the code within 62 bits
+                    code = np.unique(code, return_inverse=True)[1].astype(np.int64)
+            _, first, back = np.unique(code, return_index=True, return_inverse=True)
+            values = leaf_values(follows[first].astype(float), leaf.shares) * (leaf.value * factor * t.weight)
+            for i, f in enumerate(leaf.features):
+                phi[:, f] += values[back, i]
+    return phi
 
 
 def expected_value(t: Tree, j: int = 0) -> float:
@@ -165,62 +182,50 @@ def expected_value(t: Tree, j: int = 0) -> float:
     return (t.cover[l] * expected_value(t, l) + t.cover[r] * expected_value(t, r)) / t.cover[j]
 
 
-def _as_lists(t: Tree) -> Tree:
-    """Plain-Python copies of the node arrays (fast scalar access in the recursion)."""
-    return Tree([int(v) for v in t.left], [int(v) for v in t.right], [int(v) for v in t.feature],
-                [float(v) for v in t.threshold], t.categories, [float(v) for v in t.value],
-                [float(v) for v in t.cover], float(t.weight))
-
-
 def shap_row(trees: list[Tree], factor: float, x, n_features: int) -> np.ndarray:
-    phi = [0.0] * (n_features + 1)          # last slot absorbs the dummy path element
-    xs = [float(v) for v in x]
-    for t in trees:
-        if not isinstance(t.left, list):
-            t = _as_lists(t)
-        depth = len(t.left) + 2
-        _recurse(t, xs, phi, 0, [-1] * depth, [0.0] * depth, [0.0] * depth, [0.0] * depth,
-                 0, 1.0, 1.0, n_features, factor * t.weight)
-    return np.asarray(phi[:n_features])
+    return shap_batch(trees, factor, np.asarray(x, dtype=float)[None], n_features)[0]
 
 
 def base_value(trees: list[Tree], factor: float) -> float:
     return float(sum(factor * t.weight * expected_value(t) for t in trees))
 
 
-def tree_shap(df: DataFrame, model, features_col: str = "features", id_col: str = "id",
-              n_features: int | None = None, keep_zero: bool = False) -> DataFrame:
-    """Long attributions (id, feature_idx, phi, base) for every row of ``df`` (sample first with
-    :func:`riskweave.operators.sample.sample_n` - explaining is per-row Python work)."""
+BATCH = 2048
+
+
+def tree_shap_wide(df: DataFrame, model, features_col: str = "features", id_col: str = "id",
+                   n_features: int | None = None) -> DataFrame:
+    """(id, phi array of all features, base) for every row of ``df``. For a sampled explanation
+    (C2) pass ``sample_n(df, n)``."""
     spark = df.sparkSession
     trees, factor = read_trees(spark, model)
     nf = n_features or int(model.numFeatures)
-    base = base_value(trees, factor)
     # executors need no copy of this library: the explain function and this module's helpers
-    # are pickled by value, and the broadcast holds plain tuples of numpy arrays
+    # are pickled by value, and the broadcast holds plain tuples of numpy arrays (the node tables
+    # of one model)
     from pyspark import cloudpickle
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
     bc = spark.sparkContext.broadcast(([astuple(t) for t in trees], factor))
 
     def explain(batches):
         raw, fac = bc.value
-        ts = [_as_lists(Tree(*t)) for t in raw]
+        ts = [Tree(*t) for t in raw]
         for pdf in batches:
-            out_id, out_idx, out_phi = [], [], []
-            for rid, vec in zip(pdf[id_col].to_numpy(), pdf["_x"]):
-                phi = shap_row(ts, fac, np.asarray(vec, dtype=float), nf)
-                idx = np.arange(nf) if keep_zero else np.nonzero(phi)[0]
-                out_id.append(np.full(len(idx), rid))
-                out_idx.append(idx)
-                out_phi.append(phi[idx])
-            if out_id:
-                yield pd.DataFrame({id_col: np.concatenate(out_id).astype("int64"),
-                                    "feature_idx": np.concatenate(out_idx).astype("int32"),
-                                    "phi": np.concatenate(out_phi)})
+            for lo in range(0, len(pdf), BATCH):
+                part = pdf.iloc[lo:lo + BATCH]
+                phi = shap_batch(ts, fac, np.stack(part["_x"].to_numpy()).astype(float), nf)
+                yield pd.DataFrame({id_col: part[id_col].to_numpy(), "phi": list(phi)})
 
     src = df.select(id_col, vector_to_array(F.col(features_col)).alias("_x"))
-    return (src.mapInPandas(explain, f"{id_col} long, feature_idx int, phi double")
-            .withColumn("base", F.lit(base)))
+    id_type = df.schema[id_col].dataType.simpleString()
+    return src.mapInPandas(explain, f"{id_col} {id_type}, phi array<double>").withColumn("base", F.lit(base_value(trees, factor)))
+
+
+def tree_shap(df: DataFrame, model, features_col: str = "features", id_col: str = "id",
+              n_features: int | None = None) -> DataFrame:
+    """Long attributions (id, feature_idx, phi, base): every feature of every row, zeros included."""
+    wide = tree_shap_wide(df, model, features_col, id_col, n_features)
+    return wide.select(id_col, F.posexplode("phi").alias("feature_idx", "phi"), "base")
 
 
 def brute_force_shapley(trees: list[Tree], factor: float, x: np.ndarray, n_features: int) -> np.ndarray:

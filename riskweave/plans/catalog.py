@@ -320,8 +320,9 @@ def q_box_stats(spark, sf):
 
 MODELS = list(views.MODELS)
 FIXED_WEIGHTS = {"stack": 0.50, "cat": 0.30, "lgb": 0.15, "xgb": 0.05}   # fixed values (G3)
-N_CANDIDATES, CANDIDATE_SEED = 20, 42
-N_TRIALS, TRIAL_SEED = 30, 7
+SEARCH_MODELS = list(FIXED_WEIGHTS)
+N_CANDIDATES, CANDIDATE_SEED = 100, 42
+N_TRIALS, TRIAL_SEED = 100, 7
 
 
 @query("auc_weights")
@@ -351,9 +352,27 @@ def q_stack_matrix(spark, sf):
 
 @query("blend_search")
 def q_blend_search(spark, sf):
-    cands = ens.candidates(MODELS, N_CANDIDATES, CANDIDATE_SEED)
-    out = ens.blend_search(views.preds_wide(spark, sf), MODELS, cands)
-    return out.select("candidate", *[r6(f"w_{m}") for m in MODELS], r6("auc"), "best")
+    """G5 over the four members: the three base models and their AUC-weighted blend."""
+    cands = ens.candidates(SEARCH_MODELS, N_CANDIDATES, CANDIDATE_SEED)
+    out = ens.blend_search(four_members(spark, sf), SEARCH_MODELS, cands)
+    return out.select("candidate", *[r6(f"w_{m}") for m in SEARCH_MODELS], r6("auc"), "best")
+
+
+def four_members(spark, sf):
+    """The stack matrix with the AUC-weighted blend as a fourth member (three weights)."""
+    w = {r["model"]: r["weight"] for r in ens.auc_weights(views.preds(spark, sf)).collect()}
+    stack = sum((F.lit(w[m]) * F.col(m) for m in MODELS[1:]), F.lit(w[MODELS[0]]) * F.col(MODELS[0]))
+    return views.preds_wide(spark, sf).withColumn("stack", stack)
+
+
+@query("blend_apply")
+def q_blend_apply(spark, sf):
+    """The searched weights applied to the rows to score (id, p). The search is written
+    first: its best row comes to the driver once."""
+    from riskweave.operators.rank import materialize
+    wide = four_members(spark, sf)
+    found = materialize(ens.blend_search(wide, SEARCH_MODELS, ens.candidates(SEARCH_MODELS, N_CANDIDATES, CANDIDATE_SEED)))
+    return ens.apply_best(wide, found, SEARCH_MODELS).select("id", r6("p"))
 
 
 @query("fold_average")
@@ -371,15 +390,18 @@ def q_fold_average(spark, sf):
 
 @query("median_prune")
 def q_median_prune(spark, sf):
-    cands = ens.candidates(MODELS, N_TRIALS, TRIAL_SEED)
-    return srch.median_prune(srch.trial_table(views.preds_wide(spark, sf), MODELS, cands), startup=10)
+    cands = ens.candidates(SEARCH_MODELS, N_TRIALS, TRIAL_SEED)
+    return srch.median_prune(srch.trial_table(four_members(spark, sf), SEARCH_MODELS, cands), startup=10)
 
 
 @query("best_trial")
 def q_best_trial(spark, sf):
-    cands = ens.candidates(MODELS, N_TRIALS, TRIAL_SEED)
-    return srch.best_trial(srch.trial_table(views.preds_wide(spark, sf), MODELS, cands)) \
-               .select("trial", r6("auc"))
+    """the best trial with its parameters."""
+    cands = ens.candidates(SEARCH_MODELS, N_TRIALS, TRIAL_SEED)
+    best = srch.best_trial(srch.trial_table(four_members(spark, sf), SEARCH_MODELS, cands))
+    params = spark.createDataFrame([(i, *[c[m] for m in SEARCH_MODELS]) for i, c in enumerate(cands)],
+                                   "trial int, " + ", ".join(f"w_{m} double" for m in SEARCH_MODELS))
+    return best.join(params, "trial").select("trial", r6("auc"), *[r6(f"w_{m}") for m in SEARCH_MODELS])
 
 
 @query("sample_n")
@@ -389,15 +411,16 @@ def q_sample_n(spark, sf):
 
 # ---------------------------------------------------------------- explanation
 
-ATTR_COLS = ["amount", "balance", "date_as_year", "date_as_month", "date_as_day", "date_os_age_days"]
+ATTR_COLS = ["amount", "balance", "date_as_year", "date_as_month", "date_as_day", "date_as_age_days",
+             "date_os_year", "date_os_month", "date_os_day", "date_os_age_days"]
 # Coefficients of the three linear members and of the meta-learner.
 MEMBER_COEFS = {
-    "lgb": [0.8, -0.5, 0.3, 0.2, -0.1, 0.05],
-    "cat": [0.4, 0.6, -0.2, 0.1, 0.3, -0.05],
-    "xgb": [-0.3, 0.2, 0.5, -0.4, 0.1, 0.02],
+    "lgb": [0.8, -0.5, 0.3, 0.2, -0.1, 0.05, 0.25, -0.15, 0.12, 0.04],
+    "cat": [0.4, 0.6, -0.2, 0.1, 0.3, -0.05, -0.35, 0.45, 0.08, -0.03],
+    "xgb": [-0.3, 0.2, 0.5, -0.4, 0.1, 0.02, 0.15, 0.22, -0.18, 0.01],
 }
 META_COEFS = {"lgb": 0.6, "cat": 0.3, "xgb": 0.1}
-TOP_N = 3
+TOP_N = 20
 
 
 def attribution_matrix(spark, sf):
@@ -407,7 +430,8 @@ def attribution_matrix(spark, sf):
 
 def attribution(spark, sf):
     """(id, model, feature_idx, value, phi) for the three linear members, plus the feature means."""
-    x = attribution_matrix(spark, sf).cache()
+    from riskweave.operators.rank import materialize
+    x = materialize(attribution_matrix(spark, sf))         # read twice; written to the shared folder
     means = xp.feature_means(x, ATTR_COLS)
     return xp.linear_shap(x, ATTR_COLS, MEMBER_COEFS, means=means), means
 
@@ -498,11 +522,10 @@ def q_submission_check(spark, sf):
 # ---------------------------------------------------------------- learning curve
 
 def shrinkage_curve(spark, sf, iters: int = 200):
-    """Log loss of the lgb member's scores shrunk toward 0.5 by t = iter / 100, over scores
-    binned to 1e-4 (at most 2 x 10001 cells, so the curve costs O(cells x iters))."""
+    """Log loss of the lgb member's scores shrunk toward 0.5 by t = iter / 100, over its distinct
+    (target, score) cells."""
     p = views.preds(spark, sf).where(F.col("model") == "lgb")
-    cells = (p.groupBy("target", (F.floor(F.col("p") * F.lit(10000.0)) / F.lit(10000.0)).alias("pb"))
-             .agg(F.count(F.lit(1)).alias("n")))
+    cells = p.groupBy("target", F.col("p").alias("pb")).agg(F.count(F.lit(1)).alias("n"))
     it = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter"))
     q = F.lit(0.5) + (F.col("pb") - F.lit(0.5)) * F.col("iter") / F.lit(100.0)
     q = F.least(F.greatest(q, F.lit(1e-15)), F.lit(1.0 - 1e-15))
@@ -559,16 +582,22 @@ PAYLOAD_FIELDS = T.StructType([T.StructField("k", T.LongType())])
 
 def payload_requests(spark, sf):
     """Request bodies derived from ``events.props``: single instance, list, bare object,
-    unknown field, missing field, malformed text and a JSON array, by event_id mod 12."""
+    unknown field, missing field, malformed text, a JSON array, single quotes, text after the
+    object, an empty list, a field of another type and a list of numbers, by event_id mod 17."""
     ev = load(spark, sf, "events").select("event_id", "props")
     k = F.get_json_object("props", "$.k")
-    v = F.pmod(F.col("event_id"), F.lit(12))
+    v = F.pmod(F.col("event_id"), F.lit(17))
     body = (F.when(v.isin(0, 6), F.concat(F.lit('{"instance": '), "props", F.lit("}")))
             .when(v.isin(1, 7), F.concat(F.lit('{"instances": ['), "props", F.lit(", "), "props", F.lit("]}")))
             .when(v.isin(2, 8), F.col("props"))
             .when(v.isin(3, 9), F.concat(F.lit('{"instance": {"k": '), k, F.lit(', "extra_field": 1}}')))
             .when(v.isin(4, 10), F.lit('{"instance": {"other": 1}}'))
             .when(v == 5, F.concat(F.lit('{"instance": '), "props"))
+            .when(v == 12, F.translate(F.concat(F.lit('{"instance": '), "props", F.lit("}")), '"', "'"))
+            .when(v == 13, F.concat("props", F.lit(" garbage")))
+            .when(v == 14, F.lit('{"instances": []}'))
+            .when(v == 15, F.lit('{"instance": {"k": "abc"}}'))
+            .when(v == 16, F.lit('{"instances": [1, 2]}'))
             .otherwise(F.concat(F.lit("["), "props", F.lit("]"))))
     return ev.select("event_id", body.alias("payload"))
 
@@ -653,11 +682,41 @@ def q_score_batch(spark, sf):
 def q_tree_shap(spark, sf):
     """Path-dependent Tree SHAP of a GBT member over every row of T (log-odds space)."""
     from riskweave.operators.treeshap import tree_shap
+    _, x, model = shap_member(spark, sf)
+    return tree_shap(x, model).select("id", "feature_idx", r6("phi"), r6("base"))
+
+
+def shap_member(spark, sf):
+    """Feature state, written feature table and a GBT member fitted on it."""
+    from riskweave.operators import models as ml
+    from riskweave.operators.rank import materialize
     fm, x = training.featurised(spark, sf)
-    x = x.persist()
+    x = materialize(x)
+    return fm, x, ml.refit(ml.gbt_leafwise(max_iter=10, maxDepth=4), x)
+
+
+@query("tree_shap_check")
+def q_tree_shap_check(spark, sf):
+    """P1 per row: as many attributions as features, and base + their sum is the model's log-odds."""
     from riskweave.operators import models as ml
-    model = ml.refit(ml.gbt_leafwise(max_iter=10, maxDepth=4), x)
-    return tree_shap(x, model).select("id", "feature_idx", r6("phi"), r6("base"))
+    from riskweave.operators.treeshap import tree_shap_wide
+    fm, x, model = shap_member(spark, sf)
+    phi = tree_shap_wide(x, model)
+    p = ml.positive_probability(model.transform(x)).select("id", "p")
+    total = F.aggregate("phi", F.col("base"), lambda a, v: a + v)
+    logit = F.log(F.col("p") / (F.lit(1.0) - F.col("p")))
+    return phi.join(p, "id").select("id", (F.size("phi") == len(fm.names())).alias("all_features"),
+                                    (F.abs(total - logit) < 1e-6).alias("additive"))
+
+
+@query("shap_top20")
+def q_shap_top20(spark, sf):
+    """P1 -> P3 -> F8 on a fitted member: Tree SHAP of every row, mean |phi| of every feature, names,
+    the 20 largest."""
+    from riskweave.operators.treeshap import tree_shap
+    fm, x, model = shap_member(spark, sf)
+    ranked = xp.ranked_importance(tree_shap(x, model), fm.lineage(spark))
+    return ranked.where(F.col("rank") <= TOP_N).select("rank", "feature", "feature_name", r6("mean_abs"))
 
 
 # ---------------------------------------------------------------- streaming scoring (Q5)
@@ -715,3 +774,178 @@ def q_roc_auc_grid(spark, sf):
     member are bounded by 10^6 however many rows are scored (ties within a grid step count half)."""
     return (metrics.roc_auc(views.preds(spark, sf), group_cols=["model"], resolution=1e-6)
             .select("model", r6("auc")))
+
+
+# ---------------------------------------------------------------- checks of fitted members
+
+@query("oof_check")
+def q_oof_check(spark, sf):
+    """E3/E4/F6 per row: each id once with its fold and target, probability within [0, 1]."""
+    o = training.oof_logistic(spark, sf).oof
+    return o.select("id", "fold", "target", F.col("p").between(0, 1).alias("p_ok"))
+
+
+@query("stack_check")
+def q_stack_check(spark, sf):
+    """each fold's and the final meta-learner is at the optimum of its own penalised loss."""
+    return training.stack_gradient(spark, sf).select("fold", "n_train", (F.col("gradient") < 1e-5).alias("optimal"))
+
+
+@query("stack_submission")
+def q_stack_submission(spark, sf):
+    """The refitted meta-learner's submission: ids and probabilities within [0, 1]."""
+    return training.stack_submission(spark, sf).select("id", F.col("target").between(0, 1).alias("target_ok"))
+
+
+@query("registry_check")
+def q_registry_check(spark, sf):
+    """Members found on disk with their row counts, files summed."""
+    return (q_artifact_registry(spark, sf).groupBy("model", "kind")
+            .agg(F.sum("n_rows").cast("long").alias("n_rows"), F.bool_and("usable").alias("usable")))
+
+
+@query("stream_check")
+def q_stream_check(spark, sf):
+    """Q5: requests scored by the stream are those that are good, one row per instance."""
+    s = q_stream_score(spark, sf)
+    return s.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("p").between(0, 1)).alias("p_ok"))
+
+
+@query("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """A5/Q1: fold models saved, loaded and averaged score every row as those in memory do."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from riskweave.operators import models as ml
+    from riskweave.sources.artifacts import load_models, save_models
+    oof = training.oof_logistic(spark, sf)
+    root = scratch_path(spark, f"models/{uuid.uuid4().hex}")
+    back = load_models(LogisticRegressionModel, save_models(oof.models, root, "logistic"))
+    a = ml.fold_average(oof.models, oof.base).select("id", "p")
+    b = ml.fold_average(back, oof.base).select(F.col("id").alias("_id"), F.col("p").alias("q"))
+    return a.join(b, F.col("id") == F.col("_id")).select("id", (F.col("p") == F.col("q")).alias("same"))
+
+
+@query("feature_state_roundtrip")
+def q_feature_state_roundtrip(spark, sf):
+    """The fitted feature state saved and loaded: its lineage."""
+    from riskweave.plans.feature_spec import FeatureModel
+    path = scratch_path(spark, f"state/{uuid.uuid4().hex}")
+    t_spec().fit(views.telemetry(spark, sf)).save(spark, path)
+    return FeatureModel.load(spark, path).lineage(spark)
+
+
+@query("attribution_roundtrip")
+def q_attribution_roundtrip(spark, sf):
+    """Attributions saved by member and one member loaded."""
+    from riskweave.sources.artifacts import load_attribution, save_attribution
+    a, _ = attribution(spark, sf)
+    path = scratch_path(spark, f"attribution/{uuid.uuid4().hex}")
+    save_attribution(a, path)
+    return load_attribution(spark, path, "cat").select("id", "feature_idx", r6("phi"))
+
+
+@query("json_roundtrip")
+def q_json_roundtrip(spark, sf):
+    """A3: the run summary written as JSON and read back."""
+    path = scratch_path(spark, f"summary/{uuid.uuid4().hex}")
+    s = q_run_summary(spark, sf)
+    write_table(s, path, fmt="json")
+    return read_table(spark, path, schema=s.schema, fmt="json")
+
+
+# ---------------------------------------------------------------- projections and small operators
+
+@query("drop_columns")
+def q_drop_columns(spark, sf):
+    return sch.drop_present(views.telemetry(spark, sf), ["city", "no_such_column", "account", "date_as", "date_os"])
+
+
+@query("target_projection")
+def q_target_projection(spark, sf):
+    """The first target column present, required and as int."""
+    t = views.telemetry(spark, sf).withColumn("target", F.col("target").cast("string"))
+    name = sch.resolve_target(t)
+    return sch.require_target(t, name).select("id", name)
+
+
+@query("string_projection")
+def q_string_projection(spark, sf):
+    return sch.string_projection(views.telemetry(spark, sf), exclude=("account",))
+
+
+@query("prediction_column")
+def q_prediction_column(spark, sf):
+    """The prediction column of a file with other numeric columns."""
+    p = views.preds(spark, sf).where(F.col("model") == "xgb").select("id", "fold", F.col("p").alias("oof_pred"))
+    return p.select("id", r6(sch.prediction_column(p), "value"))
+
+
+@query("row_positions")
+def q_row_positions(spark, sf):
+    """Positions as ids where a table has none (labels lie in the order of their documents)."""
+    d = load(spark, sf, "labels").select(F.col("doc_id").alias("key"))
+    return sch.with_row_id(d, out_col="position").select("key", "position")
+
+
+@query("attribution_width")
+def q_attribution_width(spark, sf):
+    """Width of every row's attribution, checked against the feature count."""
+    a, _ = attribution(spark, sf)
+    width = a.where(F.col("model") == "lgb").groupBy("id").agg(F.count(F.lit(1)).alias("width"))
+    sch.attribution_width_check(len(ATTR_COLS), width.agg(F.max("width")).first()[0] or len(ATTR_COLS))
+    return width
+
+
+@query("coerce_flags")
+def q_coerce_flags(spark, sf):
+    """Flags to int, numeric text to double, other text to NULL."""
+    t = views.telemetry(spark, sf).select("id", (F.col("target") == 1).alias("flag"),
+                                          F.when(F.col("id") % 5 == 0, F.lit("n/a")).otherwise(F.col("id").cast("string")).alias("reading"))
+    return pl.coerce_flags(t, ["flag", "reading"])
+
+
+@query("sample_fraction")
+def q_sample_fraction(spark, sf):
+    from riskweave.operators.sample import sample_fraction
+    return sample_fraction(views.telemetry(spark, sf), 0.1, seed=42).select("id")
+
+
+@query("head_rows")
+def q_head_rows(spark, sf):
+    from riskweave.operators.sample import head
+    return head(views.telemetry(spark, sf), 10).select("id", "target", r6("amount"))
+
+
+@query("stack_matrix_filled")
+def q_stack_matrix_filled(spark, sf):
+    """A member that lacks some ids, filled with zero."""
+    p = views.preds(spark, sf).where(~((F.col("model") == "cat") & (F.col("id") % 7 == 0)))
+    return ens.stack_matrix(p, MODELS, fill_missing=0.0).select("id", "fold", "target", *MODELS)
+
+
+@query("submission_file")
+def q_submission_file(spark, sf):
+    """The blend as a submission (id, target)."""
+    p = views.preds(spark, sf)
+    return sch.build_submission(ens.blend_weighted(p, ens.auc_weights(p))).select("id", r6("target"))
+
+
+@query("label_encode_account")
+def q_label_encode_account(spark, sf):
+    """D17 on a column of long common prefixes and many values."""
+    t = views.telemetry(spark, sf).select("id", "account")
+    return fx.encode_with(t, fx.label_codes(t, "account"), "account", "code").select("id", "code")
+
+
+@query("feature_vector")
+def q_feature_vector(spark, sf):
+    """Per row the vector's length and sums over its one-hot and hashed parts."""
+    from pyspark.ml.functions import vector_to_array
+    t = views.telemetry(spark, sf)
+    m = t_spec().fit(t)
+    kinds = [r[2] for r in m.lineage_rows()]
+    part = lambda kind: F.aggregate(F.filter("v", lambda x, i: F.array_contains(F.array(*[F.lit(k) for k, v in enumerate(kinds) if v == kind]), i)),
+                                    F.lit(0.0), lambda a, x: a + x)
+    v = m.transform(t, keep=("id",)).select("id", vector_to_array("features").alias("v"))
+    return v.select("id", F.size("v").alias("width"), part("onehot").alias("onehot_sum"), part("hash").alias("hash_sum"))

@@ -1,8 +1,8 @@
 """FeatureSpec -> FeatureModel (D20): fit a few bounded aggregations, transform with projections.
 
 fit (over one persisted copy of the input):
-       1 pass  HyperLogLog estimate per string column
-       1 pass  value sets of the columns estimated at <= 2 x threshold (exact counts + categories)
+       1 pass  exact distinct counts of the string columns (long form)
+       1 pass  sorted categories of the columns below the threshold
        1 pass  date maxima
        1 job   exact medians (two-level quantiles, no single-task merge; or one sketch pass)
        1 pass  mean / population std after imputation
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.functions.dates import age_days, date_parts, parse_datetime
+from riskweave.functions.missing import nan_to_null
 from riskweave.operators import features as fx
 
 
@@ -32,14 +33,13 @@ class FeatureSpec:
     date_cols: tuple = ("DateAS", "DateOS")
     target_col: str = "target"
     age_mode: str = "fitted"          # "fitted": max date is state; "batch": max of each batch
-    exact_roles: bool = False
     median_mode: str = "exact"        # "exact" (parity) or "approx" (one sketch pass)
 
     def fit(self, df: DataFrame) -> "FeatureModel":
         # fit makes a handful of small-output passes; they share one persisted copy of the input,
         # released once the (bounded) state is on the driver
         from pyspark import StorageLevel
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        df = nan_to_null(df).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             return self._fit(df)
         finally:
@@ -47,7 +47,7 @@ class FeatureSpec:
 
     def _fit(self, df: DataFrame) -> "FeatureModel":
         roles = fx.detect_roles(df, self.id_cols, self.target_col, self.date_cols,
-                                self.low_card_thresh, exact=self.exact_roles)
+                                self.low_card_thresh)
         dates = roles["date"]
         date_max = {}
         if dates:
@@ -150,7 +150,7 @@ class FeatureModel:
         """Two narrow projections, fused by whole-stage codegen: token bucket/sign columns
         (md5 once per token), then the feature array / vector. No shuffle, no Python."""
         s = self.state
-        df = self._aligned(df)
+        df = self._aligned(nan_to_null(df))
         keep = [c for c in (list(keep) or [*s.id_cols, s.target_col]) if c in df.columns]
         parts = self.date_columns(df) + self.numeric_columns() + self.one_hot_columns()
         k = len(s.high_card)

@@ -240,9 +240,10 @@ ORACLE["histogram"] = with_sql(DOCS) + """,
 mm AS (SELECT CAST(min(text_len) AS DOUBLE) AS mn, CAST(max(text_len) AS DOUBLE) AS mx FROM docs),
 b AS (SELECT CAST(CASE WHEN mx = mn THEN 0 ELSE least(floor((CAST(text_len AS DOUBLE) - mn) / (mx - mn) * 50.0), 49) END AS INTEGER) AS bin
       FROM docs, mm)
-SELECT bin, {R6_}(mn + bin * CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 1.0 END) AS lo,
-       {R6_}(mn + (bin + 1) * CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 1.0 END) AS hi, count(*) AS n
-FROM b, mm GROUP BY bin, mn, mx"""
+SELECT r.bin, {R6_}(mn + r.bin * CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 1.0 END) AS lo,
+       {R6_}(mn + (r.bin + 1) * CASE WHEN mx > mn THEN (mx - mn) / 50 ELSE 1.0 END) AS hi, count(b.bin) AS n
+FROM (SELECT CAST(range AS INTEGER) AS bin FROM range(50)) r CROSS JOIN mm LEFT JOIN b ON b.bin = r.bin
+WHERE mn IS NOT NULL GROUP BY r.bin, mn, mx"""
 
 ORACLE["box_stats"] = with_sql(DOCS) + """,
 d AS (SELECT docs.*, labels.toxic FROM docs JOIN labels USING (doc_id)),
@@ -283,26 +284,38 @@ FROM stack s JOIN pw ON s.id = pw.id"""
 ORACLE["stack_matrix"] = BASE + "SELECT id, fold, target, lgb, cat, xgb FROM pw"
 
 
+_SEARCH = ["stack", "cat", "lgb", "xgb"]
+PW4 = AUCW + """,
+pw4 AS (SELECT pw.*, wl.weight * lgb + wc.weight * cat + wx.weight * xgb AS stack
+  FROM pw, (SELECT weight FROM aucw WHERE model = 'lgb') wl, (SELECT weight FROM aucw WHERE model = 'cat') wc,
+       (SELECT weight FROM aucw WHERE model = 'xgb') wx)"""
+
+
 def _cand_scores(cands, name="cs"):
     rows = "\nUNION ALL ".join(
         f"SELECT id, fold, target, {i} AS candidate, "
-        + " + ".join(f"{_d(w[m])} * {m}" for m in _MODELS) + " AS score FROM pw"
+        + " + ".join(f"{_d(w[m])} * {m}" for m in _SEARCH) + " AS score FROM pw4"
         for i, w in enumerate(cands))
     return f"{name} AS ({rows})"
 
 
-_C = _cands(_MODELS, 20, 42)
+_C = _cands(_SEARCH, 100, 42)
 _CW = "cw AS (SELECT * FROM (VALUES " + ", ".join(
-    f"({i}, " + ", ".join(_d(w[m]) for m in _MODELS) + ")" for i, w in enumerate(_C)) + \
-    ") v(candidate, w_lgb, w_cat, w_xgb))"
-ORACLE["blend_search"] = BASE + ",\n" + _cand_scores(_C) + ",\n" + _CW + """,
-a AS (""" + auc_sql("cs", ["candidate"], score="score") + """)
-SELECT a.candidate, {R6_}(w_lgb) AS w_lgb, {R6_}(w_cat) AS w_cat, {R6_}(w_xgb) AS w_xgb, {R6_}(auc) AS auc,
+    f"({i}, " + ", ".join(_d(w[m]) for m in _SEARCH) + ")" for i, w in enumerate(_C)) + \
+    ") v(candidate, " + ", ".join(f"w_{m}" for m in _SEARCH) + "))"
+_SEARCHED = BASE + ",\n" + PW4 + ",\n" + _cand_scores(_C) + ",\n" + _CW + """,
+a AS (""" + auc_sql("cs", ["candidate"], score="score") + ")"
+ORACLE["blend_search"] = _SEARCHED + """
+SELECT a.candidate, {R6_}(w_stack) AS w_stack, {R6_}(w_cat) AS w_cat, {R6_}(w_lgb) AS w_lgb, {R6_}(w_xgb) AS w_xgb, {R6_}(auc) AS auc,
        row_number() OVER (ORDER BY auc DESC, a.candidate) = 1 AS best
 FROM a JOIN cw USING (candidate)"""
 
-_TR = _cands(_MODELS, 30, 7)
-TRIALS = _cand_scores(_TR) + ",\ntrials AS (SELECT candidate AS trial, fold, auc FROM (" + \
+ORACLE["blend_apply"] = _SEARCHED + """,
+best AS (SELECT cw.* FROM a JOIN cw USING (candidate) ORDER BY auc DESC, a.candidate LIMIT 1)
+SELECT id, {R6_}(w_stack * stack + w_cat * cat + w_lgb * lgb + w_xgb * xgb) AS p FROM pw4, best"""
+
+_TR = _cands(_SEARCH, 100, 7)
+TRIALS = PW4 + ",\n" + _cand_scores(_TR) + ",\ntrials AS (SELECT candidate AS trial, fold, auc FROM (" + \
     auc_sql("cs", ["candidate", "fold"], score="score") + ") a)"
 
 ORACLE["median_prune"] = BASE + ",\n" + TRIALS + """,
@@ -317,8 +330,13 @@ FROM (SELECT DISTINCT trial FROM trials) tr
 LEFT JOIN fl ON tr.trial = fl.trial AND fl.n_before >= 10 AND fl.best < fl.med
 GROUP BY tr.trial"""
 
-ORACLE["best_trial"] = BASE + ",\n" + TRIALS + """
-SELECT trial, {R6_}(avg(auc)) AS auc FROM trials GROUP BY trial ORDER BY avg(auc) DESC, trial LIMIT 1"""
+_TW = "tw AS (SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, " + ", ".join(_d(w[m]) for m in _SEARCH) + ")" for i, w in enumerate(_TR)) + \
+    ") v(trial, " + ", ".join(f"w_{m}" for m in _SEARCH) + "))"
+ORACLE["best_trial"] = BASE + ",\n" + TRIALS + ",\n" + _TW + """,
+b AS (SELECT trial, avg(auc) AS auc FROM trials GROUP BY trial ORDER BY avg(auc) DESC, trial LIMIT 1)
+SELECT trial, {R6_}(auc) AS auc, {R6_}(w_stack) AS w_stack, {R6_}(w_cat) AS w_cat, {R6_}(w_lgb) AS w_lgb, {R6_}(w_xgb) AS w_xgb
+FROM b JOIN tw USING (trial)"""
 
 ORACLE["fold_average"] = BASE + """,
 tot AS (SELECT sum(target) AS s, count(*) AS n FROM tf),
@@ -339,21 +357,27 @@ ORACLE["sample_n"] = TB + "SELECT id FROM t ORDER BY md5('42:' || CAST(id AS VAR
 
 # ---------------------------------------------------------------- explanation
 
-_ATTR = ["amount", "balance", "date_as_year", "date_as_month", "date_as_day", "date_os_age_days"]
-_COEFS = {"lgb": [0.8, -0.5, 0.3, 0.2, -0.1, 0.05], "cat": [0.4, 0.6, -0.2, 0.1, 0.3, -0.05],
-          "xgb": [-0.3, 0.2, 0.5, -0.4, 0.1, 0.02]}
+_ATTR = ["amount", "balance", "date_as_year", "date_as_month", "date_as_day", "date_as_age_days",
+         "date_os_year", "date_os_month", "date_os_day", "date_os_age_days"]
+_COEFS = {"lgb": [0.8, -0.5, 0.3, 0.2, -0.1, 0.05, 0.25, -0.15, 0.12, 0.04],
+          "cat": [0.4, 0.6, -0.2, 0.1, 0.3, -0.05, -0.35, 0.45, 0.08, -0.03],
+          "xgb": [-0.3, 0.2, 0.5, -0.4, 0.1, 0.02, 0.15, 0.22, -0.18, 0.01]}
 _META = {"lgb": 0.6, "cat": 0.3, "xgb": 0.1}
 
 XMAT = """f AS (SELECT id, coalesce(amount, (SELECT median(amount) FROM t)) AS a,
               coalesce(balance, (SELECT median(balance) FROM t)) AS b, date_as, date_os FROM t),
 mo AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM f),
-mx AS (SELECT max(try_cast(date_os AS TIMESTAMP)) AS mos FROM t),
+mx AS (SELECT max(try_cast(date_os AS TIMESTAMP)) AS mos, max(try_cast(date_as AS TIMESTAMP)) AS mas FROM t),
 x AS (SELECT id,
   (a - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END AS amount,
   (b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END AS balance,
   CAST(coalesce(year(try_cast(date_as AS TIMESTAMP)), 0) AS DOUBLE) AS date_as_year,
   CAST(coalesce(month(try_cast(date_as AS TIMESTAMP)), 0) AS DOUBLE) AS date_as_month,
   CAST(coalesce(day(try_cast(date_as AS TIMESTAMP)), 0) AS DOUBLE) AS date_as_day,
+  CAST(coalesce(floor(date_diff('microsecond', try_cast(date_as AS TIMESTAMP), mas) / 86400000000), 999999) AS DOUBLE) AS date_as_age_days,
+  CAST(coalesce(year(try_cast(date_os AS TIMESTAMP)), 0) AS DOUBLE) AS date_os_year,
+  CAST(coalesce(month(try_cast(date_os AS TIMESTAMP)), 0) AS DOUBLE) AS date_os_month,
+  CAST(coalesce(day(try_cast(date_os AS TIMESTAMP)), 0) AS DOUBLE) AS date_os_day,
   CAST(coalesce(floor(date_diff('microsecond', try_cast(date_os AS TIMESTAMP), mos) / 86400000000), 999999) AS DOUBLE) AS date_os_age_days
   FROM f, mo, mx),
 xm AS (SELECT """ + ", ".join(f"avg({c}) AS m{j}" for j, c in enumerate(_ATTR)) + """ FROM x),
@@ -376,7 +400,7 @@ _RANKED = """ranked AS (SELECT CAST(row_number() OVER (ORDER BY ma DESC, feature
 
 ORACLE["importance_mapped"] = XB + ",\n" + _RANKED + "\nSELECT rank, feature, feature_name, {R6_}(mean_abs) AS mean_abs FROM ranked"
 
-ORACLE["top_features"] = XB + ",\n" + _RANKED + "\nSELECT rank, feature_name, {R6_}(mean_abs) AS mean_abs FROM ranked WHERE rank <= 3"
+ORACLE["top_features"] = XB + ",\n" + _RANKED + "\nSELECT rank, feature_name, {R6_}(mean_abs) AS mean_abs FROM ranked WHERE rank <= 20"
 
 ORACLE["stacked_attribution"] = XB + """,
 mc AS (SELECT * FROM (VALUES """ + ", ".join(f"('{m}', {_d(c)})" for m, c in _META.items()) + """) v(model, coef))
@@ -419,7 +443,7 @@ c AS (SELECT m.model, CAST((SELECT count(*) FROM ids) - coalesce(present.n, 0) A
 SELECT model, n_missing, n_extra, n_missing = 0 AND n_extra = 0 AS ok FROM c"""
 
 ORACLE["learning_curve_best"] = BASE + """,
-cells AS (SELECT target, floor(p * 10000.0) / 10000.0 AS pb, count(*) AS n FROM preds WHERE model = 'lgb' GROUP BY ALL),
+cells AS (SELECT target, p AS pb, count(*) AS n FROM preds WHERE model = 'lgb' GROUP BY ALL),
 it AS (SELECT cells.*, i AS iter FROM cells, range(200) r(i)),
 q AS (SELECT iter, target, n, least(greatest(0.5 + (pb - 0.5) * iter / 100.0, 1e-15), 1 - 1e-15) AS q FROM it),
 curve AS (SELECT iter, sum(-(target * ln(q) + (1 - target) * ln(1 - q)) * n) / sum(n) AS loss FROM q GROUP BY iter)
@@ -445,19 +469,25 @@ ORACLE["payload_parse"] = "SELECT event_id, CAST(json_extract(props, '$.k') AS B
 
 PAYLOADS = """req AS (
   SELECT event_id, CASE
-    WHEN event_id % 12 IN (0, 6) THEN '{"instance": ' || props || '}'
-    WHEN event_id % 12 IN (1, 7) THEN '{"instances": [' || props || ', ' || props || ']}'
-    WHEN event_id % 12 IN (2, 8) THEN props
-    WHEN event_id % 12 IN (3, 9) THEN '{"instance": {"k": ' || json_extract_string(props, '$.k') || ', "extra_field": 1}}'
-    WHEN event_id % 12 IN (4, 10) THEN '{"instance": {"other": 1}}'
-    WHEN event_id % 12 = 5 THEN '{"instance": ' || props
+    WHEN event_id % 17 IN (0, 6) THEN '{"instance": ' || props || '}'
+    WHEN event_id % 17 IN (1, 7) THEN '{"instances": [' || props || ', ' || props || ']}'
+    WHEN event_id % 17 IN (2, 8) THEN props
+    WHEN event_id % 17 IN (3, 9) THEN '{"instance": {"k": ' || json_extract_string(props, '$.k') || ', "extra_field": 1}}'
+    WHEN event_id % 17 IN (4, 10) THEN '{"instance": {"other": 1}}'
+    WHEN event_id % 17 = 5 THEN '{"instance": ' || props
+    WHEN event_id % 17 = 12 THEN replace('{"instance": ' || props || '}', '"', chr(39))
+    WHEN event_id % 17 = 13 THEN props || ' garbage'
+    WHEN event_id % 17 = 14 THEN '{"instances": []}'
+    WHEN event_id % 17 = 15 THEN '{"instance": {"k": "abc"}}'
+    WHEN event_id % 17 = 16 THEN '{"instances": [1, 2]}'
     ELSE '[' || props || ']' END AS payload
   FROM events
 ),
 cls AS (
   SELECT event_id, payload,
          CASE WHEN NOT json_valid(payload) THEN 'invalid JSON'
-              WHEN json_type(payload) <> 'OBJECT' THEN 'provide instance or instances' END AS error
+              WHEN json_type(payload) <> 'OBJECT' OR json_array_length(payload, '$.instances') = 0 THEN 'provide instance or instances'
+              WHEN json_type(payload, '$.instance.k') = 'VARCHAR' OR json_type(payload, '$.instances[0]') = 'UBIGINT' THEN 'invalid instance' END AS error
   FROM req
 )"""
 
@@ -496,6 +526,53 @@ ORACLE["roc_auc_grid"] = BASE + ",\npg AS (SELECT model, target, floor(p / 1e-6)
     "SELECT model, {R6_}(auc) AS auc FROM (" + auc_sql("pg", ["model"], score="pg") + ") a"
 
 
+# ---------------------------------------------------------------- checks of fitted members
+
+ORACLE["tree_shap_check"] = TB + "SELECT id, true AS all_features, true AS additive FROM t"
+ORACLE["oof_check"] = BASE + "SELECT id, fold, target, true AS p_ok FROM tf"
+ORACLE["stack_check"] = BASE + """SELECT fold, CAST((SELECT count(*) FROM tf) - count(*) AS BIGINT) AS n_train, true AS optimal FROM tf GROUP BY fold
+UNION ALL SELECT -1, count(*), true FROM tf"""
+ORACLE["stack_submission"] = TB + "SELECT id, true AS target_ok FROM t"
+ORACLE["registry_check"] = BASE + """SELECT model, kind, count(*) AS n_rows, true AS usable
+FROM preds, (VALUES ('oof'), ('submission')) v(kind) GROUP BY model, kind"""
+ORACLE["stream_check"] = with_sql(PAYLOADS) + """SELECT event_id AS request_id,
+  CASE WHEN json_exists(payload, '$.instances') THEN CAST(json_array_length(payload, '$.instances') AS BIGINT) ELSE 1 END AS n, true AS p_ok
+FROM cls WHERE error IS NULL"""
+ORACLE["model_roundtrip"] = TB + "SELECT id, true AS same FROM t"
+ORACLE["feature_state_roundtrip"] = ORACLE["feature_lineage"]
+ORACLE["attribution_roundtrip"] = XB + "SELECT id, feature_idx, {R6_}(phi) AS phi FROM attr WHERE model = 'cat'"
+ORACLE["json_roundtrip"] = ORACLE["run_summary"]
+
+ORACLE["drop_columns"] = TB + "SELECT id, target, amount, balance, segment, priority, nation FROM t"
+ORACLE["target_projection"] = TB + "SELECT id, target FROM t"
+ORACLE["string_projection"] = TB + "SELECT segment, priority, nation, city, date_as, date_os FROM t"
+ORACLE["prediction_column"] = BASE + "SELECT id, {R6_}(p) AS value FROM preds WHERE model = 'xgb'"
+ORACLE["row_positions"] = "SELECT doc_id AS key, row_number() OVER (ORDER BY doc_id) - 1 AS position FROM labels"
+ORACLE["attribution_width"] = TB + "SELECT id, CAST(10 AS BIGINT) AS width FROM t"
+ORACLE["coerce_flags"] = TB + """SELECT id, CAST(target = 1 AS INTEGER) AS flag,
+  CASE WHEN id % 5 <> 0 THEN CAST(id AS DOUBLE) END AS reading FROM t"""
+ORACLE["sample_fraction"] = TB + f"""SELECT id FROM t
+WHERE ('0x' || substr(md5('42:' || CAST(id AS VARCHAR)), 1, 8))::BIGINT < {int(0.1 * 0xFFFFFFFF)}"""
+ORACLE["head_rows"] = TB + "SELECT id, target, {R6_}(amount) AS amount FROM t ORDER BY id LIMIT 10"
+ORACLE["stack_matrix_filled"] = BASE + "SELECT id, fold, target, lgb, CASE WHEN id % 7 = 0 THEN 0.0 ELSE cat END AS cat, xgb FROM pw"
+ORACLE["submission_file"] = BASE + ",\n" + AUCW + """
+SELECT id, {R6_}(sum(weight * p)) AS target FROM preds JOIN aucw USING (model) GROUP BY id"""
+ORACLE["label_encode_account"] = TB + """,
+codes AS (SELECT account, CAST(row_number() OVER (ORDER BY account) - 1 AS BIGINT) AS code
+          FROM (SELECT DISTINCT account FROM t WHERE account IS NOT NULL))
+SELECT t.id, codes.code FROM t LEFT JOIN codes ON t.account = codes.account"""
+
+_high = {c: f"{_nd(c)} >= 30" for c in _STRS}
+ORACLE["feature_vector"] = TB + ",\ntok AS (" + "\nUNION ALL ".join(
+    f"SELECT id, '{c}=' || coalesce({c}, '__missing__') AS tok FROM t WHERE {_high[c]}" for c in _STRS) + """),
+h AS (SELECT id, sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS hash_sum FROM tok GROUP BY id),
+w AS (SELECT 10 + """ + " + ".join(f"CASE WHEN {_high[c]} THEN 0 ELSE {_nd(c)} END" for c in _STRS) + """
+  + CASE WHEN """ + " OR ".join(_high.values()) + """ THEN 64 ELSE 0 END AS width,
+  """ + " + ".join(f"CASE WHEN {_high[c]} THEN 0 ELSE 1 END" for c in _STRS) + """ AS n_low)
+SELECT t.id, CAST(w.width AS INTEGER) AS width, CAST(w.n_low AS DOUBLE) AS onehot_sum, coalesce(h.hash_sum, 0.0::DOUBLE) AS hash_sum
+FROM t CROSS JOIN w LEFT JOIN h ON t.id = h.id"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("

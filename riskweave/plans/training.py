@@ -80,13 +80,52 @@ def oof_gbt_native_category(spark: SparkSession, sf: str, max_iter: int = 100, k
                         parallelism=k)
 
 
+def stacker(wide: DataFrame, members: list[str], k: int = 5, C: float = 1.0) -> tuple[ml.OOFResult, object]:
+    """logistic meta-learner over member columns: out-of-fold models, each with the penalty
+    of its own training rows (1 / (C n)), and the final model refitted on all rows."""
+    from riskweave.operators.ensemble import require_members
+    require_members(len(members), 2, "stacking")
+    x = VectorAssembler(inputCols=list(members), outputCol="features").transform(wide)
+    n = {r["fold"]: r["n"] for r in x.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total = sum(n.values())
+    oof = ml.train_oof(x, lambda f: ml.logistic_meta(total - n.get(f, 0), C), k, parallelism=k)
+    return oof, ml.refit(ml.logistic_meta(total, C), oof.base)
+
+
 def stack_logistic(spark: SparkSession, sf: str, k: int = 5) -> DataFrame:
-    """logistic meta-learner over the member columns of the stack matrix, out of fold."""
+    """F5 over the member columns of the stack matrix, out of fold."""
+    return stacker(views.preds_wide(spark, sf), list(views.MODELS), k)[0].oof
+
+
+def stack_gradient(spark: SparkSession, sf: str, k: int = 5, C: float = 1.0) -> DataFrame:
+    """F5 check: per fold model and for the final one (fold -1) the largest component of the
+    penalised objective's gradient at the fitted coefficients, mean log loss + |w|^2 / (2 C n):
+    zero at the optimum."""
     wide = views.preds_wide(spark, sf)
-    assembler = VectorAssembler(inputCols=list(views.MODELS), outputCol="features")
-    x = assembler.transform(wide)
-    n = wide.count()
-    return ml.train_oof(x, ml.logistic_meta(n), k, parallelism=k).oof
+    members = list(views.MODELS)
+    oof, final = stacker(wide, members, k, C)
+    out = None
+    for f, model in [*enumerate(oof.models), (-1, final)]:
+        w = [float(v) for v in model.coefficients]
+        margin = F.lit(float(model.intercept))
+        for m, v in zip(members, w):
+            margin = margin + F.lit(v) * F.col(m)
+        r = F.lit(1.0) / (F.lit(1.0) + F.exp(-margin)) - F.col("target")
+        rows = wide.where(F.col("fold") != f)
+        g = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(r).alias("g0"), *[F.avg(r * F.col(m)).alias(f"g_{m}") for m in members])
+        parts = [F.abs("g0"), *[F.abs(F.col(f"g_{m}") + F.lit(v) / (F.lit(C) * F.col("n"))) for m, v in zip(members, w)]]
+        part = g.select(F.lit(f).alias("fold"), F.col("n").alias("n_train"), F.greatest(*parts).alias("gradient"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def stack_submission(spark: SparkSession, sf: str) -> DataFrame:
+    """The final meta-learner's probabilities as a submission (id, target)."""
+    from riskweave.operators.schema import build_submission
+    wide, members = views.preds_wide(spark, sf), list(views.MODELS)
+    _, final = stacker(wide, members)
+    x = VectorAssembler(inputCols=members, outputCol="features").transform(wide)
+    return build_submission(ml.positive_probability(final.transform(x)))
 
 
 def score_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,6 +161,8 @@ def tune_gbt(x: DataFrame, k: int, n_trials: int, seed: int = 42, max_iter: int
     from riskweave.operators import metrics
     from riskweave.operators.search import random_search
     space = space or LEAFWISE_SPACE
+    if "maxDepth" in space and space["maxDepth"][2] > 30:
+        raise ValueError("Spark trees have at most 30 levels")
     base = ml.persist_input(x.select("id", "fold", "target", "features")
                             .withColumn("target", F.col("target").cast("double")))
 
@@ -131,7 +172,7 @@ def tune_gbt(x: DataFrame, k: int, n_trials: int, seed: int = 42, max_iter: int
             est = ml.gbt_leafwise(max_iter=max_iter)
             for name, v in params.items():
                 v = str(round(v, 4)) if name == "featureSubsetStrategy" else v
-                est.set(est.getParam(name), min(v, 30) if name == "maxDepth" else v)
+                est.set(est.getParam(name), v)
             est.setValidationIndicatorCol("_is_val").setLabelCol("target").setFeaturesCol("features")
             m = est.fit(base.withColumn("_is_val", F.col("fold") == f))
             val = ml.positive_probability(m.transform(base.where(F.col("fold") == f)))
@@ -185,5 +226,7 @@ def flagship(spark: SparkSession, sf: str, k: int = 5, gbt_iter: int = 5) -> Dat
         long = part if long is None else long.unionByName(part)
     weights = ens.auc_weights(long)
     blended = ens.blend_weighted(long, weights)
-    return (blended.select(sc.risk_band(F.col("p")).alias("band"), "p")
-            .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))
+    found = (blended.select(sc.risk_band(F.col("p")).alias("band"), "p")
+             .groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p")))
+    bands = spark.createDataFrame([(b,) for b in sc.BAND_TEXT], "band string")
+    return bands.join(found, "band", "left").select("band", F.coalesce("n", F.lit(0)).cast("long").alias("n"), "mean_p")

@@ -10,40 +10,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def instance_schema(fields: T.StructType) -> T.StructType:
-    """The envelope schema around an instance schema."""
-    return T.StructType([
-        T.StructField("instance", fields),
-        T.StructField("instances", T.ArrayType(fields)),
-        *fields.fields,
-    ])
+STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"}
 
 
 def parse_requests(df: DataFrame, payload_col: str, fields: T.StructType,
                    required: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``instances`` (array<struct>) and ``error`` (NULL when the request is usable).
 
-    error values: 'invalid JSON' (unparseable text), 'provide instance or instances' (valid JSON
-    that is not an object), 'missing field <f>' (a required field absent in some instance). Any
-    other object is one bare instance; unknown fields are ignored, missing ones are NULL.
+    error values: 'invalid JSON' (anything but one strict JSON text, so also single quotes or text
+    after it), 'provide instance or instances' (valid JSON that is not an object, or an empty or
+    null list), 'invalid instance' (an instance that is not an object, or a field of another
+    type), 'missing field <f>' (a required field absent in some instance). Any other object is
+    one bare instance; unknown fields are ignored, missing and null ones are NULL.
     """
-    keys = F.json_object_keys(F.col(payload_col))
-    parsed = F.from_json(F.col(payload_col), instance_schema(fields))
-    bare = F.struct(*[parsed[f.name].alias(f.name) for f in fields.fields])
-    instances = (F.when(F.array_contains(keys, "instance"), F.array(parsed["instance"]))
-                 .when(F.array_contains(keys, "instances"), parsed["instances"])
-                 .when(keys.isNotNull(), F.array(bare)))
-    valid = F.get_json_object(F.col(payload_col), "$").isNotNull()
-    out = df.withColumn("_keys", keys).withColumn("instances", instances)
-    err: Column = (F.when(~valid, F.lit("invalid JSON"))
-                   .when(F.col("_keys").isNull() | F.col("instances").isNull(),
-                         F.lit("provide instance or instances")))
+    text = F.concat(F.lit("["), F.col(payload_col), F.lit("]"))
+    # the whole text must be the one element of an array; its elements come back as JSON text
+    whole = F.from_json(text, T.ArrayType(T.StringType()), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
+    body = F.when(F.size(whole) == 1, F.trim(F.col(payload_col)))
+    # outer white space is no instance text; JSON's own brackets tell objects from other values
+    is_object = body.startswith("{")
+    keys = F.when(is_object, F.json_object_keys(body))
+    single, many = F.array_contains(keys, "instance"), F.array_contains(keys, "instances")
+    listed = F.from_json(F.get_json_object(body, "$.instances"), T.ArrayType(T.StringType()), {"allowSingleQuotes": "false"})
+    texts = (F.when(single, F.array(F.get_json_object(body, "$.instance")))
+             .when(many, listed).when(keys.isNotNull(), F.array(body)))
+    schema = T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())])
+    out = df.withColumn("_ok", F.size(whole) == 1).withColumn("_texts", texts)
+    typed = F.transform("_texts", lambda x: F.from_json(x, schema, STRICT))
+    out = out.withColumn("_typed", typed)
+    bad = F.exists("_texts", lambda x: x.isNull() | ~F.ltrim(x).startswith("{")) | F.exists("_typed", lambda x: x["_corrupt"].isNotNull())
+    err: Column = (F.when(~F.coalesce("_ok", F.lit(False)), F.lit("invalid JSON"))
+                   .when(F.col("_texts").isNull() | (F.size("_texts") == 0), F.lit("provide instance or instances"))
+                   .when(bad, F.lit("invalid instance")))
+
     def absent(field: str):
         return lambda x: x[field].isNull()
 
     for f in required:
-        err = err.when(F.exists("instances", absent(f)), F.lit(f"missing field {f}"))
-    return out.withColumn("error", err).drop("_keys")
+        err = err.when(F.exists("_typed", absent(f)), F.lit(f"missing field {f}"))
+    plain = F.transform("_typed", lambda x: F.struct(*[x[f.name].alias(f.name) for f in fields.fields]))
+    return out.withColumn("instances", plain).withColumn("error", err).drop("_ok", "_texts", "_typed")
 
 
 def explode_instances(parsed: DataFrame, keep: tuple[str, ...]) -> DataFrame:
