@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -77,23 +77,72 @@ def persist_input(df: DataFrame, checkpoint: bool = False) -> DataFrame:
     return df.checkpoint(eager=True) if checkpoint else df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
-def fit_partitions(df: DataFrame, features_col: str, rows: int,
-                   target_bytes: int = 256 << 20) -> int:
-    """Partitions for an iterative fit: every boosting level / optimiser step is a pass over the
-    input, so per-task overhead repeats each pass. One partition per core while the table is
-    small, growing with its estimated size (rows x vector width) beyond that."""
-    sc = df.sparkSession.sparkContext
-    first = df.select(features_col).first()
-    width = first[0].size if first is not None else 1
-    est = rows * (8 * width + 64)
-    return max(sc.defaultParallelism, -(-est // target_bytes))
+#: Partitions of a small fit input, and bytes of vectors in a partition beyond that.
+FIT_PARTITIONS, FIT_BYTES = 8, 256 << 20
 
 
-def fit_input(df: DataFrame, features_col: str = "features", checkpoint: bool = False) -> DataFrame:
-    """Size the partitions for iterative fits (one count), then materialise once."""
-    rows = df.count()
-    parts = fit_partitions(df, features_col, rows)
-    return persist_input(df.repartition(parts), checkpoint)
+def fit_partitions(rows: int, width: int) -> int:
+    """Partitions for an iterative fit: every boosting level / optimiser step is a pass over the
+    input, so per-task overhead repeats each pass. They follow from the table's size only, so a
+    seeded fit that bags by partition gives the same model on any cluster."""
+    return max(FIT_PARTITIONS, -(-rows * (8 * width + 64) // FIT_BYTES))
+
+
+def fit_input(df: DataFrame, features_col: str = "features", checkpoint: bool = False,
+              id_col: str | None = None) -> DataFrame:
+    """Materialise once, then deal the rows for iterative fits: by ``id_col`` and in its order where
+    it is given, so a partition holds the same rows in the same order on every run."""
+    held = persist_input(df, checkpoint)
+    rows, first = held.count(), held.select(features_col).first()
+    parts = fit_partitions(rows, first[0].size if first is not None else 1)
+    dealt = held.repartition(parts) if id_col is None else held.repartition(parts, id_col).sortWithinPartitions(id_col)
+    out = persist_input(dealt, checkpoint)
+    out.count()
+    held.unpersist()
+    return out
+
+
+def staged_losses(model, df: DataFrame) -> list[float]:
+    """The loss on ``df`` (features, label) after each boosting iteration."""
+    return [float(v) for v in model.evaluateEachIteration(df)]
+
+
+def best_prefix(losses: Sequence[float], wait: int) -> tuple[int, int]:
+    """E5: (iterations to keep, iterations run) with early stopping after ``wait`` rounds without a
+    new least loss."""
+    best = 0
+    for i, v in enumerate(losses):
+        if v < losses[best]:
+            best = i
+        elif i - best >= wait:
+            return best + 1, i + 1
+    return best + 1, len(losses)
+
+
+def truncated(model, iterations: int):
+    """The boosted model of the first ``iterations`` trees."""
+    from pyspark.ml.classification import GBTClassificationModel
+    jvm, j = model._java_obj, SparkContext._active_spark_context._jvm
+    trees, weights = jvm.trees()[:iterations], jvm.treeWeights()[:iterations]
+    gateway = SparkContext._active_spark_context._gateway
+    ts = gateway.new_array(j.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    ws = gateway.new_array(j.double, len(weights))
+    for i, (t, w) in enumerate(zip(trees, weights)):
+        ts[i], ws[i] = t, float(w)
+    cut = j.org.apache.spark.ml.classification.GBTClassificationModel(f"{model.uid}_{iterations}", ts, ws, model.numFeatures, 2)
+    out = GBTClassificationModel(cut)
+    for name in ("featuresCol", "predictionCol", "probabilityCol", "rawPredictionCol", "labelCol"):
+        cut.set(name, model.getOrDefault(name))
+    return out
+
+
+def fit_early_stopped(estimator, train: DataFrame, val: DataFrame, wait: int):
+    """E5: fit all iterations, keep the best prefix on ``val`` by the waiting rule. Returns the
+    model and the losses that were looked at."""
+    model = estimator.fit(train)
+    losses = staged_losses(model, val)
+    keep, run = best_prefix(losses, wait)
+    return truncated(model, keep), losses[:run]
 
 
 def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features", label_col: str = "target",
@@ -109,7 +158,7 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
     input, so small fits overlap instead of leaving executors idle between their jobs."""
     spark = df.sparkSession
     base = fit_input(df.select(id_col, fold_col, label_col, features_col, *keep)
-                     .withColumn(label_col, F.col(label_col).cast("double")), features_col, checkpoint)
+                     .withColumn(label_col, F.col(label_col).cast("double")), features_col, checkpoint, id_col)
 
     def fit_fold(f: int):
         est = (estimator(f) if callable(estimator) else estimator).copy()

@@ -665,7 +665,8 @@ def q_gbt_oof(spark, sf):
 
 @query("gbt_cat_oof")
 def q_gbt_cat_oof(spark, sf):
-    return training.oof_gbt_native_category(spark, sf, max_iter=10).oof.select("id", "fold", "target", "p")
+    """F2 with fewer and shallower trees than the default 5000 of depth 8, to fit in seconds."""
+    return training.oof_gbt_native_category(spark, sf, max_iter=10, max_depth=5).oof.select("id", "fold", "target", "p")
 
 
 @query("stack_logistic")
@@ -709,6 +710,15 @@ def q_tree_shap_check(spark, sf):
                                     (F.abs(total - logit) < 1e-6).alias("additive"))
 
 
+@query("boosting_curve")
+def q_boosting_curve(spark, sf):
+    """The loss curve of a fitted member with its early-stopping point (20 iterations, wait
+    of 5; the reference waits 100 to 200 of thousands)."""
+    curve, model = training.boosting_curve(spark, sf, max_iter=20, wait=5)
+    best = metrics.learning_curve_best(curve)
+    return best.select("best_iter", r6("best_loss"), "last_iter", "rounds_since_best", F.lit(model.getNumTrees).alias("trees_kept"))
+
+
 @query("shap_top20")
 def q_shap_top20(spark, sf):
     """P1 -> P3 -> F8 on a fitted member: Tree SHAP of every row, mean |phi| of every feature, names,

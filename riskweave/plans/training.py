@@ -74,12 +74,23 @@ def native_category_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return pipe.transform(enc).select("id", "fold", "target", "features")
 
 
-def oof_gbt_native_category(spark: SparkSession, sf: str, max_iter: int = 100, k: int = 5) -> ml.OOFResult:
+def oof_gbt_native_category(spark: SparkSession, sf: str, max_iter: int = 5000, k: int = 5, max_depth: int = 8) -> ml.OOFResult:
     x = native_category_matrix(spark, sf)
-    return ml.train_oof(x, ml.gbt_native_category(max_iter=max_iter, max_bins=64, maxDepth=5), k,
+    return ml.train_oof(x, ml.gbt_native_category(max_iter=max_iter, max_bins=64, maxDepth=max_depth), k,
                         parallelism=k)
 
 
+def boosting_curve(spark: SparkSession, sf: str, max_iter: int, wait: int, fold: int = 0) -> tuple[DataFrame, object]:
+    """A member fitted on the other folds with its log-loss curve on ``fold``: (iter, loss)
+    rows up to where waiting ``wait`` rounds stops, and the model of the best iterations."""
+    fm, x = featurised(spark, sf)
+    x = ml.fit_input(x.withColumn("target", F.col("target").cast("double")), id_col="id")
+    est = ml.gbt_leafwise(max_iter=max_iter).setFeaturesCol("features").setLabelCol("target")
+    model, losses = ml.fit_early_stopped(est, x.where(F.col("fold") != fold), x.where(F.col("fold") == fold), wait)
+    x.unpersist()
+    return spark.createDataFrame([(i, v) for i, v in enumerate(losses)], "iter int, loss double"), model
+
+
 def stacker(wide: DataFrame, members: list[str], k: int = 5, C: float = 1.0) -> tuple[ml.OOFResult, object]:
     """logistic meta-learner over member columns: out-of-fold models, each with the penalty
     of its own training rows (1 / (C n)), and the final model refitted on all rows."""
@@ -182,6 +193,7 @@ def tune_gbt(x: DataFrame, k: int, n_trials: int, seed: int = 42, max_iter: int
         return sum(aucs) / len(aucs)
 
     history = random_search(space, n_trials, seed, objective, startup=startup)
+    base.unpersist()
     done = [h for h in history if h["value"] is not None]
     best = max(done, key=lambda h: (h["value"], -h["trial"])) if done else None
     return history, (best["params"] if best else None)

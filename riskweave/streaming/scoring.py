@@ -44,9 +44,13 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, ch
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch, overwritten on replay: a retried batch cannot duplicate rows
-        scored, errors = score_requests(batch, fields, feature_model, model)
-        scored.write.mode("overwrite").parquet(f"{sink_dir}/scored/epoch={epoch}")
-        errors.write.mode("overwrite").parquet(f"{sink_dir}/errors/epoch={epoch}")
+        batch = batch.persist()                              # both sinks read it
+        try:
+            scored, errors = score_requests(batch, fields, feature_model, model)
+            scored.write.mode("overwrite").parquet(f"{sink_dir}/scored/epoch={epoch}")
+            errors.write.mode("overwrite").parquet(f"{sink_dir}/errors/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     w = requests.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
