@@ -213,6 +213,9 @@ def run_sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- connected components
 
+EDGES_PER_FILE = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges(a, b)``: (node, root), root the smallest node reached.
 
@@ -230,7 +233,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
                  .where("u != v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        e = stage(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        out = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        # few links left need few files: their number hardly grows from one round to the next
+        e = stage(out.coalesce(seen[0] // EDGES_PER_FILE + 1) if seen else out)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
