@@ -31,8 +31,8 @@ MAX_LABELS = 1000
 
 @lru_cache(maxsize=1)
 def _alphabet() -> np.ndarray:
-    """For each character of the first two planes its lower-case form, or a space if no letter."""
-    out = np.full(0x20000, 32, np.uint32)
+    """For each character that may be a letter its lower-case form, or a space if it is none."""
+    out = np.full(0x33480, 32, np.uint32)                     # the planes above hold no letters
     for k in range(len(out)):
         ch = chr(k)
         if ch.isalpha():
