@@ -139,19 +139,40 @@ def stack_submission(spark: SparkSession, sf: str) -> DataFrame:
     return build_submission(ml.positive_probability(final.transform(x)))
 
 
-def score_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Q1: align, transform with the fitted state, predict with the fitted model, band."""
+def train_registered(spark: SparkSession, sf: str, root: str, k: int = 5) -> None:
+    """Fit feature state and fold models on the telemetry view and save them below ``root``."""
+    from riskweave.sources.artifacts import save_models
+    fm, x = featurised(spark, sf)
     from pyspark.ml.classification import LogisticRegression
-    t = views.telemetry(spark, sf)
-    fm = t_spec().fit(t)
-    x = ml.persist_input(fm.transform(t, keep=("id", "target"))
-                         .withColumn("target", F.col("target").cast("double")))
-    model = LogisticRegression(regParam=0.01, maxIter=50, labelCol="target").fit(x)
-    x.unpersist()
-    scored = ml.positive_probability(model.transform(fm.transform(t, keep=("id",))))
+    oof = ml.train_oof(x, LogisticRegression(regParam=0.01, maxIter=50), k, parallelism=k)
+    fm.save(spark, f"{root}/features")
+    save_models(oof.models, root, "logistic")
+    oof.release()
+
+
+def score_registered(spark: SparkSession, rows: DataFrame, root: str, k: int = 5) -> DataFrame:
+    """Q1: load the saved feature state and fold models, align, transform, average, band. One narrow
+    projection per row."""
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    from riskweave.plans.feature_spec import FeatureModel
+    from riskweave.sources.artifacts import load_models, model_path
+    fm = FeatureModel.load(spark, f"{root}/features")
+    models = load_models(LogisticRegressionModel, [model_path(root, "logistic", f) for f in range(k)])
+    scored = ml.fold_average(models, fm.transform(rows, keep=("id",)))
     return scored.select("id", "p", sc.risk_band(F.col("p")).alias("band"))
 
 
+def score_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """Q1 with the members that a training run has saved."""
+    import uuid
+
+    from riskweave.session import scratch_path
+    root = scratch_path(spark, f"registered/{uuid.uuid4().hex}")
+    train_registered(spark, sf, root)
+    return score_registered(spark, views.telemetry(spark, sf), root)
+
+
 # ------------------------------------------------------------------ search
 
 # The search space of the leaf-wise member (name -> kind, low, high).
