@@ -1,8 +1,8 @@
 """Quality rules by tokeniser fertility: how well a public vocabulary covers a text.
 
 Words are tokenised by a public SentencePiece vocabulary (each distinct word once per batch and
-cache). A text's measures are its characters per token, the share of byte-fallback tokens and
-the entropy of its tokens relative to the most its length allows. A text is rejected when a
+cache). A text's measures are its characters per token, tokens per word, the share of byte-fallback
+tokens and the entropy of its tokens relative to the most its length allows. A text is rejected when a
 measure leaves the band of its language (its ``lang``, or its script where that is null). Bands
 are Tukey-like fences around the quartiles of all texts of the language that pass the base rules;
 languages with few texts have the fixed, wide fences ``WIDE``.
@@ -21,11 +21,12 @@ from riskweave.llm import common as c
 
 CACHE_WORDS = 400_000
 #: Fences: so many quartile ranges beyond the quartiles, and at least this far beyond them.
-FENCE, LEAST = 4.0, {"chars_per_token": 0.5, "byte_share": 0.05, "entropy": 0.15}
+FENCE, LEAST = 5.0, {"chars_per_token": 0.2, "tokens_per_word": 1.0, "byte_share": 0.05, "entropy": 0.15}
 MAX_CHARS_PER_TOKEN = 16.0
-WIDE = {"chars_per_token": 0.4, "byte_share": 0.6, "entropy": 0.2}
+WIDE = {"chars_per_token": 0.4, "tokens_per_word": 30.0, "byte_share": 0.6, "entropy": 0.2}
+HIGH = ("tokens_per_word", "byte_share")        # measures whose fence is above
 FEW = 50                       # languages with fewer texts have the wide fences
-SHORT = 20                     # texts with fewer tokens are judged by the base rules only
+SHORT = 150                    # texts with fewer tokens are judged by the base rules only
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: First and last characters of the scripts told apart (by lead bytes of their UTF-8 form).
@@ -158,11 +159,11 @@ def _measure(path):
                 cols = [np.bincount(row, minlength=n), word_chars, _per_row(_SYMBOL[data], offsets), duplicate_lines(data, offsets, s),
                         repeated_words(hashes, row, n), tokens]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), *[pa.array(x.astype(np.int64)) for x in cols], pa.array(word_chars / total), pa.array(bytes_ / total),
+                    [batch.column(0).slice(a, n), *[pa.array(x.astype(np.int64)) for x in cols], pa.array(word_chars / total), pa.array(tokens / np.maximum(cols[0], 1)), pa.array(bytes_ / total),
                      pa.array(bits / most), pa.array(scripts_of(data, offsets), pa.string())],
-                    names=["_row", *names, "chars_per_token", "byte_share", "entropy", "script"])
+                    names=["_row", *names, "chars_per_token", "tokens_per_word", "byte_share", "entropy", "script"])
 
-    return run, ", ".join(f"{x} long" for x in names) + ", chars_per_token double, byte_share double, entropy double, script string"
+    return run, ", ".join(f"{x} long" for x in names) + ", chars_per_token double, tokens_per_word double, byte_share double, entropy double, script string"
 
 
 def measures(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
@@ -187,7 +188,7 @@ def bands(measured: DataFrame) -> DataFrame:
     cols = ["key"]
     for x, least in LEAST.items():
         reach = F.greatest(F.lit(FENCE) * (F.col(x)[1] - F.col(x)[0]), F.lit(least))
-        cols.append((F.col(x)[1] + reach if x == "byte_share" else F.col(x)[0] - reach).alias(f"{x}_fence"))
+        cols.append((F.col(x)[1] + reach if x in HIGH else F.col(x)[0] - reach).alias(f"{x}_fence"))
     return ok.groupBy("key").agg(*aggs).where(f"n >= {FEW}").select(*cols)
 
 
@@ -195,9 +196,9 @@ def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     """Per input row its ``columns``, all measures, ``base_failed`` and ``kept``.
 
     Rejected beyond the base rules (under 10 words, or over a fifth of the words in repeated
-    5-word windows): texts of ``SHORT`` tokens or more with fewer characters per token, more byte
-    fallback or less entropy than their language's fences, or more than
-    ``MAX_CHARS_PER_TOKEN``. Null and empty texts fail the base rules; repeated rows get a row
+    5-word windows): texts of ``SHORT`` tokens or more with fewer characters per token, more
+    tokens per word, more byte fallback or less entropy than their language's fences, or more
+    than ``MAX_CHARS_PER_TOKEN``. Null and empty texts fail the base rules; repeated rows get a row
     each; an empty table gives no rows."""
     columns = docs.columns if columns is None else columns
     measured = c.stage(measures(docs, vocabulary, text_col, lang_col, columns))
@@ -205,7 +206,7 @@ def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: st
     j = measured.join(own, F.col("key") == F.col("_key"), "left")
     fence = lambda x: F.coalesce(f"{x}_fence", F.lit(WIDE[x]))
     out_of_band = ((F.col("chars_per_token") < fence("chars_per_token")) | (F.col("chars_per_token") > MAX_CHARS_PER_TOKEN)
-                   | (F.col("byte_share") > fence("byte_share")) | (F.col("entropy") < fence("entropy")))
+                   | (F.col("tokens_per_word") > fence("tokens_per_word")) | (F.col("byte_share") > fence("byte_share")) | (F.col("entropy") < fence("entropy")))
     kept = ~F.col("base_failed") & ~((F.col("n_tokens") >= SHORT) & out_of_band)
     shown = [x for x in measured.columns if x not in {f"c{k}" for k in range(len(columns))}]
     return j.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(columns)], *shown, kept.alias("kept"))

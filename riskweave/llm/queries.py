@@ -86,7 +86,7 @@ def op4(spark, sf):
     from riskweave.llm.fertility import judge
     return judge(c.documents(spark, sf), public_tokenizers.path("piece_bpe_32k.model"), columns=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "n_tokens", "chars_per_token", "byte_share", "entropy")
+        "n_tokens", "chars_per_token", "tokens_per_word", "byte_share", "entropy")
 
 
 @query("op2_benchmark_decontamination")

@@ -48,6 +48,8 @@ def test_query(spark):
     good = {r.doc_id for r in spark.read.parquet(f"{SF_ORACLE}/labels.parquet").where("quality = 1").collect()}
     passed = [out[k].kept for k in good if not out[k].base_failed]
     assert sum(passed) >= 0.99 * len(passed)
+    noisy = [r for k, r in out.items() if not r.base_failed and r.n_symbols > 2 * r.n_words and r.n_words > 40]
+    assert noisy and sum(not r.kept for r in noisy) >= 0.9 * len(noisy)
 
 
 def test_edges(spark):
