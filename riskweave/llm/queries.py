@@ -93,3 +93,46 @@ def op4(spark, sf):
 def op2(spark, sf):
     from riskweave.llm.decontam import contaminated
     return contaminated(c.documents(spark, sf), c.documents(spark, sf, "benchmark"))
+
+
+# ---------------------------------------------------------------- DuckDB SQL of the results that SQL can express
+
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+ORACLE["op1_ngram_jaccard_join"] = f"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+                                    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles FROM sets),
+x AS (SELECT doc_id, unnest(s) AS sh FROM sets),
+links AS (
+  SELECT a, b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS common FROM x p JOIN x q ON p.sh = q.sh AND p.doc_id <> q.doc_id GROUP BY 1, 2) c
+  JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * common >= 85 * (na.n_shingles + nb.n_shingles - common)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT n.doc_id, n.n_shingles, m.component_id
+FROM n JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) m ON n.doc_id = m.a"""
+
+ORACLE["op3_suffix_array_dedup"] = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+w AS (SELECT doc_id, i, md5(substr(hx, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, hx, unnest(range(0, length(hx) // 2 - 199)) AS i FROM d)),
+hit AS (SELECT doc_id, i FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) r ON w.k = r.k),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS fresh FROM hit),
+runs AS (
+  SELECT doc_id, min(i) AS s, max(i) + 200 AS e
+  FROM (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM marked) GROUP BY doc_id, g),
+parts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS after FROM runs),
+kept AS (
+  SELECT d.doc_id, any_value(hx) AS hx, count(s) AS n_spans, coalesce(sum(e - s), 0) AS n_removed,
+         coalesce(string_agg(substr(hx, 2 * after + 1, 2 * (s - after)), '' ORDER BY s), '') || substr(any_value(hx), 2 * coalesce(max(e), 0) + 1) AS rest
+  FROM d LEFT JOIN parts ON d.doc_id = parts.doc_id GROUP BY d.doc_id)
+SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, CAST(n_spans AS BIGINT) AS n_spans,
+       sha256(unhex(rest)) AS kept_sha256 FROM kept"""
+
+_digits = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((('0x' || substr(h, {10 * g + 1}, 10))::BIGINT >> {35 - 5 * k}) & 31 AS INTEGER) + 1, 1)"
+                      for g in range(4) for k in range(8))
+ORACLE["op5_warc"] = f"""WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_digits} AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> least THEN least END AS refers_to FROM f"""
