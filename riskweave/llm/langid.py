@@ -27,6 +27,8 @@ from riskweave.llm import common as c
 DIM, ORDERS, SCALE = 1 << 17, 3, 40.0
 ALPHA, BETA, L1, L2, EPOCHS, SHARDS = 0.5, 1.0, 0.02, 0.05, 2, 4
 MAX_LABELS = 1000
+# bytes of text, and places in it, that are worked on at once
+CHUNK, SLICE = 1 << 20, 1 << 18
 
 
 @lru_cache(maxsize=1)
@@ -82,8 +84,8 @@ def _row_sums(table: np.ndarray, h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """For each row the sum of ``table`` over its places in ``h`` (which may miss the last few
     places), a slice at a time, so that one long text needs no more memory than many short ones."""
     out = np.zeros((len(off) - 1, table.shape[1]))
-    for lo in range(0, len(h), 1 << 20):
-        part = h[lo:lo + (1 << 20)]
+    for lo in range(0, len(h), SLICE):
+        part = h[lo:lo + SLICE]
         total = np.concatenate((np.zeros((1, table.shape[1])), np.cumsum(table[part], axis=0, dtype=np.float64)))
         o = np.clip(off - lo, 0, len(part))
         out += total[o[1:]] - total[o[:-1]]
@@ -225,11 +227,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ma
 
 # ---------------------------------------------------------------- prediction
 
-def _predict(shared):
+def _predict(shared, keep_text):
     def run(batches):
         model = shared.value
         for batch in batches:
-            for a, b, data, offsets in c.text_chunks(batch.column(1)):
+            for a, b, data, offsets in c.text_chunks(batch.column(1), CHUNK):
                 if model.labels:
                     z, some = model.logits(data, offsets)
                     p = softmax(z / model.temperature)
@@ -238,22 +240,27 @@ def _predict(shared):
                     score = np.where(some, p[np.arange(len(best)), best], 0.0)
                 else:
                     pred, score = ["und"] * (b - a), np.zeros(b - a)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))],
-                                                 names=["_row", "lang_pred", "score"])
+                text = [batch.column(1).slice(a, b - a)] if keep_text else []
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *text, pa.array(pred, pa.string()), pa.array(np.minimum(score, 1.0))],
+                                                 names=["_row", *["_text"] * keep_text, "_pred", "_score"])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """Per input row its ``columns`` (default: all), ``lang_pred`` and ``score`` (the calibrated
+def predict(docs: DataFrame, model: Model, text_col: str = "text", columns: list[str] | None = None,
+            pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Per input row its ``columns`` (default: all), ``pred_col`` and ``score_col`` (the calibrated
     probability). Null texts and texts without a letter are ``und`` with score 0; repeated rows
-    get a row each; an empty table gives no rows."""
+    get a row each; an empty table gives no rows. The caller names the new columns so that they
+    clash with none of ``columns``."""
     columns = docs.columns if columns is None else columns
-    row = F.struct(*[docs[x].alias(f"c{k}") for k, x in enumerate(columns)]).alias("_row")
-    rows = docs.select(row, docs[text_col].alias("_text"))
+    keep_text = text_col in columns                           # the text goes through once
+    fields = [docs[x].alias(f"c{k}") for k, x in enumerate(columns) if x != text_col]
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *fields).alias("_row"), docs[text_col].alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = rows.mapInArrow(_predict(shared), f"_row {rows.schema['_row'].dataType.simpleString()}, lang_pred string, score double")
-    return out.select(*[F.col(f"_row.c{k}").alias(x) for k, x in enumerate(columns)], "lang_pred", "score")
+    out = rows.mapInArrow(_predict(shared, keep_text), f"_row {rows.schema['_row'].dataType.simpleString()}, " + "_text string, " * keep_text + "_pred string, _score double")
+    return out.select(*[F.col("_text" if x == text_col else f"_row.c{k}").alias(x) for k, x in enumerate(columns)],
+                      F.col("_pred").alias(pred_col), F.col("_score").alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):
