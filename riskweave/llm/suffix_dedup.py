@@ -9,6 +9,8 @@
 3. **Induced sorting.** The other blocks (around the edges of passages, and edits in near copies)
    are fetched and the suffixes of each shard's blocks sorted by :mod:`induced_sort`, whose LCP
    values tell which windows start elsewhere as well.
+   A group with very many blocks (a passage in very many surroundings) is split instead: its
+   windows are counted by hash, with map-side combined sums.
 4. **Removal.** The spans found are merged per text and cut.
 
 Texts never leave Spark's partitions whole but for two joins on the row's key.
@@ -28,6 +30,7 @@ from riskweave.llm.induced_sort import repeated
 
 U64 = np.uint64
 KMER = 48
+HOT_BLOCKS = 20_000            # blocks of a group beyond which its windows are counted by hash
 RUN_BYTES = 4 << 20            # text sorted at once; whole groups, so a larger group makes its own run
 
 
@@ -194,6 +197,39 @@ def _sort_shards(length):
     return run
 
 
+def _windows(length):
+    """Rows (a, h, f, n, offset, text, start) of all windows of blocks."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                data, off = c.text_buffers(part.column(6))
+                s = c.prefix_hash(data[off[0]:off[-1]])
+                off = off - off[0]
+                at = part.column(5).to_numpy()
+                count = np.where(off[1:] > off[:-1], at % 1024 + 1, 0)
+                own = np.repeat(np.arange(part.num_rows), count)
+                offset = np.arange(len(own)) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+                start = off[own] + offset
+                h = c.span_hash(s, start, start + length)
+                take = pa.array(own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(2).take(take), pa.array(h.view(np.int64)), part.column(3).take(take), part.column(4).take(take), pa.array(offset),
+                     part.column(0).take(take), part.column(1).take(take), pa.array((at // 1024)[own] + offset)],
+                    names=["a", "h", "f", "n", "offset", "_id", "_th", "start"])
+
+    return run
+
+
+def _count_windows(blocks: DataFrame, length: int, id_type: str) -> DataFrame:
+    """Repeated windows of blocks that occur once, by counting: a window repeats when it stands in
+    another block, in a block that occurs again, or at another place of its block."""
+    w = blocks.mapInArrow(_windows(length), f"a long, h long, f long, n long, offset long, _id {id_type}, _th int, start long")
+    again = w.groupBy("a", "h").agg(F.min("f").alias("f0"), F.max("f").alias("f1"), F.max("n").alias("most"), F.min("offset").alias("o0"), F.max("offset").alias("o1")).where(
+        "f0 != f1 or most > 1 or o0 != o1").select("a", "h")
+    return w.where("n = 1").join(again, ["a", "h"]).select("_id", "_th", "start", (F.col("start") + length).alias("end"))
+
+
 def merge(spans: np.ndarray) -> np.ndarray:
     """Maximal runs of (start, end) spans; touching spans are one run."""
     if not len(spans):
@@ -255,18 +291,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     same = Window.partitionBy("a", "f")
     group = Window.partitionBy("a")
     found = c.stage(found.repartition("a").select("*", F.sum("m").over(same).alias("n"))
-                    .select("*", (F.min("f").over(group) != F.max("f").over(group)).alias("open"))
-                    .where("n > 1 or open or m < 0").select("_id", "_th", "a", "f", "at", "m", "n", "open"))
+                    .select("*", (F.min("f").over(group) != F.max("f").over(group)).alias("open"), (F.count("*").over(group) > HOT_BLOCKS).alias("hot"))
+                    .where("n > 1 or open or m < 0").select("_id", "_th", "a", "f", "at", "m", "n", "open", "hot"))
     first = F.when(F.col("m") < 0, F.col("at")).otherwise(F.floor(F.col("at") / 1024))
     size = F.when(F.col("m") < 0, -F.col("m")).otherwise(F.col("at") % 1024 + length)
     settled = found.where("n > 1 or m < 0").select("_id", "_th", first.alias("start"), (first + size).alias("end"))
-    asked = found.where("open and m > 0").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "f", "n", "at")).alias("asked"))
     on = lambda x, y: x["_id"].eqNullSafe(y["_id"]) & (x["_th"] == y["_th"])
-    # both joins take the same columns of the texts, so the second reuses the first one's shuffle
-    blocks = rows.join(asked, on(rows, asked)).select(rows["_id"], rows["_th"], "_text", "asked", "_row").mapInArrow(
-        _fetch(length), f"_id {id_type}, _th int, a long, f long, n long, at long, block binary")
-    shards = blocks.repartition("a").sortWithinPartitions("a", "f")
+
+    def blocks(which: str) -> DataFrame:
+        """The blocks to compare. The joins here and below take the same columns of the texts, so
+        they share one shuffle."""
+        asked = found.where(f"open and m > 0 and {which}").groupBy("_id", "_th").agg(F.collect_list(F.struct("a", "f", "n", "at")).alias("asked"))
+        return rows.join(asked, on(rows, asked)).select(rows["_id"], rows["_th"], "_text", "asked", "_row").mapInArrow(
+            _fetch(length), f"_id {id_type}, _th int, a long, f long, n long, at long, block binary")
+
+    shards = blocks("not hot").repartition("a").sortWithinPartitions("a", "f")
     spans = settled.unionByName(shards.mapInArrow(_sort_shards(length), f"_id {id_type}, _th int, start long, end long"))
+    if found.where("hot and open").limit(1).count():
+        spans = spans.unionByName(_count_windows(blocks("hot"), length, id_type))
     spans = spans.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
     row_type = rows.schema["_row"].dataType.simpleString()
     out = rows.join(spans, on(rows, spans), "left").select("_row", "_text", F.coalesce("_spans", F.array().cast("array<struct<start:bigint,end:bigint>>")).alias("_spans")).mapInArrow(

@@ -5,6 +5,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 
 from riskweave.llm import queries, suffix_dedup
 
@@ -52,7 +53,9 @@ def test_small_lengths_and_edges(spark):
     assert got(spark, [], length=20) == []
 
 
-def test_one_large_passage_and_runs(spark):
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_one_large_passage_and_runs(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT_BLOCKS", hot)
     rnd = random.Random(7)
     word = lambda k: "".join(rnd.choice("etaoinshrdlu ") for _ in range(k))
     passage = word(450)
