@@ -5,7 +5,9 @@ cache). A text's measures are its characters per token, tokens per word, the sha
 tokens and the entropy of its tokens relative to the most its length allows. A text is rejected when a
 measure leaves the band of its language (its ``lang``, or its script where that is null). Bands
 are Tukey-like fences around the quartiles of all texts of the language that pass the base rules;
-languages with few texts have the fixed, wide fences ``WIDE``.
+languages with few texts have the fixed, wide fences ``WIDE``. Entropy falls with length, so it is
+judged by its excess over what texts of that length have, and all fences lie further out for short
+texts, whose measures vary more.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ from riskweave.llm import common as c
 
 CACHE_WORDS = 400_000
 #: Fences: so many quartile ranges beyond the quartiles, and at least this far beyond them.
-FENCE, LEAST = 5.0, {"chars_per_token": 0.2, "tokens_per_word": 1.0, "byte_share": 0.05, "entropy": 0.15}
+FENCE, LEAST = 4.0, {"chars_per_token": 0.2, "tokens_per_word": 1.0, "byte_share": 0.05, "excess": 0.05}
 MAX_CHARS_PER_TOKEN = 16.0
-WIDE = {"chars_per_token": 0.4, "tokens_per_word": 30.0, "byte_share": 0.6, "entropy": 0.2}
+WIDE = {"chars_per_token": 0.4, "tokens_per_word": 30.0, "byte_share": 0.6, "excess": -0.4}
 HIGH = ("tokens_per_word", "byte_share")        # measures whose fence is above
 FEW = 50                       # languages with fewer texts have the wide fences
-SHORT = 150                    # texts with fewer tokens are judged by the base rules only
+STEADY = 150                   # tokens of a text whose measures vary as much by chance as between texts
+OCTAVES, NEXT = 48, 0.01       # lengths with an expected entropy: powers of two; weight of the texts of the next one
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 #: First and last characters of the scripts told apart (by lead bytes of their UTF-8 form).
@@ -179,34 +182,53 @@ def measures(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
                       *[x for x in out.columns if x not in ("_row", "script")], base.alias("base_failed"))
 
 
+def expected_entropy(measured: DataFrame):
+    """The entropy to expect at ``n_tokens``: medians of the texts that pass the base rules by power
+    of two, those of few texts drawn to their neighbours', with straight lines between them."""
+    octave = F.round(F.log2(F.greatest("n_tokens", F.lit(2)))).cast("int")
+    found = measured.where(~F.col("base_failed")).groupBy(octave.alias("octave")).agg(
+        F.count("*").alias("n"), F.percentile_approx("entropy", 0.5, 1000).alias("median")).orderBy("octave").collect()   # a row per power of two
+    curve = []
+    for k in range(OCTAVES):
+        near = min((abs(r.octave - k) for r in found), default=0)
+        weight = [r.n * NEXT ** (abs(r.octave - k) - near) for r in found]
+        curve.append(sum(w * r.median for w, r in zip(weight, found)) / sum(weight) if found else 0.0)
+    at = F.log2(F.greatest("n_tokens", F.lit(2)))
+    values, low = F.array(*[F.lit(x) for x in curve]), F.least(F.floor(at), F.lit(OCTAVES - 2)).cast("int")
+    return values[low] + (at - low) * (values[low + 1] - values[low])
+
+
 def bands(measured: DataFrame) -> DataFrame:
-    """Fences per ``key`` over all its texts that pass the base rules; none for keys with few."""
-    ok = measured.where(~F.col("base_failed") & (F.col("n_tokens") >= SHORT))
+    """Per ``key`` the quartiles that bound its texts and the ``reach`` of the fences beyond them, over
+    all its texts that pass the base rules; none for keys with few."""
     aggs = [F.count("*").alias("n")]
     for x in LEAST:
         aggs += [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(x)]
     cols = ["key"]
     for x, least in LEAST.items():
-        reach = F.greatest(F.lit(FENCE) * (F.col(x)[1] - F.col(x)[0]), F.lit(least))
-        cols.append((F.col(x)[1] + reach if x in HIGH else F.col(x)[0] - reach).alias(f"{x}_fence"))
-    return ok.groupBy("key").agg(*aggs).where(f"n >= {FEW}").select(*cols)
+        cols.append((F.col(x)[1] if x in HIGH else F.col(x)[0]).alias(f"{x}_quartile"))
+        cols.append(F.greatest(F.lit(FENCE) * (F.col(x)[1] - F.col(x)[0]), F.lit(least)).alias(f"{x}_reach"))
+    return measured.where(~F.col("base_failed")).groupBy("key").agg(*aggs).where(f"n >= {FEW}").select(*cols)
 
 
 def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
     """Per input row its ``columns``, all measures, ``base_failed`` and ``kept``.
 
     Rejected beyond the base rules (under 10 words, or over a fifth of the words in repeated
-    5-word windows): texts of ``SHORT`` tokens or more with fewer characters per token, more
-    tokens per word, more byte fallback or less entropy than their language's fences, or more
-    than ``MAX_CHARS_PER_TOKEN``. Null and empty texts fail the base rules; repeated rows get a row
-    each; an empty table gives no rows."""
+    5-word windows): texts of any length with fewer characters per token, more tokens per word,
+    more byte fallback or less entropy for their length than their language's fences, or more than
+    ``MAX_CHARS_PER_TOKEN``. The fences' reach grows as the root of 1 + ``STEADY`` / tokens. Null and
+    empty texts fail the base rules; repeated rows get a row each; an empty table gives no rows."""
     columns = docs.columns if columns is None else columns
     measured = c.stage(measures(docs, vocabulary, text_col, lang_col, columns))
+    shown = [x for x in measured.columns if x not in {f"c{k}" for k in range(len(columns))}]
+    measured = measured.withColumn("excess", F.col("entropy") - expected_entropy(measured))
     own = bands(measured).withColumnRenamed("key", "_key")
     j = measured.join(own, F.col("key") == F.col("_key"), "left")
-    fence = lambda x: F.coalesce(f"{x}_fence", F.lit(WIDE[x]))
-    out_of_band = ((F.col("chars_per_token") < fence("chars_per_token")) | (F.col("chars_per_token") > MAX_CHARS_PER_TOKEN)
-                   | (F.col("tokens_per_word") > fence("tokens_per_word")) | (F.col("byte_share") > fence("byte_share")) | (F.col("entropy") < fence("entropy")))
-    kept = ~F.col("base_failed") & ~((F.col("n_tokens") >= SHORT) & out_of_band)
-    shown = [x for x in measured.columns if x not in {f"c{k}" for k in range(len(columns))}]
+    wider = F.sqrt(1 + F.lit(float(STEADY)) / F.greatest("n_tokens", F.lit(1)))
+    fence = lambda x: F.coalesce(F.col(f"{x}_quartile") + (1 if x in HIGH else -1) * wider * F.col(f"{x}_reach"), F.lit(WIDE[x]))
+    out_of_band = F.col("chars_per_token") > MAX_CHARS_PER_TOKEN
+    for x in LEAST:
+        out_of_band |= F.col(x) > fence(x) if x in HIGH else F.col(x) < fence(x)
+    kept = ~F.col("base_failed") & ~out_of_band
     return j.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(columns)], *shown, kept.alias("kept"))

@@ -66,3 +66,15 @@ def test_edges(spark):
         assert tuple(got[d][3:8]) == plain(t), d
     assert all(got[d][-1] for d in [*range(80), None, 107]) and not any(got[d][-1] for d in (100, 101, 102, 103, 104, 105))
     assert fertility.judge(df.limit(0), PATH).collect() == []
+
+
+def test_short_texts_are_judged(spark):
+    rnd = random.Random(2)
+    words = "the of and language model water house tree people under river light stone paper green early".split()
+    clean = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "s", "ing"]) for _ in range(n))
+    rows = [(i, clean(rnd.choice([12, 20, 40, 80, 300])), "en") for i in range(200)]
+    rows += [(1000 + n, " ".join("".join(rnd.choice("#*$%&|<>{}[]^~") for _ in range(14)) for _ in range(n)), "en") for n in (11, 14, 18)]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
+    junk = [got[d] for d in got if d >= 1000]
+    assert not any(r.base_failed or r.kept for r in junk) and min(r.n_tokens for r in junk) < 150
+    assert sum(got[d].kept for d in range(200)) >= 0.99 * sum(not got[d].base_failed for d in range(200))
