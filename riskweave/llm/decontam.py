@@ -3,7 +3,7 @@
 Texts are lower-cased words of letters and digits. Every benchmark item has a 64-bit SimHash of
 its weighted word shingles. A document's windows of an item's word count are fingerprinted in the
 same way wherever the document shares a shingle with an item (windows that share none cannot be
-similar). A window's candidates are all items whose fingerprint is within ``RADIUS`` bits: the
+similar); a document of fewer words than the item is one window. A window's candidates are all items whose fingerprint is within ``RADIUS`` bits: the
 fingerprint is cut into blocks, of which one must be within ``RADIUS // blocks`` bits of the
 item's (pigeonhole), and each block's table lists the items by every value that near. Candidates
 are verified by the exact weighted Jaccard similarity of the shingle multisets; a shingle's
@@ -158,10 +158,8 @@ def matches(items: Items, h: np.ndarray, size: np.ndarray, threshold: float):
         by_length: dict[int, list[int]] = {}
         for p, g in zip(hits.tolist(), which.tolist()):
             for n in lengths[g]:
-                by_length.setdefault(n, []).append(p)
+                by_length.setdefault(min(n, len(h)), []).append(p)   # a shorter document is one window
         for n, places in by_length.items():
-            if len(h) < n:
-                continue
             # windows of n words that hold a shared shingle, in runs of neighbouring starts
             lo = np.maximum(np.array(places) - (n - k), 0)
             hi = np.minimum(np.array(places), len(h) - n)
@@ -219,7 +217,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  item_text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """A row per input row and benchmark item that a window of it repeats: ``id_col``, ``item_col``,
     ``similarity`` (weighted Jaccard, ``threshold`` or more), ``start_word``, ``n_words`` and
-    ``distance`` (Hamming) of the best, first such window.
+    ``distance`` (Hamming) of the best, first such window. A window has as many words as the item,
+    or all of a document that has fewer.
 
     Items and texts that are null or without a word match nothing; items of equal text match
     alike; items shorter than a shingle match their whole word sequence; repeated rows each get

@@ -87,3 +87,23 @@ def test_edits_and_edges(spark, monkeypatch):
     assert decontam.contaminated(d.limit(0), b).count() == 0 and decontam.contaminated(d, b.limit(0)).count() == 0
     kept = {r.doc_id for r in decontam.decontaminate(d, b).collect()}
     assert kept == {x for x, _ in docs if x is None or not any(k == x for k, _ in want)}
+
+
+def test_documents_shorter_than_an_item(spark):
+    rnd = random.Random(9)
+    vocab = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(rnd.randrange(2, 9))) for _ in range(2000)]
+    items = [(i, " ".join(rnd.choice(vocab) for _ in range(n))) for i, n in enumerate((38, 59, 15, 6, 38))] + [(9, "two words")]
+    cut = lambda i, a, b: " ".join(items[i][1].split()[a:b])
+    docs = [(0, cut(0, 0, -1)), (1, cut(0, 1, None)), (2, cut(1, 2, -3)), (3, cut(2, 0, -1)), (4, cut(0, 0, 20)), (5, cut(3, 0, 4)), (6, "two"),
+            (7, cut(1, 0, 30) + " " + cut(1, 31, None)), (8, cut(4, 0, -1) + " other"), (9, cut(3, 0, -1))]
+    want = {}
+    for d, t in docs:
+        for i, x in items:
+            w, q = t.split(), x.split()
+            k, n = min(5, len(q)), min(len(w), len(q))
+            s, at = max(((weighted(bag(w[a:a + n], k), bag(q, k)), -a) for a in range(len(w) - n + 1)), default=(0, 0))
+            if s >= .8:
+                want[d, i] = (round(s, 9), -at, n)
+    assert {(0, 0), (1, 0), (3, 2), (8, 4)} <= set(want) and not {d for d, _ in want} & {4, 5, 6}
+    make = lambda rows, *c: spark.createDataFrame(rows, f"{c[0]} long, text string")
+    assert got(decontam.contaminated(make(docs, "doc_id"), make(items, "item_id"))) == want
