@@ -4,8 +4,8 @@ Texts are lower-cased, everything but letters becomes a space, and n-grams of 1
 characters are hashed into ``DIM`` features. A text's vector is its TF-IDF weights divided by
 their sum, so a score is one weighted sum over the whole text.
 
-Fitting uses a bounded sample of labelled rows (``max_rows``, spread evenly over the labels by
-hash): document frequencies, then follow-the-regularised-leader with elastic-net penalties on
+Document frequencies come from all labelled rows. Weights are learned from a bounded sample of their
+distinct texts (``max_rows``, spread evenly over the labels by hash): follow-the-regularised-leader with elastic-net penalties on
 shards of the sample in parallel, whose weights are averaged, then a temperature that calibrates
 the softmax on a part of the sample the shards did not see. Prediction covers all rows and reads
 only the text.
@@ -135,10 +135,18 @@ def _vectors(texts: list[str]):
 
 
 def _frequencies(batches):
-    df = np.zeros(DIM, np.int64)
+    """Texts with each feature; those of feature 0 are all texts."""
+    df, last = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
     for batch in batches:
-        for u, _ in _vectors([t or "" for t in batch.column(0).to_pylist()]):
-            df[u] += 1
+        for a, b, data, offsets in c.text_chunks(batch.column(0), CHUNK):
+            ch, off = letters(data, offsets)
+            orders = list(grams(ch, off))
+            for i, j in zip(off[:-1].tolist(), off[1:].tolist()):
+                h = np.concatenate([*(x[i:j] for x in orders), np.zeros(1, np.int32)])
+                at = np.arange(len(h))
+                last[h] = at
+                df[h[(last[h] == at) & (h > 0)]] += 1         # one place of each feature
+            df[0] += b - a
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], names=["feature", "df"])
 
@@ -187,24 +195,24 @@ def _temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", max_rows: int = 8_000) -> Model:
-    """Fit on a sample of about ``max_rows`` labelled rows at most (expected, by hash; equal texts of
-    a label count once). Rows with a null text or label are not used; with no rows left, the
+    """Fit on a sample of about ``max_rows`` labelled texts at most (expected, by hash; equal texts of
+    a label count once, also in its share), with the document frequencies of all labelled rows. Rows with a null text or label are not used; with no rows left, the
     model has no labels."""
     spark = labelled.sparkSession
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).where("text is not null and label is not null")
-    counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()}
+    rows = rows.withColumn("order", F.xxhash64("text", "label"))
+    counts = {r.label: r.n for r in rows.select("label", "order").distinct().groupBy("label").agg(F.count("*").alias("n")).orderBy("label").limit(MAX_LABELS + 1).collect()}
     if len(counts) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
     if not counts:
         return Model([], np.zeros(DIM), np.zeros((DIM, 0)), np.zeros(0))
     share = spark.createDataFrame([(k, min(1.0, max_rows / len(counts) / n)) for k, n in counts.items()], "label string, share double")
-    rows = rows.withColumn("order", F.xxhash64("text", "label"))
     sample = c.stage(rows.join(F.broadcast(share), "label").where(F.pmod(F.shiftright("order", 20), F.lit(1_000_000)) < F.col("share") * 1_000_000)
                      .dropDuplicates(["label", "order"]).select("text", "label", "order", (F.pmod("order", F.lit(10)) == 0).alias("held")))
-    df = sample.select("text").mapInArrow(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()
-    total, idf = sample.count(), np.zeros(DIM)
-    for r in df:
-        idf[r.feature] = 1.0 + np.log((1 + total) / (1 + r.df))
+    df = rows.select("text").mapInArrow(_frequencies, "feature int, df long").groupBy("feature").agg(F.sum("df").alias("df")).toPandas()   # DIM rows at most
+    count, idf = np.zeros(DIM), np.zeros(DIM)
+    count[df["feature"]] = df["df"]
+    idf[1:] = np.where(count[1:] > 0, 1.0 + np.log((1 + count[0]) / (1 + count[1:])), 0.0)
     labels = sorted(counts)
     shared = spark.sparkContext.broadcast(idf)                 # DIM numbers
     shard = F.pmod(F.shiftright("order", 8), F.lit(SHARDS)).cast("int").alias("shard")

@@ -63,3 +63,18 @@ def test_nothing_to_learn_and_one_label(spark):
 def test_held_out_rows_are_not_learned(spark):
     rows = [(i, "alpha beta" if zlib.crc32(str(i).encode()) % 4 != 2 else "gamma delta", "known" if zlib.crc32(str(i).encode()) % 4 != 2 else "secret") for i in range(60)]
     assert langid.fit_documents(make(spark, rows)).labels == ["known"]
+
+
+def test_copies_use_no_quota_and_all_texts_have_frequencies(spark):
+    words = {"aa": "haus baum fluss stein", "bb": "house tree river stone", "cc": "casa albero fiume pietra", "dd": "maja puu jogi kivi"}
+    tail = lambda i: "".join(chr(97 + int(x)) for x in str(i))
+    rows = [(i, f"{t} {tail(i)}", k) for k, t in words.items() for i in range(100)] + [(i, "zzz yyy xxx", "aa") for i in range(20_000)]
+    docs = make(spark, rows)
+    model = langid.fit(docs, max_rows=200)
+    out = langid.predict(docs.where("text like 'haus%'").select("doc_id", "text"), model).collect()
+    assert len(out) == 100 and np.mean([r.lang_pred == "aa" and r.score >= 0.5 for r in out]) > 0.95
+    seen = {t: next(langid._vectors([t]))[0] for t in {t for _, t, _ in rows}}
+    df = np.zeros(langid.DIM)
+    for _, t, _ in rows:
+        df[seen[t]] += 1
+    np.testing.assert_allclose(model.idf, np.where(df > 0, 1 + np.log((1 + len(rows)) / (1 + df)), 0))
