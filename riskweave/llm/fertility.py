@@ -4,8 +4,10 @@ Words are tokenised by a public SentencePiece vocabulary (each distinct word onc
 cache). A text's measures are its characters per token, tokens per word, the share of byte-fallback
 tokens and the entropy of its tokens relative to the most its length allows. A text is rejected when a
 measure leaves the band of its language (its ``lang``, or its script where that is null). Bands
-are Tukey-like fences around the quartiles of all texts of the language that pass the base rules;
-languages with few texts have the fixed, wide fences ``WIDE``. Entropy falls with length, so it is
+are Tukey-like fences around the quartiles of all texts of the language that pass the base rules,
+drawn toward those of the text's script, and these toward the wide fences ``WIDE``, with a weight that
+falls smoothly with the number of texts (scripts differ several times in characters per token, so
+one says little of another). Entropy falls with length, so it is
 judged by its excess over what texts of that length have, and all fences lie further out for short
 texts, whose measures vary more.
 """
@@ -25,9 +27,9 @@ CACHE_WORDS = 400_000
 #: Fences: so many quartile ranges beyond the quartiles, and at least this far beyond them.
 FENCE, LEAST = 4.0, {"chars_per_token": 0.2, "tokens_per_word": 1.0, "byte_share": 0.05, "excess": 0.05}
 MAX_CHARS_PER_TOKEN = 16.0
-WIDE = {"chars_per_token": 0.4, "tokens_per_word": 30.0, "byte_share": 0.6, "excess": -0.4}
-HIGH = ("tokens_per_word", "byte_share")        # measures whose fence is above
-FEW = 50                       # languages with fewer texts have the wide fences
+WIDE = {"chars_per_token": (0.4, MAX_CHARS_PER_TOKEN), "tokens_per_word": (0.0, 30.0), "byte_share": (0.0, 0.6), "excess": (-0.4, 0.4)}
+BOTH = ("chars_per_token", "excess")            # measures with fences on both sides; the others have one above
+PRIOR = 10.0                   # the fences that a language's or script's are drawn to count as so many texts
 STEADY = 150                   # tokens of a text whose measures vary as much by chance as between texts
 OCTAVES, NEXT = 48, 0.01       # lengths with an expected entropy: powers of two; weight of the texts of the next one
 _SYMBOL = np.zeros(256, bool)
@@ -179,7 +181,7 @@ def measures(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col:
     out = rows.mapInArrow(run, f"_row {rows.schema['_row'].dataType.simpleString()}, {schema}")
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return out.select(*[F.col(f"_row.c{k}").alias(f"c{k}") for k in range(len(columns))], F.coalesce("_row.lang", F.concat(F.lit("script:"), "script")).alias("key"),
-                      *[x for x in out.columns if x not in ("_row", "script")], base.alias("base_failed"))
+                      *[x for x in out.columns if x != "_row"], base.alias("base_failed"))
 
 
 def expected_entropy(measured: DataFrame):
@@ -198,37 +200,49 @@ def expected_entropy(measured: DataFrame):
     return values[low] + (at - low) * (values[low + 1] - values[low])
 
 
-def bands(measured: DataFrame) -> DataFrame:
-    """Per ``key`` the quartiles that bound its texts and the ``reach`` of the fences beyond them, over
-    all its texts that pass the base rules; none for keys with few."""
-    aggs = [F.count("*").alias("n")]
-    for x in LEAST:
-        aggs += [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(x)]
-    cols = ["key"]
+def _quartiles(ok: DataFrame, by: str) -> DataFrame:
+    aggs = [F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.75)), 1000).alias(x) for x in LEAST]
+    cols = [by, F.col("n") / (F.col("n") + F.lit(PRIOR))]
     for x, least in LEAST.items():
-        cols.append((F.col(x)[1] if x in HIGH else F.col(x)[0]).alias(f"{x}_quartile"))
-        cols.append(F.greatest(F.lit(FENCE) * (F.col(x)[1] - F.col(x)[0]), F.lit(least)).alias(f"{x}_reach"))
-    return measured.where(~F.col("base_failed")).groupBy("key").agg(*aggs).where(f"n >= {FEW}").select(*cols)
+        cols += [F.col(x)[0], F.col(x)[1], F.greatest(F.lit(FENCE) * (F.col(x)[1] - F.col(x)[0]), F.lit(least))]
+    names = [by, f"{by}_weight", *[f"{by}_{x}_{side}" for x in LEAST for side in ("low", "high", "reach")]]
+    return ok.groupBy(by).agg(F.count("*").alias("n"), *aggs).select(*[v.alias(k) if not isinstance(v, str) else v for k, v in zip(names, cols)])
+
+
+def bands(measured: DataFrame) -> DataFrame:
+    """Per ``key`` and ``script`` the bounds ``low`` and ``high`` of each measure and the ``reach`` of the
+    fences beyond them, over all texts that pass the base rules."""
+    ok = measured.where(~F.col("base_failed"))
+    both = ok.select("key", "script").distinct().join(_quartiles(ok, "key"), "key").join(_quartiles(ok, "script"), "script")
+    cols = ["key", "script"]
+    for x, (low, high) in WIDE.items():
+        for side, wide in (("low", low), ("high", high), ("reach", 0.0)):
+            w, v = F.col("script_weight"), F.col("key_weight")
+            script = w * F.col(f"script_{x}_{side}") + (1 - w) * F.lit(wide)
+            cols.append((v * F.col(f"key_{x}_{side}") + (1 - v) * script).alias(f"{x}_{side}"))
+    return both.select(*cols)
 
 
 def judge(docs: DataFrame, vocabulary: str, text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None) -> DataFrame:
     """Per input row its ``columns``, all measures, ``base_failed`` and ``kept``.
 
     Rejected beyond the base rules (under 10 words, or over a fifth of the words in repeated
-    5-word windows): texts of any length with fewer characters per token, more tokens per word,
-    more byte fallback or less entropy for their length than their language's fences, or more than
-    ``MAX_CHARS_PER_TOKEN``. The fences' reach grows as the root of 1 + ``STEADY`` / tokens. Null and
+    5-word windows): texts of any length with fewer or more characters per token, more tokens per
+    word, more byte fallback, or less or more entropy for their length than their language's fences,
+    or more than ``MAX_CHARS_PER_TOKEN``. The fences' reach grows as the root of 1 + ``STEADY`` / tokens. Null and
     empty texts fail the base rules; repeated rows get a row each; an empty table gives no rows."""
     columns = docs.columns if columns is None else columns
     measured = c.stage(measures(docs, vocabulary, text_col, lang_col, columns))
-    shown = [x for x in measured.columns if x not in {f"c{k}" for k in range(len(columns))}]
+    shown = [x for x in measured.columns if x not in {"script", *[f"c{k}" for k in range(len(columns))]}]
     measured = measured.withColumn("excess", F.col("entropy") - expected_entropy(measured))
-    own = bands(measured).withColumnRenamed("key", "_key")
-    j = measured.join(own, F.col("key") == F.col("_key"), "left")
+    own = bands(measured).withColumnsRenamed({"key": "_key", "script": "_script"})
+    j = measured.join(own, (F.col("key") == F.col("_key")) & (F.col("script") == F.col("_script")), "left")
     wider = F.sqrt(1 + F.lit(float(STEADY)) / F.greatest("n_tokens", F.lit(1)))
-    fence = lambda x: F.coalesce(F.col(f"{x}_quartile") + (1 if x in HIGH else -1) * wider * F.col(f"{x}_reach"), F.lit(WIDE[x]))
     out_of_band = F.col("chars_per_token") > MAX_CHARS_PER_TOKEN
     for x in LEAST:
-        out_of_band |= F.col(x) > fence(x) if x in HIGH else F.col(x) < fence(x)
+        reach = wider * F.col(f"{x}_reach")
+        out_of_band |= F.col(x) > F.col(f"{x}_high") + reach
+        if x in BOTH:
+            out_of_band |= F.col(x) < F.col(f"{x}_low") - reach
     kept = ~F.col("base_failed") & ~out_of_band
     return j.select(*[F.col(f"c{k}").alias(x) for k, x in enumerate(columns)], *shown, kept.alias("kept"))

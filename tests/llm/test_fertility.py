@@ -78,3 +78,14 @@ def test_short_texts_are_judged(spark):
     junk = [got[d] for d in got if d >= 1000]
     assert not any(r.base_failed or r.kept for r in junk) and min(r.n_tokens for r in junk) < 150
     assert sum(got[d].kept for d in range(200)) >= 0.99 * sum(not got[d].base_failed for d in range(200))
+
+
+def test_rare_languages_have_fences(spark):
+    rnd = random.Random(3)
+    words = "the of and language model water house tree people under river light stone paper green early".split()
+    clean = lambda n: " ".join(rnd.choice(words) + rnd.choice(["", "s", "ing"]) for _ in range(n))
+    junk = " ".join("".join(rnd.choice("bcdfgxzqjkvw#*$%&") for _ in range(12)) for _ in range(200))
+    rows = [(i, clean(200), "en") for i in range(120)] + [(200 + i, clean(200), "xx") for i in range(9)] + [(300, junk, "xx")]
+    got = {r.doc_id: r for r in fertility.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PATH).collect()}
+    assert not got[300].base_failed and not got[300].kept
+    assert all(r.kept for d, r in got.items() if d < 300 and not r.base_failed)
