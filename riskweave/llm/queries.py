@@ -95,6 +95,25 @@ def op2(spark, sf):
     return contaminated(c.documents(spark, sf), c.documents(spark, sf, "benchmark"))
 
 
+@query("op11_importance_resampling")
+def op11(spark, sf):
+    from riskweave.llm.resample import resample
+    return resample(c.documents(spark, sf), c.documents(spark, sf, "benchmark")).select(
+        "doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+@query("op12_embedding_near_dedup")
+def op12(spark, sf):
+    from riskweave.llm.vector_graph import near_duplicates
+    return near_duplicates(c.documents(spark, sf, "embeddings"))
+
+
+@query("op13_phrase_collocations")
+def op13(spark, sf):
+    from riskweave.llm.collocations import collocations
+    return collocations(c.documents(spark, sf))
+
+
 # ---------------------------------------------------------------- DuckDB SQL of the results that SQL can express
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -136,3 +155,79 @@ f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS least FROM p)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_digits} AS payload_digest,
        CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id <> least THEN least END AS refers_to FROM f"""
+
+
+def _crc_table() -> list[int]:
+    """The 256 remainders of the reflected polynomial 0xEDB88320 (crc32)."""
+    out = []
+    for x in range(256):
+        for _ in range(8):
+            x = (x >> 1) ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def _features(table: str, id_col: str) -> str:
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""SELECT {id_col} AS id, ws, list_concat(ws, list_transform(range(1, greatest(len(ws), 1)), lambda i: ws[i] || ' ' || ws[i + 1])) AS fs
+  FROM (SELECT {id_col}, {words} AS ws FROM {table})"""
+
+
+ORACLE["op11_importance_resampling"] = f"""WITH d AS ({_features('documents', 'doc_id')}),
+b AS ({_features('benchmark', 'item_id')}),
+df AS (SELECT id, unnest(fs) AS f FROM d),
+bf AS (SELECT unnest(fs) AS f FROM b),
+hx AS (SELECT f, hex(encode(f)) AS x FROM (SELECT f FROM df UNION SELECT f FROM bf)),
+crc AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
+                            lambda h, v: xor(h >> 8, t[(xor(h, v) & 255) + 1])), 4294967295::BIGINT) % 10000 AS k
+  FROM hx, (SELECT {_crc_table()}::BIGINT[] AS t)),
+dk AS (SELECT k, count(*) AS s FROM df JOIN crc USING (f) GROUP BY k),
+bk AS (SELECT k, count(*) AS t FROM bf JOIN crc USING (f) GROUP BY k),
+g AS (
+  SELECT k, floor(1000 * ln(((coalesce(t, 0) + 1) * ((SELECT sum(s) FROM dk) + 10000))::DOUBLE
+                            / ((coalesce(s, 0) + 1) * (coalesce((SELECT sum(t) FROM bk), 0) + 10000))::DOUBLE))::BIGINT AS gain
+  FROM dk LEFT JOIN bk USING (k)),
+w AS (SELECT id, sum(gain) AS total FROM df JOIN crc USING (f) JOIN g USING (k) GROUP BY id),
+scored AS (
+  SELECT d.id, len(ws) AS n_words, len(fs) AS n, CASE WHEN len(fs) = 0 THEN 0 ELSE floor(total / len(fs))::BIGINT END AS weight,
+         ('0x' || substr(sha256('7:' || coalesce(d.id::VARCHAR, '')), 1, 8))::BIGINT AS h
+  FROM d LEFT JOIN w ON d.id = w.id),
+s AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM scored),
+r AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place, count(*) OVER () AS able FROM s WHERE n_words >= 20)
+SELECT s.id AS doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN place <= 25 * able // 100 THEN place END AS rank, n_words::BIGINT AS n_words
+FROM s LEFT JOIN r ON s.id = r.id"""
+
+ORACLE["op12_embedding_near_dedup"] = """WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND len(p.e) = len(q.e) AND p.vec_id <> q.vec_id
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.98),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+m AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT a AS vec_id, (SELECT count(*) FROM links WHERE links.a = m.a) AS n_links, component_id, a = component_id AS kept FROM m"""
+
+ORACLE["op13_phrase_collocations"] = f"""WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ws AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+  FROM ws, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*) AS f FROM grams GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, g, f AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (
+  SELECT c.lang, c.g, c.m, c.a, k, l.f AS l, r.f AS r, (2000000::HUGEINT * c.a) // (l.f + r.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+  JOIN f l ON l.lang = c.lang AND l.m = k AND l.g = array_to_string(c.w[1:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.m = c.m - k AND r.g = array_to_string(c.w[k + 1:], ' ')),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_ AS (
+  SELECT lang, array_to_string(w[i:i + len - 1], ' ') AS g, max(a) AS around
+  FROM (SELECT *, unnest(range(1, m - len + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS len FROM cand)) GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN inner_ i ON i.lang = b.lang AND i.g = b.g WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT ranked.lang, rank, g AS phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000"""

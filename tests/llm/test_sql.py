@@ -11,7 +11,7 @@ from ..conftest import SF_SMALL
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF_SMALL}/{t}.parquet')")
     rel = con.sql(queries.ORACLE[name])
     df = queries.QUERIES[name](spark, SF_SMALL)
