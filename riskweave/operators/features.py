@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskweave.functions.hashing import MISSING_TOKEN, hash_bucket, hash_sign, token
+from riskweave.functions.hashing import MISSING_TOKEN, md5_prefix_int, token
 from riskweave.functions.missing import number
 from riskweave.operators.quantiles import exact_quantiles, long_form
 from riskweave.operators.rank import maybe_broadcast
@@ -136,42 +137,53 @@ def one_hot_columns(c: str, cats: Sequence[str], fill: str = MISSING_TOKEN) -> l
 def one_hot_index(c: str, cats: Sequence[str], fill: str = MISSING_TOKEN) -> Column:
     """Position of the value among the sorted categories, NULL when unseen."""
     v = F.coalesce(F.col(c).cast("string"), F.lit(fill))
-    return F.array_position(F.array(*[F.lit(k) for k in cats]), v).cast("int") - 1
-
-
-def hash_tokens(cols: Sequence[str]) -> Column:
-    return F.array(*[token(c, F.col(c)) for c in cols])
-
-
-def hashed_entries(cols: Sequence[str], n: int) -> Column:
-    """D10/D11 per row, no shuffle: array<struct<bucket:int, value:double>> with colliding
-    tokens summed inside the row and exact zeros (cancelled collisions) dropped."""
-    toks = hash_tokens(cols)
-    pairs = F.transform(toks, lambda t: F.struct(hash_bucket(t, n).alias("bucket"), hash_sign(t).alias("sign")))
-    buckets = F.array_sort(F.array_distinct(F.transform(pairs, lambda p: p["bucket"])))
-    summed = F.transform(buckets, lambda b: F.struct(
-        b.alias("bucket"),
-        F.aggregate(F.filter(pairs, lambda p: p["bucket"] == b), F.lit(0.0),
-                    lambda acc, p: acc + p["sign"]).alias("value")))
+    at = F.array_position(F.array(*[F.lit(k) for k in cats]), v).cast("int")
+    return F.when(at > 0, at - 1)
+
+
+def hash_pairs(cols: Sequence[str], n: int) -> Column:
+    """array<struct<bucket:int, sign:double>>, one pair per column's token: its :func:`hash_bucket` and
+    :func:`hash_sign` from one number of md5's first nine hex digits (eight for the bucket, the
+    parity of the ninth for the sign)."""
+    def pair(h):
+        sign = F.when(h.bitwiseAND(F.lit(1).cast("long")) == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+        return F.struct(F.pmod(F.shiftright(h, 4), F.lit(n)).cast("int").alias("bucket"), sign.alias("sign"))
+    return F.array(*[pair(md5_prefix_int(token(c, F.col(c)), 1, 9)) for c in cols])
+
+
+def signed_sums(pairs: Column) -> Column:
+    """array<struct<bucket:int, value:double>> in bucket order: colliding pairs are summed, exact
+    zeros (cancelled collisions) dropped. One pass over the sorted pairs, whatever the number of
+    buckets."""
+    def cell(acc):
+        return F.array(F.struct(acc["bucket"].alias("bucket"), acc["value"].alias("value")))
+
+    def step(acc, p):
+        same = acc["bucket"] == p["bucket"]
+        done = F.when(same | acc["bucket"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], cell(acc)))
+        return F.struct(done.alias("done"), p["bucket"].alias("bucket"),
+                        F.when(same, acc["value"] + p["sign"]).otherwise(p["sign"]).alias("value"))
+
+    start = F.struct(F.array().cast("array<struct<bucket:int,value:double>>").alias("done"), F.lit(None).cast("int").alias("bucket"),
+                     F.lit(0.0).alias("value"))
+    summed = F.aggregate(F.array_sort(pairs), start, step,
+                         lambda acc: F.when(acc["bucket"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], cell(acc))))
     return F.filter(summed, lambda e: e["value"] != F.lit(0.0))
 
 
-def hash_token_columns(cols: Sequence[str], n: int, prefix: str = "_h") -> list[Column]:
-    """Per high-card column: its token's bucket and sign as plain columns (md5 once per token)."""
-    out = []
-    for j, c in enumerate(cols):
-        t = token(c, F.col(c))
-        out += [hash_bucket(t, n).alias(f"{prefix}b{j}"), hash_sign(t).alias(f"{prefix}s{j}")]
-    return out
-
-
-def hashed_cells(k: int, n: int, prefix: str = "_h") -> list[Column]:
-    """n bucket sums from k precomputed (bucket, sign) column pairs: n x k conditional adds that
-    compile into whole-stage codegen (no lambdas)."""
-    def cell(i):
-        terms = [F.when(F.col(f"{prefix}b{j}") == i, F.col(f"{prefix}s{j}")).otherwise(F.lit(0.0)) for j in range(k)]
-        return sum(terms[1:], terms[0])
-    return [cell(i) for i in range(n)]
+def hashed_entries(cols: Sequence[str], n: int) -> Column:
+    """D10/D11 per row, no shuffle: signed sums of the columns' tokens per bucket."""
+    return signed_sums(hash_pairs(cols, n))
+
+
+def sparse_vector(entries: Column, size: int) -> Column:
+    """ML vector of ``size`` from array<struct<idx, value>> in ascending order of idx. Spark SQL has no
+    function from arrays to sparse vectors (``array_to_vector`` makes dense ones), but its JSON
+    reader makes any vector from the fields of one, all within the JVM."""
+    fields = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"),
+                      entries["idx"].alias("indices"), entries["value"].alias("values"))
+    schema = T.StructType([T.StructField("v", VectorUDT())])
+    return F.from_json(F.to_json(F.struct(fields.alias("v"))), schema)["v"]
 
 
 def cat_fill(c: str, fill: str = "NA") -> Column:

@@ -959,3 +959,35 @@ def q_feature_vector(spark, sf):
                                     F.lit(0.0), lambda a, x: a + x)
     v = m.transform(t, keep=("id",)).select("id", vector_to_array("features").alias("v"))
     return v.select("id", F.size("v").alias("width"), part("onehot").alias("onehot_sum"), part("hash").alias("hash_sum"))
+
+
+WIDE_COLS, WIDE_BUCKETS = 20, 256
+
+
+def wide_telemetry(spark, sf):
+    """T with twenty more text columns of some 400 values each, a few of them missing."""
+    t = views.telemetry(spark, sf)
+    extra = [F.when(F.col("id") % (23 + i) != 0, F.concat(F.lit("v"), ((F.col("id") * (2 * i + 3)) % (397 + i)).cast("string"))).alias(f"h{i}")
+             for i in range(WIDE_COLS)]
+    return t.select("*", *extra)
+
+
+@query("feature_entries")
+def q_feature_entries(spark, sf):
+    """D9-D11 at full width: 22 text columns hashed into 256 buckets; every entry of every row's
+    sparse vector."""
+    t = wide_telemetry(spark, sf)
+    e = t_spec(WIDE_BUCKETS).fit(t).entries(t, keep=("id",))
+    return e.select("id", F.inline("entries")).select("id", "idx", r6("value"))
+
+
+@query("feature_vector_wide")
+def q_feature_vector_wide(spark, sf):
+    """The ML vectors of the same rows: width, entries held, sum of the hashed part."""
+    from pyspark.ml.functions import vector_to_array
+    t = wide_telemetry(spark, sf)
+    m = t_spec(WIDE_BUCKETS).fit(t)
+    first = next(r[0] for r in m.lineage_rows() if r[2] == "hash")
+    v = m.transform(t, keep=("id",)).select("id", vector_to_array("features").alias("v"))
+    return v.select("id", F.size("v").alias("width"), F.size(F.filter("v", lambda x: x != 0)).alias("n_entries"),
+                    F.aggregate(F.slice("v", first + 1, WIDE_BUCKETS), F.lit(0.0), lambda a, x: a + x).alias("hash_sum"))

@@ -6,9 +6,9 @@ fit (over one persisted copy of the input):
        1 pass  date maxima
        1 job   exact medians (two-level quantiles, no single-task merge; or one sketch pass)
        1 pass  mean / population std after imputation
-transform: narrow projections fused by whole-stage codegen (no shuffle, no Python); the
-       feature vector is date parts/ages | scaled numerics | one-hot | signed hashed buckets,
-       described row by row by ``lineage()``.
+transform: narrow projections (no shuffle, no Python); the feature vector is date parts/ages |
+       scaled numerics | one-hot | signed hashed buckets, described row by row by ``lineage()``,
+       and built from sparse entries: its cost follows the input columns, not its width.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -145,26 +144,54 @@ class FeatureModel:
             df = df.withColumn(c, F.lit(None).cast("double" if c in s.numeric else "string"))
         return df
 
+    def _tokenised(self, df: DataFrame) -> DataFrame:
+        s = self.state
+        df = self._aligned(nan_to_null(df))
+        return df.select("*", fx.hash_pairs(s.high_card, s.n_hash).alias("_pairs")) if s.high_card else df
+
+    def entries(self, df: DataFrame, keep: tuple = (), out_col: str = "entries") -> DataFrame:
+        """The feature vector in sparse form: array<struct<idx:int, value:double>> in ascending order,
+        zeros left out. A row costs one struct per input column, whatever the number of categories and
+        hash buckets: one-hot and hashed values find their place by adding the offset of their part."""
+        s = self.state
+        df = self._tokenised(df)
+        keep = self._kept(df, keep)
+        parts = self.date_columns(df) + self.numeric_columns()
+        cells = [F.struct(F.lit(i).alias("idx"), v.cast("double").alias("value")) for i, v in enumerate(parts)]
+        at = len(parts)
+        for c in s.low_card:
+            cells.append(F.struct((F.lit(at) + fx.one_hot_index(c, s.categories[c])).alias("idx"), F.lit(1.0).alias("value")))
+            at += len(s.categories[c])
+        # cells and pairs are columns of a projection of their own, compiled code; lambdas over them
+        # are interpreted (two references to a column keep the projections apart)
+        df = df.select(*keep, *([F.array(*cells).alias("_cells")] if cells else []), *(["_pairs"] if s.high_card else []))
+        out = F.array().cast("array<struct<idx:int,value:double>>")
+        if cells:
+            out = F.when(F.size("_cells") > 0, F.filter("_cells", lambda e: e["idx"].isNotNull() & (e["value"] != F.lit(0.0))))
+        if s.high_card:
+            hashed = F.transform(fx.signed_sums(F.col("_pairs")),
+                                 lambda e: F.struct((F.lit(at) + e["bucket"]).alias("idx"), e["value"].alias("value")))
+            out = F.concat(out, F.when(F.size("_pairs") > 0, hashed))
+        return df.select(*keep, out.alias(out_col))
+
+    def _kept(self, df: DataFrame, keep: tuple) -> list[str]:
+        s = self.state
+        return [c for c in (list(keep) or [*s.id_cols, s.target_col]) if c in df.columns]
+
     def transform(self, df: DataFrame, keep: tuple = (), vector_col: str = "features",
                   wide: bool = False) -> DataFrame:
-        """Two narrow projections, fused by whole-stage codegen: token bucket/sign columns
-        (md5 once per token), then the feature array / vector. No shuffle, no Python."""
+        """Narrow projections (no shuffle, no Python): tokens, sparse entries, the sparse vector. With
+        ``wide`` every feature is a column of its own."""
         s = self.state
-        df = self._aligned(nan_to_null(df))
-        keep = [c for c in (list(keep) or [*s.id_cols, s.target_col]) if c in df.columns]
-        parts = self.date_columns(df) + self.numeric_columns() + self.one_hot_columns()
-        k = len(s.high_card)
-        if k:
-            df = df.select("*", *fx.hash_token_columns(s.high_card, s.n_hash))
-            hashed = fx.hashed_cells(k, s.n_hash)
-        if wide:
-            cols = parts
-            if k:
-                cols = cols + [h.alias(f"hash_{i}") for i, h in enumerate(hashed)]
-            return df.select(*keep, *cols)
-        arr = [p.cast("double") for p in parts] + (hashed if k else [])
-        arr = F.array(*arr) if arr else F.array().cast("array<double>")
-        return df.select(*keep, array_to_vector(arr).alias(vector_col))
+        if not wide:
+            kept = self._kept(self._aligned(df), keep)
+            return self.entries(df, keep, "_entries").select(*kept, fx.sparse_vector(F.col("_entries"), len(self.lineage_rows())).alias(vector_col))
+        df = self._tokenised(df)
+        cols = self.date_columns(df) + self.numeric_columns() + self.one_hot_columns()
+        if s.high_card:
+            df = df.select("*", F.map_from_entries(fx.signed_sums(F.col("_pairs"))).alias("_sums"))
+            cols += [F.coalesce(F.try_element_at("_sums", F.lit(i)), F.lit(0.0)).alias(f"hash_{i}") for i in range(s.n_hash)]
+        return df.select(*self._kept(df, keep), *cols)
 
     # ------------------------------------------------------------ persistence
     def save(self, spark: SparkSession, path: str) -> None:

@@ -573,6 +573,35 @@ SELECT t.id, CAST(w.width AS INTEGER) AS width, CAST(w.n_low AS DOUBLE) AS oneho
 FROM t CROSS JOIN w LEFT JOIN h ON t.id = h.id"""
 
 
+# 20 more text columns (catalog.wide_telemetry); segment, priority and nation stay below 30 values at every size
+_WIDE = ["account", "city", *[f"h{i}" for i in range(20)]]
+_ENTRIES = TB + ",\nw AS (SELECT t.*, " + ", ".join(
+    f"CASE WHEN id % {23 + i} <> 0 THEN 'v' || CAST((id * {2 * i + 3}) % {397 + i} AS VARCHAR) END AS h{i}" for i in range(20)) + """ FROM t),
+cat AS (SELECT c, v, CAST(row_number() OVER (ORDER BY c, v) + 9 AS INTEGER) AS idx FROM (
+  """ + " UNION ".join(f"SELECT {i} AS c, coalesce({x}, '__missing__') AS v FROM t" for i, x in enumerate(("segment", "priority", "nation"))) + """)),
+f AS (SELECT id, coalesce(amount, (SELECT median(amount) FROM t)) AS a, coalesce(balance, (SELECT median(balance) FROM t)) AS b FROM t),
+m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM f),
+tok AS (""" + " UNION ALL ".join(f"SELECT id, '{x}=' || coalesce({x}, '__missing__') AS tok FROM w" for x in _WIDE) + """),
+e AS (
+  """ + "\n  UNION ALL ".join(
+    f"SELECT id, {4 * i + j} AS idx, CAST(coalesce({fn}(try_cast({x} AS TIMESTAMP)), 0) AS DOUBLE) AS value FROM t"
+    for i, x in enumerate(("date_as", "date_os")) for j, fn in enumerate(("year", "month", "day"))) + "\n  UNION ALL " + "\n  UNION ALL ".join(
+    f"SELECT id, {4 * i + 3}, CAST(coalesce(floor(date_diff('microsecond', try_cast({x} AS TIMESTAMP), (SELECT max(try_cast({x} AS TIMESTAMP)) FROM t)) / 86400000000), 999999) AS DOUBLE) FROM t"
+    for i, x in enumerate(("date_as", "date_os"))) + """
+  UNION ALL SELECT id, 8, (a - ma) / CASE WHEN sa = 0 THEN 1 ELSE sa END FROM f, m
+  UNION ALL SELECT id, 9, (b - mb) / CASE WHEN sb = 0 THEN 1 ELSE sb END FROM f, m
+  """ + " ".join(f"UNION ALL SELECT id, idx, 1.0 FROM t JOIN cat ON cat.c = {i} AND cat.v = coalesce({x}, '__missing__')"
+                 for i, x in enumerate(("segment", "priority", "nation"))) + """
+  UNION ALL SELECT id, CAST(10 + (SELECT count(*) FROM cat) + ('0x' || substr(md5(tok), 1, 8))::BIGINT % 256 AS INTEGER),
+                   sum(CASE WHEN ('0x' || substr(md5(tok), 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) FROM tok GROUP BY ALL)
+"""
+ORACLE["feature_entries"] = _ENTRIES + "SELECT id, idx, {R6_}(value) AS value FROM e WHERE value <> 0"
+ORACLE["feature_vector_wide"] = _ENTRIES + """SELECT id, CAST(266 + (SELECT count(*) FROM cat) AS INTEGER) AS width,
+       CAST(count(*) FILTER (WHERE value <> 0) AS INTEGER) AS n_entries,
+       coalesce(sum(value) FILTER (WHERE idx >= 10 + (SELECT count(*) FROM cat)), 0.0::DOUBLE) AS hash_sum
+FROM e GROUP BY id"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("
