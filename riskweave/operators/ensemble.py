@@ -110,11 +110,7 @@ def candidate_auc(wide: DataFrame, models: Sequence[str], cands: list[dict[str,
     for lo in range(0, len(cands), CANDIDATE_BATCH):
         scores = []
         for i, w in enumerate(cands[lo:lo + CANDIDATE_BATCH], lo):
-            expr = None
-            for m in models:
-                term = F.lit(w[m]) * F.col(m)
-                expr = term if expr is None else expr + term
-            scores.append(F.struct(F.lit(i).alias("candidate"), expr.alias("_s")))
+            scores.append(F.struct(F.lit(i).alias("candidate"), _blend(w, models).alias("_s")))
         keys = [*group_cols, "candidate"]
         cells = (tuples.select(*group_cols, "pos", "neg", F.inline(F.array(*scores)))
                  .groupBy(*keys, "_s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
@@ -135,12 +131,56 @@ def blend_search(wide: DataFrame, models: Sequence[str], cands: list[dict[str, f
             .withColumn("best", F.row_number().over(w) == 1))
 
 
-def apply_best(wide_test: DataFrame, search: DataFrame, models: Sequence[str],
-               id_col: str = "id") -> DataFrame:
-    """Score rows with the best candidate's weights (a single row of the search result)."""
-    best = search.where("best").first()
+#: Equal steps of [0, 1] that the first look at a search counts scores in.
+COARSE_STEPS = 1024
+
+
+def _blend(weights: dict[str, float], models: Sequence[str]) -> Column:
     expr = None
     for m in models:
-        term = F.lit(float(best[f"w_{m}"])) * F.col(m)
+        term = F.lit(float(weights[m])) * F.col(m)
         expr = term if expr is None else expr + term
-    return wide_test.select(id_col, expr.alias("p"))
+    return expr
+
+
+def auc_bounds(wide: DataFrame, models: Sequence[str], cands: list[dict[str, float]], group_cols: Sequence[str] = (),
+               steps: int = COARSE_STEPS) -> DataFrame:
+    """group..., candidate, lower, upper: bounds of every candidate's AUC from counts per step.
+
+    Rows in different steps are ordered as their scores are; a pair within a step counts 0 in the
+    lower and 1 in the upper bound. One pass over the rows, and what is shuffled is at most
+    candidates x steps partial counts of each task, however many rows or distinct scores there are."""
+    keys, y = [*group_cols, "candidate"], F.col("target").cast("long")
+    top = F.lit(float(steps))
+    step = lambda s: F.floor(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)) * top).cast("int")
+    scores = F.array(*[F.struct(F.lit(i).alias("candidate"), step(_blend(w, models)).alias("_step")) for i, w in enumerate(cands)])
+    counts = (wide.select(*group_cols, y.alias("_y"), F.inline(scores)).groupBy(*keys, "_step")
+              .agg(F.sum("_y").alias("pos"), F.sum(F.lit(1) - F.col("_y")).alias("neg")))
+    below = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)   # over at most steps + 1 rows
+    counts = counts.withColumn("_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
+    pairs = F.sum("pos").cast("double") * F.sum("neg").cast("double")
+    return counts.groupBy(*keys).agg((F.sum(F.col("pos") * F.col("_below")) / pairs).alias("lower"),
+                                     (F.sum(F.col("pos") * (F.col("_below") + F.col("neg"))) / pairs).alias("upper"))
+
+
+def refined_search(wide: DataFrame, models: Sequence[str], cands: list[dict[str, float]], group_cols: Sequence[str] = (),
+                   steps: int = COARSE_STEPS) -> DataFrame:
+    """candidate, lower, upper, auc, best: a search for the best candidate (by AUC, over groups by mean
+    AUC; lowest id on ties) that ranks only those candidates exactly whose upper bound reaches the
+    best lower bound; of the others ``auc`` is null. The bounds are one row per candidate."""
+    mean = auc_bounds(wide, models, cands, group_cols, steps).groupBy("candidate").agg(F.avg("lower").alias("lower"), F.avg("upper").alias("upper"))
+    rows = sorted(mean.collect())
+    least = max(r["lower"] for r in rows if r["lower"] is not None) if any(r["lower"] is not None for r in rows) else None
+    # a hair of slack: the bounds and the exact value are sums of doubles in different orders
+    left = [r["candidate"] for r in rows if least is None or r["upper"] >= least - 1e-12]
+    exact = candidate_auc(wide, models, [cands[i] for i in left], group_cols)
+    exact = {r["candidate"]: r["auc"] for r in exact.groupBy("candidate").agg(F.avg("auc").alias("auc")).collect()}
+    auc = {i: exact.get(j) for j, i in enumerate(left)}
+    best = max((i for i in left if auc[i] is not None), key=lambda i: (auc[i], -i), default=left[0] if left else None)
+    return wide.sparkSession.createDataFrame([(r["candidate"], r["lower"], r["upper"], auc.get(r["candidate"]), r["candidate"] == best) for r in rows],
+                                             "candidate int, lower double, upper double, auc double, best boolean")
+
+
+def apply_best(wide_test: DataFrame, weights: dict[str, float], models: Sequence[str], id_col: str = "id") -> DataFrame:
+    """Score rows with the best candidate's weights."""
+    return wide_test.select(id_col, _blend(weights, models).alias("p"))

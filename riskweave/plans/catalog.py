@@ -367,12 +367,21 @@ def four_members(spark, sf):
 
 @query("blend_apply")
 def q_blend_apply(spark, sf):
-    """The searched weights applied to the rows to score (id, p). The search is written
-    first: its best row comes to the driver once."""
+    """The searched weights applied to the rows to score (id, p). Only the best candidate is
+    needed, so the search is the refined one."""
     from riskweave.operators.rank import materialize
-    wide = four_members(spark, sf)
-    found = materialize(ens.blend_search(wide, SEARCH_MODELS, ens.candidates(SEARCH_MODELS, N_CANDIDATES, CANDIDATE_SEED)))
-    return ens.apply_best(wide, found, SEARCH_MODELS).select("id", r6("p"))
+    wide, cands = materialize(four_members(spark, sf)), ens.candidates(SEARCH_MODELS, N_CANDIDATES, CANDIDATE_SEED)
+    best = ens.refined_search(wide, SEARCH_MODELS, cands).where("best").first()["candidate"]
+    return ens.apply_best(wide, cands[best], SEARCH_MODELS).select("id", r6("p"))
+
+
+@query("blend_bounds")
+def q_blend_bounds(spark, sf):
+    """Every candidate's AUC bounds, the exact AUC of those that may be best, and the best."""
+    from riskweave.operators.rank import materialize
+    cands = ens.candidates(SEARCH_MODELS, N_CANDIDATES, CANDIDATE_SEED)
+    out = ens.refined_search(materialize(four_members(spark, sf)), SEARCH_MODELS, cands)
+    return out.select("candidate", r6("lower"), r6("upper"), r6("auc"), "best")
 
 
 @query("fold_average")
@@ -396,12 +405,14 @@ def q_median_prune(spark, sf):
 
 @query("best_trial")
 def q_best_trial(spark, sf):
-    """the best trial with its parameters."""
+    """the best trial with its parameters; trials that cannot be best are not ranked exactly."""
+    from riskweave.operators.rank import materialize
     cands = ens.candidates(SEARCH_MODELS, N_TRIALS, TRIAL_SEED)
-    best = srch.best_trial(srch.trial_table(four_members(spark, sf), SEARCH_MODELS, cands))
+    best = ens.refined_search(materialize(four_members(spark, sf)), SEARCH_MODELS, cands, ["fold"]).where("best")
     params = spark.createDataFrame([(i, *[c[m] for m in SEARCH_MODELS]) for i, c in enumerate(cands)],
                                    "trial int, " + ", ".join(f"w_{m} double" for m in SEARCH_MODELS))
-    return best.join(params, "trial").select("trial", r6("auc"), *[r6(f"w_{m}") for m in SEARCH_MODELS])
+    return (best.select(F.col("candidate").alias("trial"), "auc").join(params, "trial")
+            .select("trial", r6("auc"), *[r6(f"w_{m}") for m in SEARCH_MODELS]))
 
 
 @query("sample_n")

@@ -310,6 +310,17 @@ SELECT a.candidate, {R6_}(w_stack) AS w_stack, {R6_}(w_cat) AS w_cat, {R6_}(w_lg
        row_number() OVER (ORDER BY auc DESC, a.candidate) = 1 AS best
 FROM a JOIN cw USING (candidate)"""
 
+ORACLE["blend_bounds"] = _SEARCHED + """,
+st AS (SELECT candidate, CAST(floor(least(greatest(score, 0.0::DOUBLE), 1.0::DOUBLE) * 1024.0::DOUBLE) AS INTEGER) AS step,
+              sum(target) AS pos, sum(1 - target) AS neg FROM cs GROUP BY ALL),
+sb AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY candidate ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM st),
+bd AS (SELECT candidate, sum(pos * below) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS lower,
+              sum(pos * (below + neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) AS upper FROM sb GROUP BY candidate)
+SELECT bd.candidate, {R6_}(lower) AS lower, {R6_}(upper) AS upper,
+       CASE WHEN upper >= (SELECT max(lower) FROM bd) - 1e-12 THEN {R6_}(auc) END AS auc,
+       row_number() OVER (ORDER BY auc DESC, bd.candidate) = 1 AS best
+FROM bd JOIN a ON a.candidate = bd.candidate"""
+
 ORACLE["blend_apply"] = _SEARCHED + """,
 best AS (SELECT cw.* FROM a JOIN cw USING (candidate) ORDER BY auc DESC, a.candidate LIMIT 1)
 SELECT id, {R6_}(w_stack * stack + w_cat * cat + w_lgb * lgb + w_xgb * xgb) AS p FROM pw4, best"""
