@@ -36,6 +36,7 @@ from riskweave.llm import common as c
 
 BAND = 1.3
 WORDS = 8                      # 64-bit words of a bitmap
+CHUNK = 1 << 20                # bytes of text that a task works on at once
 SALTS = 4
 U64 = np.uint64
 
@@ -126,12 +127,12 @@ def cell_keys(h: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.nd
 
 
 def _profile(id_type, n):
-    """Per document: id, node, set size, bitmap words."""
+    """Per document (id, text, hash of the text): id, hash, node, set size, bitmap words."""
     names = [f"_w{k}" for k in range(WORDS)]
 
     def run(batches):
         for batch in batches:
-            for a, b, data, offsets in c.text_chunks(batch.column(1)):
+            for a, b, data, offsets in c.text_chunks(batch.column(1), CHUNK):
                 h, off = sets_of(data, offsets, n)
                 owner = np.repeat(np.arange(b - a), np.diff(off)) * (64 * WORDS)
                 odd = np.bincount(owner + (h & U64(64 * WORDS - 1)).astype(np.int64), minlength=(b - a) * 64 * WORDS) & 1
@@ -139,21 +140,30 @@ def _profile(id_type, n):
                 node = set_ids(h, off).view(np.int64)
                 size = np.diff(off)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(node, mask=size == 0), pa.array(size, pa.int64()),
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(node, mask=size == 0), pa.array(size, pa.int64()),
                      *[pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)]],
-                    names=["_id", "_node", "_n", *names])
+                    names=["_id", "_th", "_node", "_n", *names])
 
-    return run, f"_id {id_type}, _node long, _n long, " + ", ".join(f"{x} long" for x in names)
+    return run, f"_id {id_type}, _th long, _node long, _n long, " + ", ".join(f"{x} long" for x in names)
 
 
 def _emit_cells(n, num, den):
+    """(key, node) cells, of equal sets in a task only those of the first."""
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            for _, _, data, offsets in c.text_chunks(batch.column(0)):
+            for _, _, data, offsets in c.text_chunks(batch.column(0), CHUNK):
                 h, off = sets_of(data, offsets, n)
+                node = set_ids(h, off)
+                fresh = np.zeros(len(node), bool)
+                for i, x in enumerate(node.tolist()):
+                    if x and x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                size = np.diff(off)
+                h, off, node = h[np.repeat(fresh, size)], np.concatenate(([0], np.cumsum(size[fresh]))), node[fresh]
                 key, row = cell_keys(h, off, num, den)
-                node = set_ids(h, off)[row]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node.view(np.int64))], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row].view(np.int64))], names=["key", "node"])
 
     return run
 
@@ -174,7 +184,7 @@ def _verify(n, num, den):
                 good = []
                 for i in range(part.num_rows):
                     if na[i] != ids[0][i] or nb[i] != ids[1][i]:
-                        continue                            # another text under the same document id
+                        continue                            # another text with the same hash
                     x, y = ha[oa[i]:oa[i + 1]], hb[ob[i]:ob[i + 1]]
                     if len(x) > len(y):
                         x, y = y, x
@@ -206,14 +216,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the smallest id reachable over links of Jaccard similarity ``num/den`` or more.
 
     Null, empty or blank texts have no shingles and are their own component; repeated rows each
-    get a row; other columns of ``docs`` are not read. An empty table gives an empty result."""
+    get a row; other columns of ``docs`` are not read. Null ids are not the smallest of a component
+    that has others; texts are found again by id and hash, so rows without an id link like any. A
+    very long text is one row of a task's batch, its hashes some 60 bytes a byte. An empty table
+    gives an empty result."""
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_th"))
     run, schema = _profile(id_type, n)
     profile = c.stage(texts.mapInArrow(run, schema))
     nodes = c.stage(profile.where("_node is not null").groupBy(F.col("_node").alias("node")).agg(
-        F.min("_id").alias("rep"), F.first("_n").alias("n"), *[F.first(f"_w{k}").alias(f"_w{k}") for k in range(WORDS)]))
+        F.min("_id").alias("rep"), F.coalesce(F.min_by("_th", "_id"), F.first("_th")).alias("th"), F.first("_n").alias("n"), *[F.first(f"_w{k}").alias(f"_w{k}") for k in range(WORDS)]))
 
     # cells that hold two nodes or more: each node with the cell's smallest and the one before it
     cells = texts.select("_text").mapInArrow(_emit_cells(n, num, den), "key long, node long")
@@ -222,8 +235,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
                    .where("node != first and node != prev"))
 
     ids = star.select("node").unionByName(star.select(F.col("first").alias("node"))).distinct()
-    wanted = nodes.join(ids, "node", "left_semi").select("node", F.col("rep").alias("_id"))
-    held = c.stage(texts.join(wanted, "_id").select("node", "_text"))
+    wanted = nodes.join(ids, "node", "left_semi").select("node", "rep", "th")
+    # one text per node, whatever the number of its copies
+    held = c.stage(texts.join(wanted, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("rep")))
+                   .select("node", "_text").dropDuplicates(["node"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs (a, b) that passed the bitmaps."""

@@ -75,3 +75,25 @@ def test_edge_cases(spark):
             (7, "é two"), (8, "x " * 5000), (9, "X\n" * 7000)]
     assert got(spark, rows) == brute(rows)
     assert got(spark, []) == []
+
+
+def test_null_ids_link(spark):
+    base = [f"word{i}" for i in range(60)]
+    near = base[:-1] + ["other"]
+    rows = [(None, " ".join(base)), (1, " ".join(near)), (None, "some other text altogether here"), (None, None), (None, " ".join(base[:30])),
+            (5, " ".join(base[:30])), (None, " ".join(["y"] * 3)), (None, " ".join(["y"] * 3))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in ngram_join.jaccard_components(df).collect()]
+    assert sorted((d, x) for d, _, x in got if d is not None) == [(1, 1), (5, 5)]
+    assert sorted((n, x) for d, n, x in got if d is None and x is not None) == [(27, 5), (57, 1)]
+
+
+def test_many_copies_of_two_near_texts(spark):
+    import time
+    base = [f"word{i}" for i in range(200)]
+    near = " ".join(base[:-1] + ["other"])
+    df = spark.range(10_000).selectExpr("id AS doc_id", f"CASE WHEN id % 2 = 0 THEN '{' '.join(base)}' ELSE '{near}' END AS text")
+    t0 = time.time()
+    got = ngram_join.jaccard_components(df)
+    assert got.where("component_id = 0").count() == 10_000
+    assert time.time() - t0 < 60                                # not the square of the copies
