@@ -6,6 +6,7 @@ Python code here runs inside Spark tasks on Arrow batches, a few megabytes of te
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -74,6 +75,18 @@ def text_buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; between them the allocators give back what the last one needed. Python workers
+    serve one stage after another, and would else hold on to the most that any has used."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if trim is not None:
+            trim(0)
+
+
 def text_chunks(col: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole rows of about ``limit`` bytes (one longer text makes its own run):
     (first row, last row + 1, bytes, offsets from 0)."""

@@ -96,53 +96,34 @@ def sort_some(T: np.ndarray, end: np.ndarray, pos: np.ndarray) -> tuple[np.ndarr
     return order, lcp
 
 
-def _range_least(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The least of x[lo..hi] (both included) of every range, from minima of runs of 1, 2, 4, ..."""
-    level = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1      # 2**level fits the range
-    out, run = np.empty(len(lo), x.dtype), x
-    for k in range(int(level.max()) + 1 if len(lo) else 0):
-        if k:
-            half = 1 << (k - 1)
-            run = np.minimum(run[:-half], run[half:])
-        at = np.flatnonzero(level == k)
-        out[at] = np.minimum(run[lo[at]], run[hi[at] - (1 << k) + 1])
-    return out
-
-
 def _scan(chunks, T, wanted, into: Queues, cur: np.ndarray, started: np.ndarray):
     """Push the suffixes that start one byte earlier and are ``wanted``; keep for each byte the
     least LCP since its last push. ``chunks`` are (suffix, lcp with the suffix scanned before)."""
     for pos, lcp in chunks:
-        if not len(pos):
-            continue
         q = pos - 1
         ok = q >= 0
         ok[ok] = wanted[q[ok]]
         at = np.flatnonzero(ok)
         c = T[q[at]]
-        order = np.argsort(c, kind="stable")                  # by byte, in the order of the scan
-        at, c = at[order], c[order]
-        first = np.ones(len(c), bool)
-        first[1:] = c[1:] != c[:-1]
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(c))
-        before = np.zeros(len(c), np.int64)
-        before[1:] = at[:-1] + 1
-        before[first] = 0
-        least = _range_least(lcp, before, at).astype(np.int32)
-        targets = c[starts]
-        least[starts] = np.minimum(least[starts], cur[targets])
-        least += 1
-        new = starts[~started[targets]]
-        least[new] = 0
-        started[targets] = True
-        for t, x, y in zip(targets.tolist(), starts.tolist(), ends.tolist()):
-            into.push(t, q[at[x:y]], least[x:y])
+        low = lcp.min() if len(lcp) else 0
+        targets = np.flatnonzero(np.bincount(c, minlength=256)) if len(c) else ()
+        for t in targets:
+            own = at[c == t]
+            least = np.minimum.reduceat(lcp, np.concatenate(([0], own[:-1] + 1))) if len(own) > 1 else lcp[:own[0] + 1].min(keepdims=True)
+            if len(own) > 1:                                  # reduceat's last run reaches the end
+                least[-1] = lcp[own[-2] + 1:own[-1] + 1].min()
+            least = least.astype(np.int32)
+            least[0] = min(least[0], cur[t])
+            least += 1
+            if not started[t]:
+                least[0], started[t] = 0, True
+            into.push(int(t), q[own], least)
         rest = np.ones(256, bool)
-        rest[targets] = False
-        cur[rest] = np.minimum(cur[rest], lcp.min())
-        after = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(np.int32).max)
-        cur[targets] = after[at[ends - 1] + 1] if len(targets) else cur[targets]
+        rest[list(targets)] = False
+        cur[rest] = np.minimum(cur[rest], low)
+        for t in targets:
+            last = at[c == t][-1]
+            cur[t] = lcp[last + 1:].min() if last + 1 < len(lcp) else np.iinfo(np.int32).max
 
 
 def repeated(T: np.ndarray, end: np.ndarray, length: int, memory: int = MEMORY) -> np.ndarray:

@@ -28,7 +28,7 @@ DIM, ORDERS, SCALE = 1 << 17, 3, 40.0
 ALPHA, BETA, L1, L2, EPOCHS, SHARDS = 0.5, 1.0, 0.02, 0.05, 2, 4
 MAX_LABELS = 1000
 # bytes of text, and places in it, that are worked on at once
-CHUNK, SLICE = 1 << 20, 1 << 18
+CHUNK, SLICE = 1 << 18, 1 << 16
 
 
 @lru_cache(maxsize=1)
@@ -137,7 +137,7 @@ def _vectors(texts: list[str]):
 def _frequencies(batches):
     """Texts with each feature; those of feature 0 are all texts."""
     df, last = np.zeros(DIM, np.int64), np.zeros(DIM, np.int64)
-    for batch in batches:
+    for batch in c.tidy(batches):
         for a, b, data, offsets in c.text_chunks(batch.column(0), CHUNK):
             ch, off = letters(data, offsets)
             orders = list(grams(ch, off))
@@ -238,7 +238,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ma
 def _predict(shared, keep_text):
     def run(batches):
         model = shared.value
-        for batch in batches:
+        for batch in c.tidy(batches):
             for a, b, data, offsets in c.text_chunks(batch.column(1), CHUNK):
                 if model.labels:
                     z, some = model.logits(data, offsets)

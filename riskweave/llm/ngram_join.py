@@ -36,7 +36,7 @@ from riskweave.llm import common as c
 
 BAND = 1.3
 WORDS = 8                      # 64-bit words of a bitmap
-CHUNK = 1 << 20                # bytes of text that a task works on at once
+CHUNK = 1 << 18                # bytes of text that a task works on at once
 SALTS = 4
 U64 = np.uint64
 
@@ -131,7 +131,7 @@ def _profile(id_type, n):
     names = [f"_w{k}" for k in range(WORDS)]
 
     def run(batches):
-        for batch in batches:
+        for batch in c.tidy(batches):
             for a, b, data, offsets in c.text_chunks(batch.column(1), CHUNK):
                 h, off = sets_of(data, offsets, n)
                 owner = np.repeat(np.arange(b - a), np.diff(off)) * (64 * WORDS)
@@ -151,7 +151,7 @@ def _emit_cells(n, num, den):
     """(key, node) cells, of equal sets in a task only those of the first."""
     def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        for batch in c.tidy(batches):
             for _, _, data, offsets in c.text_chunks(batch.column(0), CHUNK):
                 h, off = sets_of(data, offsets, n)
                 node = set_ids(h, off)
@@ -171,9 +171,9 @@ def _emit_cells(n, num, den):
 def _verify(n, num, den):
     """Exact check of pairs (a, b, ta, tb): sorted-array intersection of the two sets."""
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+        for batch in c.tidy(batches):
+            for lo in range(0, batch.num_rows, 64):
+                part = batch.slice(lo, 64)
                 ids = [part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)]
                 sets = []
                 for k in (2, 3):

@@ -74,7 +74,7 @@ def _anchor_rows(length):
     as ``m``; the others are known to repeat and come as spans (at, -m bytes), joined where they
     touch, under a key of their own. So a block that is everywhere sends a row per batch."""
     def run(batches):
-        for batch in batches:
+        for batch in c.tidy(batches):
             for a, b, data, offsets in c.text_chunks(batch.column(2)):
                 key, block, row, q1, q2, _ = anchors(data, offsets, length)
                 _, first, back, count = np.unique(block, return_index=True, return_inverse=True, return_counts=True)
@@ -102,7 +102,7 @@ def _anchor_rows(length):
 def _fetch(length):
     """Bytes of the blocks asked for: rows (text, list of (a, f, n, at))."""
     def run(batches):
-        for batch in batches:
+        for batch in c.tidy(batches):
             raw, off = c.text_buffers(batch.column(2))
             asked = batch.column(3)
             flat = asked.flatten()
@@ -175,7 +175,7 @@ def _sort_shards(length):
 
     def run(batches):
         held, size, group, seen, id_type = [], 0, None, None, None
-        for batch in batches:
+        for batch in c.tidy(batches):
             id_type = batch.schema.field(0).type
             rid, th, a, f, n, at, block = (batch.column(k) for k in range(7))
             a, f, n, at, th = (x.to_numpy() for x in (a, f, n, at, th))
@@ -200,7 +200,7 @@ def _sort_shards(length):
 def _windows(length):
     """Rows (a, h, f, n, offset, text, start) of all windows of blocks."""
     def run(batches):
-        for batch in batches:
+        for batch in c.tidy(batches):
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
                 data, off = c.text_buffers(part.column(6))
@@ -244,7 +244,7 @@ def merge(spans: np.ndarray) -> np.ndarray:
 
 def _cut(what):
     def run(batches):
-        for batch in batches:
+        for batch in c.tidy(batches):
             raw, off = c.text_buffers(batch.column(1))
             found = batch.column(2)
             flat = found.flatten()
