@@ -1002,3 +1002,12 @@ def q_feature_vector_wide(spark, sf):
     v = m.transform(t, keep=("id",)).select("id", vector_to_array("features").alias("v"))
     return v.select("id", F.size("v").alias("width"), F.size(F.filter("v", lambda x: x != 0)).alias("n_entries"),
                     F.aggregate(F.slice("v", first + 1, WIDE_BUCKETS), F.lit(0.0), lambda a, x: a + x).alias("hash_sum"))
+
+
+@query("member_match")
+def q_member_match(spark, sf):
+    """J-g: a member per city of T and its submission folder, of which every third city has none."""
+    from riskweave.sources.artifacts import match_members
+    t = views.telemetry(spark, sf).where("city IS NOT NULL")
+    folders = t.where("CAST(substring(city, 2) AS INT) % 3 <> 0").select(F.concat(F.lit("Run-"), "city", F.lit("_"), "nation").alias("folder"))
+    return match_members(t.select(F.concat("city", F.lit("_oof")).alias("model")), folders)

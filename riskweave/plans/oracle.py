@@ -613,6 +613,15 @@ ORACLE["feature_vector_wide"] = _ENTRIES + """SELECT id, CAST(266 + (SELECT coun
 FROM e GROUP BY id"""
 
 
+ORACLE["member_match"] = TB + """,
+fam AS (SELECT DISTINCT city || '_oof' AS model, lower(city) AS family FROM t WHERE city IS NOT NULL),
+fo AS (SELECT DISTINCT 'Run-' || city || '_' || nation AS folder FROM t WHERE city IS NOT NULL AND CAST(substr(city, 2) AS INTEGER) % 3 <> 0),
+hit AS (SELECT model, folder, list_contains(regexp_split_to_array(lower(folder), '[^a-z0-9]+'), family) AS exact FROM fam JOIN fo ON contains(lower(folder), family)),
+best AS (SELECT *, count(*) OVER (PARTITION BY model) AS n_matches FROM hit
+         QUALIFY row_number() OVER (PARTITION BY model ORDER BY exact DESC, length(folder), folder) = 1)
+SELECT fam.model, folder, exact, coalesce(n_matches, 0) AS n_matches FROM fam LEFT JOIN best ON fam.model = best.model"""
+
+
 def _expand_r6(sql: str) -> str:
     """Rewrite every ``{R6_}(expr)`` marker into :func:`R6` (written markers keep SQL short)."""
     out, i, mark = [], 0, "{R6_}("

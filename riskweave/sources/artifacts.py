@@ -55,3 +55,24 @@ def save_attribution(attr: DataFrame, path: str) -> None:
 def load_attribution(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
     df = spark.read.parquet(path)
     return df.where(F.col("model") == model) if model is not None else df
+
+
+def match_members(members: DataFrame, folders: DataFrame, model_col: str = "model", folder_col: str = "folder") -> DataFrame:
+    """J-g: for each member (named ``<family>_...``) the folder of submissions whose name contains its
+    family, in any case: model, folder (null: none), exact (the family is a whole token of the
+    name), n_matches. Of several a whole token goes first, then the shorter name, then its order.
+
+    "Is contained in" is an equi-join: a folder's name gives all its pieces up to the length of the
+    longest family as keys. Names are short, so there are at most a few thousand per folder."""
+    family = F.lower(F.split(model_col, "_")[0])
+    fam = members.select(F.col(model_col).alias("model"), family.alias("_key")).distinct()
+    longest = fam.agg(F.coalesce(F.max(F.length("_key")), F.lit(0))).first()[0]
+    names = folders.select(F.col(folder_col).alias("_folder"), F.lower(folder_col).alias("_low")).where("length(_low) > 0").distinct()
+    starts = names.select("_folder", "_low", F.explode(F.expr("sequence(1, length(_low))")).alias("_at"))
+    pieces = starts.select("_folder", "_low", F.explode(F.expr(
+        f"transform(sequence(1, greatest(1, least({int(longest)}, length(_low) - _at + 1))), n -> substring(_low, _at, n))")).alias("_key")).distinct()
+    exact = F.array_contains(F.split("_low", "[^a-z0-9]+"), F.col("_key"))
+    best = F.struct((~exact).alias("part"), F.length("_folder").alias("len"), F.col("_folder").alias("folder"))
+    found = fam.where("_key != ''").join(pieces, "_key").groupBy("model").agg(F.min(best).alias("_b"), F.count(F.lit(1)).alias("n_matches"))
+    return members.select(F.col(model_col).alias("model")).distinct().join(found, "model", "left").select(
+        "model", F.col("_b.folder").alias("folder"), (~F.col("_b.part")).alias("exact"), F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
