@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.llm import common as c
-from riskweave.llm.induced_sort import repeated
+from riskweave.llm.induced_sort import MEMORY, repeated
 
 U64 = np.uint64
 KMER = 48
@@ -125,7 +125,7 @@ def _fetch(length):
     return run
 
 
-def repeated_windows(blocks: list[bytes], length: int) -> list[np.ndarray]:
+def repeated_windows(blocks: list[bytes], length: int, memory: int = MEMORY) -> list[np.ndarray]:
     """For each block the places whose window starts elsewhere in the blocks, too."""
     lens = np.array([len(b) for b in blocks], np.int64)
     raw = np.frombuffer(b"".join(blocks), np.uint8)
@@ -143,7 +143,7 @@ def repeated_windows(blocks: list[bytes], length: int) -> list[np.ndarray]:
     inside = np.ones(len(T) - 8, bool)
     inside[stop] = False
     T[:-8][inside] = code[raw]
-    hit = repeated(T, np.repeat(stop, lens + 1), length)
+    hit = repeated(T, np.repeat(stop, lens + 1).astype(np.int32), length, memory)
     places = np.flatnonzero(hit)
     owner = np.searchsorted(stop, places)
     first = np.concatenate(([0], stop[:-1] + 1))
@@ -152,10 +152,10 @@ def repeated_windows(blocks: list[bytes], length: int) -> list[np.ndarray]:
     return [places[x:y] for x, y in zip(cut[:-1], cut[1:])]
 
 
-def _sort_shards(length):
+def _sort_shards(length, memory=MEMORY):
     """Rows in the order of their group (a, f): repeated spans of the blocks that occur once."""
     def spans(rows):
-        got = repeated_windows([r[5] for r in rows], length)
+        got = repeated_windows([r[5] for r in rows], length, memory)
         out = []
         for (rid, th, _, n, at, _), hits in zip(rows, got):
             if n > 1 or not len(hits):
@@ -271,7 +271,7 @@ def _cut(what):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200,
-                   columns: list[str] | None = None, kept: str | None = "bytes") -> DataFrame:
+                   columns: list[str] | None = None, kept: str | None = "bytes", memory: int = MEMORY) -> DataFrame:
     """Per input row its ``columns`` (default: the id), ``n_bytes``, ``n_removed``, ``n_spans``,
     ``kept_sha256`` and ``kept``: the bytes left, or with ``kept="text"`` the text they make without
     the rests of characters that were cut through (not with ``kept=None``).
@@ -279,7 +279,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Removed is each byte covered by a string of ``length`` bytes that also starts elsewhere, in
     the same row or another; repeated rows so remove one another, an id that comes with several
     texts is several rows, and null ids are ids like others. Null texts count as empty (``kept``
-    is null). Other columns are not read; an empty table gives no rows."""
+    is null). Other columns are not read; an empty table gives no rows. A text may be as long as
+    an Arrow batch may be (2 GB): it is read in one piece, at up to about 60 bytes per byte.
+
+    A sort's queues go to disk beyond ``memory`` bytes."""
     if not 8 <= length <= 800:
         raise ValueError("length must be from 8 to 800")
     columns = [id_col] if columns is None else columns
@@ -306,7 +309,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _fetch(length), f"_id {id_type}, _th int, a long, f long, n long, at long, block binary")
 
     shards = blocks("not hot").repartition("a").sortWithinPartitions("a", "f")
-    spans = settled.unionByName(shards.mapInArrow(_sort_shards(length), f"_id {id_type}, _th int, start long, end long"))
+    spans = settled.unionByName(shards.mapInArrow(_sort_shards(length, memory), f"_id {id_type}, _th int, start long, end long"))
     if found.where("hot and open").limit(1).count():
         spans = spans.unionByName(_count_windows(blocks("hot"), length, id_type))
     spans = spans.groupBy("_id", "_th").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))

@@ -73,3 +73,12 @@ def test_columns_and_kept_bytes(spark):
 def test_bytes_of_every_value():
     a = bytes(range(256)) * 2
     assert [x.tolist() for x in suffix_dedup.repeated_windows([a, b"none"], 10)] == [[i for i in range(503) if i <= 246 or i >= 256], []]
+
+
+def test_queues_go_to_disk(spark, monkeypatch):
+    """The whole operator with queues of 2,000 bytes, which all go through files."""
+    rnd = random.Random(12)
+    text = lambda k: "".join(rnd.choice("etaoin shrdlu") for _ in range(k))
+    common = [text(300) for _ in range(3)]
+    rows = [(i, text(rnd.randrange(90)) + rnd.choice(common)[rnd.randrange(80):] + text(rnd.randrange(90))) for i in range(60)]
+    assert got(spark, rows, memory=2000) == brute(rows)
