@@ -36,9 +36,13 @@ def op9(spark, sf):
 def op10(spark, sf):
     from pyspark.sql import functions as F
 
-    from riskweave.llm.sharding import place
-    return place(c.documents(spark, sf)).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    from riskweave.llm.sharding import read_shards, write_shards
+    docs, path = c.documents(spark, sf), f"{c.stage_root(spark)}/shards"
+    write_shards(docs, path)
+    text = F.coalesce("record.text", F.lit(""))
+    return read_shards(docs, path).select(
+        "record.doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.lit("rows").alias("law"),
+        "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 @query("op5_warc")

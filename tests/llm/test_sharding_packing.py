@@ -35,7 +35,7 @@ def test_sharding_query(spark):
     laws(rows, docs)
     assert {r.law for r in rows} == {"rows"} and {r.grown_shard for r in rows} == {None}
     again = queries.QUERIES["op10_sharding"](spark, SF_ORACLE).collect()
-    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert sorted(map(str, rows)) == sorted(map(str, again))         # same files, same order
 
 
 @pytest.mark.parametrize("bucket_rows", [1, 7, 10**6])
@@ -54,11 +54,24 @@ def test_sharding_order_is_mixed(spark):
 
 
 def test_shards_hold_whole_records(spark, tmp_path):
-    docs = make(spark, [(i % 50, f"text {i % 50}", None) for i in range(60)] + [(None, None, "q")])
-    sharding.write_shards(docs, str(tmp_path / "out"), shards=3)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(map(str, back.select("_row.*").collect())) == sorted(map(str, docs.collect()))
-    assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [20, 20, 21]
+    docs = make(spark, [(i % 50, f"text {i % 50}", None) for i in range(60)] + [(None, None, "q"), (51, "long " * 50_000, "q")])
+    for rows, size in ((1, 1 << 20), (7, 1 << 20), (1 << 20, 100)):
+        path = str(tmp_path / f"out-{rows}")
+        sharding.write_shards(docs, path, shards=3, bucket_rows=rows, bucket_bytes=size)
+        back = sharding.read_shards(docs, path)
+        assert sorted(map(str, back.select("record.*").collect())) == sorted(map(str, docs.collect()))
+        assert sorted(r["count"] for r in back.groupBy("shard").count().collect()) == [20, 21, 21]
+        for k in range(3):
+            assert sorted(r.slot for r in back.where(f"shard = {k}").collect()) == list(range(back.where(f"shard = {k}").count()))
+    sharding.write_shards(docs.limit(0), str(tmp_path / "none"))
+    assert sharding.read_shards(docs, str(tmp_path / "none")).collect() == []
+
+
+def test_seeds_give_different_orders(spark):
+    """One bucket of three records: ten seeds give at least three of the six orders."""
+    docs = make(spark, [(i, str(i), None) for i in range(3)])
+    orders = {tuple(r.doc_id for r in sharding.place(docs, shards=1, seed=seed).orderBy("slot").collect()) for seed in range(10)}
+    assert len(orders) >= 3
 
 
 def check_packing(rows, docs, capacity):
