@@ -82,7 +82,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     placed, n = _places(docs.select(F.struct(*[docs[x] for x in docs.columns]).alias("record"), *_keys(id_col, text_col)),
                         seed, bucket_rows, bucket_bytes)
     (_shards(placed, n, shards).select(F.col("r.record").alias("record"), "slot", "shard")
-     .write.mode("errorifexists").partitionBy("shard").parquet(path))
+     .write.mode("errorifexists").option("compression", "zstd").partitionBy("shard").parquet(path))
 
 
 def read_shards(docs: DataFrame, path: str) -> DataFrame:
