@@ -825,6 +825,21 @@ def q_registry_check(spark, sf):
             .agg(F.sum("n_rows").cast("long").alias("n_rows"), F.bool_and("usable").alias("usable")))
 
 
+@query("artifact_discovery")
+def q_artifact_discovery(spark, sf):
+    """members' files on disk, with one member short of a fold, one without a prediction column
+    and one whose file is no Parquet at all: what was found and why it is not used."""
+    from riskweave.sources.artifacts import discover
+    root = scratch_path(spark, f"discovery/{uuid.uuid4().hex}")
+    p = views.preds(spark, sf)
+    p.where("model = 'cat'").select("id", "p").write.parquet(f"{root}/cat/oof")
+    p.where("model = 'lgb' and fold <> 0").select("id", F.col("p").alias("prob")).write.parquet(f"{root}/lgb/oof")
+    p.where("model = 'xgb'").select("id", "fold").write.parquet(f"{root}/xgb/oof")
+    p.where("model = 'xgb'").select(F.col("id").cast("string").alias("value")).write.text(f"{root}/broken/oof")
+    found = discover(spark, root, views.telemetry(spark, sf).count())
+    return found.groupBy("model", "folder", "reason").agg(F.sum("n_rows").cast("long").alias("n_rows"), F.max("pred_col").alias("pred_col"))
+
+
 @query("stream_check")
 def q_stream_check(spark, sf):
     """Q5: requests scored by the stream are those that are good, one row per instance."""

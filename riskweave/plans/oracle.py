@@ -546,6 +546,10 @@ UNION ALL SELECT -1, count(*), true FROM tf"""
 ORACLE["stack_submission"] = TB + "SELECT id, true AS target_ok FROM t"
 ORACLE["registry_check"] = BASE + """SELECT model, kind, count(*) AS n_rows, true AS usable
 FROM preds, (VALUES ('oof'), ('submission')) v(kind) GROUP BY model, kind"""
+ORACLE["artifact_discovery"] = BASE + """SELECT 'cat' AS model, 'oof' AS folder, CAST(NULL AS VARCHAR) AS reason, count(*) AS n_rows, 'p' AS pred_col FROM preds WHERE model = 'cat'
+UNION ALL SELECT 'lgb', 'oof', 'row count', count(*), 'prob' FROM preds WHERE model = 'lgb' AND fold <> 0
+UNION ALL SELECT 'xgb', 'oof', 'no prediction column', count(*), NULL FROM preds WHERE model = 'xgb'
+UNION ALL SELECT 'broken', 'oof', 'unreadable or empty', 0, NULL"""
 ORACLE["stream_check"] = with_sql(PAYLOADS) + """SELECT event_id AS request_id,
   CASE WHEN json_exists(payload, '$.instances') THEN CAST(json_array_length(payload, '$.instances') AS BIGINT) ELSE 1 END AS n, true AS p_ok
 FROM cls WHERE error IS NULL"""

@@ -23,6 +23,33 @@ def registry(spark: SparkSession, root: str, expected_rows: int,
                     (F.col("_member_rows") == F.lit(expected_rows)).alias("usable")))
 
 
+def discover(spark: SparkSession, root: str, expected_rows: int, pred_cols: tuple[str, ...] = ("p", "prob", "proba", "pred")) -> DataFrame:
+    """A8, tolerant: one row per file below ``root``: model and folder of the file (its last two
+    folders' names), file, n_rows, pred_col (the first of ``pred_cols`` with a value) and reason
+    (null: usable): ``unreadable or empty``, ``no prediction column`` or ``row count``, for which
+    a model's files of one folder are counted together.
+
+    Files are listed by the file source without reading them, and probed in one pass that reads
+    the candidate columns only; a file that cannot be read gives no rows there. Files of no bytes at
+    all are not listed: Spark's file sources pass them over."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(root)
+             .select(F.col("path").alias("file")))
+    schema = ", ".join(f"{x} double" for x in pred_cols)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("pathGlobFilter", "[!_.]*").parquet(root)
+    first = F.coalesce(*[F.when(F.col(f"_n_{x}") > 0, F.lit(x)) for x in pred_cols], F.lit(None).cast("string"))
+    seen = (rows.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("n_rows"), *[F.count(x).alias(f"_n_{x}") for x in pred_cols])
+            .select("_path", "n_rows", first.alias("pred_col")))
+    # both sources name a file by its URI, but differ in the slashes after the scheme
+    bare = lambda x: F.regexp_replace(x, "^([a-z0-9]+):/+", "$1:/")
+    found = files.join(seen, bare("file") == bare("_path"), "left").select(
+        F.element_at(F.split("file", "/"), -3).alias("model"), F.element_at(F.split("file", "/"), -2).alias("folder"), "file",
+        F.coalesce("n_rows", F.lit(0)).cast("long").alias("n_rows"), "pred_col")
+    total = found.where("pred_col is not null").groupBy("model", "folder").agg(F.sum("n_rows").alias("_total"))
+    reason = (F.when(F.col("n_rows") == 0, "unreadable or empty").when(F.col("pred_col").isNull(), "no prediction column")
+              .when(F.col("_total") != expected_rows, "row count"))
+    return found.join(total, ["model", "folder"], "left").select("model", "folder", "file", "n_rows", "pred_col", reason.alias("reason"))
+
+
 def model_path(root: str, family: str, fold: int | None = None) -> str:
     """models/<family>/fold=<k> (or /full for a refit on all rows)."""
     return f"{root.rstrip('/')}/models/{family}/" + (f"fold={fold}" if fold is not None else "full")
