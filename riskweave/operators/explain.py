@@ -46,6 +46,16 @@ def mean_abs(attr: DataFrame, keys: Sequence[str] = ("feature_idx",)) -> DataFra
     return attr.groupBy(*keys).agg(F.avg(F.abs("phi")).alias("mean_abs"))
 
 
+def mean_abs_wide(wide: DataFrame, phi_col: str = "phi") -> DataFrame:
+    """H9/P3 from one array of attributions per row: one vector summary (L1 norm and count, combined
+    map-side) in place of a row per feature."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+    s = wide.select(Summarizer.metrics("normL1", "count").summary(array_to_vector(phi_col)).alias("s"))
+    return (s.select(F.posexplode(vector_to_array("s.normL1")).alias("feature_idx", "l1"), F.col("s.count").alias("n"))
+            .select("feature_idx", (F.col("l1") / F.col("n")).alias("mean_abs")))
+
+
 def name_features(ranked: DataFrame, lineage: DataFrame, idx_col: str = "feature_idx") -> DataFrame:
     """B14/J-d: ``f{i}`` and the lineage name via a left join on the index."""
     lin = maybe_broadcast(lineage.select(F.col("idx").alias(idx_col), F.col("name").alias("feature_name")))
@@ -56,7 +66,11 @@ def name_features(ranked: DataFrame, lineage: DataFrame, idx_col: str = "feature
 def ranked_importance(attr: DataFrame, lineage: DataFrame) -> DataFrame:
     """Rank (1 = largest mean |phi|, index breaks ties), f{i}, name, mean_abs. The rank
     runs over one row per feature, a tiny table."""
-    m = mean_abs(attr)
+    return rank_features(mean_abs(attr), lineage)
+
+
+def rank_features(m: DataFrame, lineage: DataFrame) -> DataFrame:
+    """Ranks and names of (feature_idx, mean_abs) rows."""
     w = Window.orderBy(F.desc("mean_abs"), F.asc("feature_idx"))
     return name_features(m, lineage).withColumn("rank", F.row_number().over(w))
 

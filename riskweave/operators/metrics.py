@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskweave.operators.rank import materialize, maybe_broadcast, running_totals
@@ -54,12 +54,13 @@ def score_bucket(score: str = "_s") -> Column:
 
 
 def auc_of_cells(cells: DataFrame, group_cols: Sequence[str] = (), out_col: str = "auc") -> DataFrame:
-    """AUC per group from distinct (group, score ``_s``) cells with counts ``pos`` and ``neg``."""
+    """AUC per group from distinct (group, score ``_s``) cells with counts ``pos`` and ``neg``;
+    null for a group of one class only."""
     group_cols = list(group_cols)
     ranked = running_totals(cells, group_cols, ["_s"], ["neg"], bucket=score_bucket(), prefix="below_", inclusive=False)
     return (ranked.groupBy(*group_cols)
-            .agg((F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0)))
-                  / (F.sum("pos").cast("double") * F.sum("neg").cast("double"))).alias(out_col)))
+            .agg(F.try_divide(F.sum(F.col("pos") * (F.col("below_neg") + F.col("neg") / F.lit(2.0))),
+                              F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias(out_col)))
 
 
 def confusion(df: DataFrame, score_col: str = "p", label_col: str = "target",
@@ -121,6 +122,26 @@ def learning_curve_best(curve: DataFrame, iter_col: str = "iter", loss_col: str
                     (F.col("last_iter") - F.col("_b").getField(iter_col)).cast("long").alias("rounds_since_best")))
 
 
+def waiting_point(curve: DataFrame, wait: int, iter_col: str = "iter", value_col: str = "auc", larger: bool = True,
+                  group_cols: Sequence[str] = ()) -> DataFrame:
+    """E5: where early stopping ends on a curve of consecutive iterations: the first iteration
+    ``wait`` rounds after the last new best (the end of the curve where there is none), and the best
+    until then. Equal values are no new best. The windows hold one row per iteration of a group."""
+    groups = list(group_cols)
+    v = F.col(value_col) if larger else -F.col(value_col)
+    run = Window.partitionBy(*groups).orderBy(iter_col) if groups else Window.orderBy(iter_col)
+    before = F.max("_v").over(run.rowsBetween(Window.unboundedPreceding, -1))
+    steps = (curve.withColumn("_v", v).withColumn("_before", before)
+             .withColumn("_best", F.max(F.when(F.col("_before").isNull() | (F.col("_v") > F.col("_before")), F.col(iter_col))).over(run)))
+    stop = F.min(F.when(F.col(iter_col) - F.col("_best") >= wait, F.col(iter_col))).over(Window.partitionBy(*groups))
+    seen = steps.withColumn("_stop", stop).where(F.col("_stop").isNull() | (F.col(iter_col) <= F.col("_stop")))
+    best = F.max("_best")
+    return (seen.groupBy(*groups)
+            .agg(best.cast("long").alias("best_iter"), (F.max("_v") if larger else -F.max("_v")).alias(f"best_{value_col}"),
+                 F.max(iter_col).cast("long").alias("last_iter"), (F.max(iter_col) - best).cast("long").alias("rounds_since_best"),
+                 F.max("_stop").isNotNull().alias("stopped")))
+
+
 def metrics_table(preds: DataFrame, run_col: str = "model", fold_col: str = "fold") -> DataFrame:
     """A4: long metric records (run, metric, fold, value): per-fold and pooled AUC, pooled log
     loss and the mean of fold AUCs (fold = -1 marks pooled rows)."""

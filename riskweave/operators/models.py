@@ -8,17 +8,19 @@ stopping uses the held-out fold through ``validationIndicatorCol``, scoring is a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import SparkContext, StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskweave.operators.folds import assemble_oof
 from riskweave.operators.rank import maybe_broadcast
+from riskweave.session import scratch_path
 
 
 def gbt_leafwise(max_iter: int = 2000, seed: int = 42, **kw) -> GBTClassifier:
@@ -64,6 +66,7 @@ class OOFResult:
     models: list
     importances: DataFrame | None
     base: DataFrame | None = None
+    curves: DataFrame | None = None       # (fold, iter, auc) where fits waited for the AUC
 
     def release(self) -> None:
         """Drop the materialised fit input once the OOF table has been consumed or written."""
@@ -148,10 +151,12 @@ def fit_early_stopped(estimator, train: DataFrame, val: DataFrame, wait: int):
 def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features", label_col: str = "target",
               fold_col: str = "fold", id_col: str = "id", early_stopping: bool = True,
               lineage: DataFrame | None = None, checkpoint: bool = False,
-              keep: Sequence[str] = (), parallelism: int = 1) -> OOFResult:
+              keep: Sequence[str] = (), parallelism: int = 1, wait: int | None = None) -> OOFResult:
     """Fit one model per fold on the other folds (held-out fold as the early-stopping
     set when the estimator supports it), score the held-out fold, union the folds. ``estimator``
-    may be a function of the fold, for settings that depend on the fold's training rows.
+    may be a function of the fold, for settings that depend on the fold's training rows. With
+    ``wait`` a boosted member stops when the held-out fold's AUC has not grown for that many
+    iterations and keeps its best prefix (``staged.fit_patient``).
 
     ``parallelism`` > 1 submits that many fold fits concurrently from driver threads (as Spark
     ML's ``CrossValidator`` does): each fit is its own set of jobs over the shared materialised
@@ -160,9 +165,16 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
     base = fit_input(df.select(id_col, fold_col, label_col, features_col, *keep)
                      .withColumn(label_col, F.col(label_col).cast("double")), features_col, checkpoint, id_col)
 
+    curves: list[tuple[int, int, float]] = []
+
     def fit_fold(f: int):
         est = (estimator(f) if callable(estimator) else estimator).copy()
         est.setFeaturesCol(features_col).setLabelCol(label_col)
+        if wait is not None:
+            from riskweave.operators.staged import fit_patient
+            model, aucs = fit_patient(est, base.where(F.col(fold_col) != f), base.where(F.col(fold_col) == f), wait, features_col, label_col)
+            curves.extend((f, i, v) for i, v in enumerate(aucs))
+            return model
         if early_stopping and est.hasParam("validationIndicatorCol"):
             est.setValidationIndicatorCol("_is_val")
             train = base.withColumn("_is_val", F.col(fold_col) == f)
@@ -191,7 +203,40 @@ def train_oof(df: DataFrame, estimator, k: int, features_col: str = "features",
         if lineage is not None:
             names = lineage.select(F.col("idx").alias("feature_idx"), F.col("name").alias("feature"))
             imp_df = imp_df.join(maybe_broadcast(names, bound=len(imps)), "feature_idx", "left")
-    return OOFResult(oof, models, imp_df, base)
+    curve_df = spark.createDataFrame(curves, "fold int, iter int, auc double") if curves else None
+    return OOFResult(oof, models, imp_df, base, curve_df)
+
+
+def node_table(spark: SparkSession, models: list) -> DataFrame:
+    """(fold, tree, node, feature_idx, gain, cover) of the fitted trees' inner nodes, read from the
+    models as Spark ML saves them. ``cover`` is the weight of the training rows at the node."""
+    out = None
+    for f, model in enumerate(models):
+        path = scratch_path(spark, f"nodes/{uuid.uuid4().hex}")
+        model.write().save(path)
+        data = spark.read.parquet(f"{path}/data")
+        tree = F.col("treeID") if "treeID" in data.columns else F.lit(0)
+        # class counts in classification trees; count, sum, sum of squares in those of boosting
+        counts = type(model).__name__ in ("DecisionTreeClassificationModel", "RandomForestClassificationModel")
+        stats = F.col("nodeData.impurityStats")
+        cover = F.aggregate(stats, F.lit(0.0), lambda a, x: a + x) if counts else stats[0]
+        part = data.where("nodeData.leftChild >= 0").select(
+            F.lit(f).alias("fold"), tree.cast("int").alias("tree"), F.col("nodeData.id").alias("node"),
+            F.col("nodeData.split.featureIndex").alias("feature_idx"), F.col("nodeData.gain").alias("gain"), cover.alias("cover"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def gain_importance(nodes: DataFrame, k: int, lineage: DataFrame | None = None) -> DataFrame:
+    """F8: (feature_idx, gain, share, n_splits): impurity gain x cover of a feature's splits, summed
+    over a fold's trees and averaged over the ``k`` folds (a fold without the feature counts 0), and
+    its share of all gain. Features that no tree splits on have no row."""
+    total = nodes.agg(F.sum(F.col("gain") * F.col("cover")).alias("_all"))      # one row
+    out = (nodes.groupBy("feature_idx").agg((F.sum(F.col("gain") * F.col("cover")) / F.lit(float(k))).alias("gain"), F.count(F.lit(1)).alias("n_splits"))
+           .join(F.broadcast(total)).withColumn("share", F.col("gain") * F.lit(float(k)) / F.col("_all")).drop("_all"))
+    if lineage is not None:
+        out = out.join(lineage.select(F.col("idx").alias("feature_idx"), F.col("name").alias("feature_name")), "feature_idx", "left")
+    return out
 
 
 def mean_importance(importances: DataFrame) -> DataFrame:

@@ -532,17 +532,17 @@ def q_submission_check(spark, sf):
 
 # ---------------------------------------------------------------- learning curve
 
-def shrinkage_curve(spark, sf, iters: int = 200):
-    """Log loss of the lgb member's scores shrunk toward 0.5 by t = iter / 100, over its distinct
-    (target, score) cells."""
-    p = views.preds(spark, sf).where(F.col("model") == "lgb")
-    cells = p.groupBy("target", F.col("p").alias("pb")).agg(F.count(F.lit(1)).alias("n"))
+def shrinkage_curve(spark, sf, iters: int = 200, models=("lgb",)):
+    """(model, iter, loss): log loss of the members' scores shrunk toward 0.5 by t = iter / 100, over
+    their distinct (model, target, score) cells."""
+    p = views.preds(spark, sf).where(F.col("model").isin(*models))
+    cells = p.groupBy("model", "target", F.col("p").alias("pb")).agg(F.count(F.lit(1)).alias("n"))
     it = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(iters - 1))).alias("iter"))
     q = F.lit(0.5) + (F.col("pb") - F.lit(0.5)) * F.col("iter") / F.lit(100.0)
     q = F.least(F.greatest(q, F.lit(1e-15)), F.lit(1.0 - 1e-15))
     y = F.col("target").cast("double")
     ll = -(y * F.log(q) + (F.lit(1.0) - y) * F.log(F.lit(1.0) - q)) * F.col("n")
-    return it.groupBy("iter").agg((F.sum(ll) / F.sum("n")).alias("loss"))
+    return it.groupBy("model", "iter").agg((F.sum(ll) / F.sum("n")).alias("loss"))
 
 
 @query("learning_curve_best")
@@ -723,20 +723,57 @@ def q_tree_shap_check(spark, sf):
 
 @query("boosting_curve")
 def q_boosting_curve(spark, sf):
-    """The loss curve of a fitted member with its early-stopping point (20 iterations, wait
-    of 5; the reference waits 100 to 200 of thousands)."""
-    curve, model = training.boosting_curve(spark, sf, max_iter=20, wait=5)
-    best = metrics.learning_curve_best(curve)
-    return best.select("best_iter", r6("best_loss"), "last_iter", "rounds_since_best", F.lit(model.getNumTrees).alias("trees_kept"))
+    """Where waiting for the held-out AUC ends a member of up to 2000 iterations (wait of 20;
+    the reference waits 100 to 200)."""
+    curve, model = training.boosting_curve(spark, sf, max_iter=2000, wait=20)
+    best = metrics.waiting_point(curve, 20)
+    return best.select("best_iter", r6("best_auc"), "last_iter", "rounds_since_best", "stopped", F.lit(model.getNumTrees).alias("trees_kept"))
+
+
+@query("waiting_point")
+def q_waiting_point(spark, sf):
+    """E5: the waiting rule on the loss curve of every member, for a wait of 3 rounds."""
+    curve = shrinkage_curve(spark, sf, models=MODELS)
+    best = metrics.waiting_point(curve.withColumn("loss", r6("loss")), 3, value_col="loss", larger=False, group_cols=["model"])
+    return best.select("model", "best_iter", r6("best_loss"), "last_iter", "rounds_since_best", "stopped")
+
+
+def gain_members(spark, sf):
+    """Lineage and the fold models of the leaf-wise member (10 iterations)."""
+    fm, x = training.featurised(spark, sf)
+    from riskweave.operators import models as ml
+    return fm, ml.train_oof(x, ml.gbt_leafwise(max_iter=10), 5, parallelism=5)
+
+
+@query("gain_importance")
+def q_gain_importance(spark, sf):
+    """F8: gain importance of the fold models' splits, averaged over folds."""
+    from riskweave.operators import models as ml
+    fm, oof = gain_members(spark, sf)
+    out = ml.gain_importance(ml.node_table(spark, oof.models), len(oof.models), fm.lineage(spark))
+    return out.select("feature_idx", "feature_name", "n_splits", r6("gain"), r6("share"))
+
+
+@query("gain_importance_check")
+def q_gain_importance_check(spark, sf):
+    """F8 per fold: gain x cover over the written node table, as shares, are the importances that
+    the fitted model itself states, and sum to 1."""
+    from riskweave.operators import models as ml
+    _, oof = gain_members(spark, sf)
+    parts = ml.node_table(spark, oof.models).groupBy("fold", "feature_idx").agg(F.sum(F.col("gain") * F.col("cover")).alias("g"))
+    share = parts.join(parts.groupBy("fold").agg(F.sum("g").alias("all")), "fold").select("fold", "feature_idx", (F.col("g") / F.col("all")).alias("share"))
+    both = oof.importances.join(share, ["fold", "feature_idx"], "left")
+    return both.groupBy("fold").agg((F.max(F.abs(F.col("importance") - F.coalesce("share", F.lit(0.0)))) < 1e-9).alias("same"),
+                                    (F.abs(F.sum("share") - 1.0) < 1e-9).alias("whole"))
 
 
 @query("shap_top20")
 def q_shap_top20(spark, sf):
-    """P1 -> P3 -> F8 on a fitted member: Tree SHAP of every row, mean |phi| of every feature, names,
-    the 20 largest."""
-    from riskweave.operators.treeshap import tree_shap
+    """P1 -> P3 -> F8 on a fitted member: Tree SHAP of every row, mean |phi| of every feature by one
+    vector summary, names, the 20 largest."""
+    from riskweave.operators.treeshap import tree_shap_wide
     fm, x, model = shap_member(spark, sf)
-    ranked = xp.ranked_importance(tree_shap(x, model), fm.lineage(spark))
+    ranked = xp.rank_features(xp.mean_abs_wide(tree_shap_wide(x, model)), fm.lineage(spark))
     return ranked.where(F.col("rank") <= TOP_N).select("rank", "feature", "feature_name", r6("mean_abs"))
 
 

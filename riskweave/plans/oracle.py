@@ -462,6 +462,17 @@ SELECT CAST(arg_min(iter, (loss, iter)) AS BIGINT) AS best_iter, {R6_}(min(loss)
        CAST(max(iter) AS BIGINT) AS last_iter, CAST(max(iter) - arg_min(iter, (loss, iter)) AS BIGINT) AS rounds_since_best
 FROM curve"""
 
+ORACLE["waiting_point"] = BASE + """,
+cells AS (SELECT model, target, p AS pb, count(*) AS n FROM preds GROUP BY ALL),
+it AS (SELECT cells.*, i AS iter FROM cells, range(200) r(i)),
+q AS (SELECT model, iter, target, n, least(greatest(0.5 + (pb - 0.5) * iter / 100.0, 1e-15), 1 - 1e-15) AS q FROM it),
+curve AS (SELECT model, iter, {R6_}(sum(-(target * ln(q) + (1 - target) * ln(1 - q)) * n) / sum(n)) AS loss FROM q GROUP BY ALL),
+prior AS (SELECT *, min(loss) OVER (PARTITION BY model ORDER BY iter ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS least_before FROM curve),
+steps AS (SELECT *, max(CASE WHEN least_before IS NULL OR loss < least_before THEN iter END) OVER (PARTITION BY model ORDER BY iter) AS best FROM prior),
+stops AS (SELECT model, min(iter) AS stop FROM steps WHERE iter - best >= 3 GROUP BY model)
+SELECT model, CAST(max(best) AS BIGINT) AS best_iter, {R6_}(min(loss)) AS best_loss, CAST(max(iter) AS BIGINT) AS last_iter,
+       CAST(max(iter) - max(best) AS BIGINT) AS rounds_since_best, max(stop) IS NOT NULL AS stopped
+FROM steps LEFT JOIN stops USING (model) WHERE stop IS NULL OR iter <= stop GROUP BY model"""
 
 
 # ---------------------------------------------------------------- sources, payloads, responses
@@ -540,6 +551,7 @@ ORACLE["roc_auc_grid"] = BASE + ",\npg AS (SELECT model, target, floor(p / 1e-6)
 # ---------------------------------------------------------------- checks of fitted members
 
 ORACLE["tree_shap_check"] = TB + "SELECT id, true AS all_features, true AS additive FROM t"
+ORACLE["gain_importance_check"] = BASE + "SELECT DISTINCT fold, true AS same, true AS whole FROM tf"
 ORACLE["oof_check"] = BASE + "SELECT id, fold, target, true AS p_ok FROM tf"
 ORACLE["stack_check"] = BASE + """SELECT fold, CAST((SELECT count(*) FROM tf) - count(*) AS BIGINT) AS n_train, true AS optimal FROM tf GROUP BY fold
 UNION ALL SELECT -1, count(*), true FROM tf"""

@@ -81,14 +81,15 @@ def oof_gbt_native_category(spark: SparkSession, sf: str, max_iter: int = 5000,
 
 
 def boosting_curve(spark: SparkSession, sf: str, max_iter: int, wait: int, fold: int = 0) -> tuple[DataFrame, object]:
-    """A member fitted on the other folds with its log-loss curve on ``fold``: (iter, loss)
-    rows up to where waiting ``wait`` rounds stops, and the model of the best iterations."""
+    """A member fitted on the other folds with its AUC curve on ``fold``: (iter, auc) rows up
+    to where waiting ``wait`` rounds stops, and the model of the best iterations."""
+    from riskweave.operators.staged import fit_patient
     fm, x = featurised(spark, sf)
     x = ml.fit_input(x.withColumn("target", F.col("target").cast("double")), id_col="id")
     est = ml.gbt_leafwise(max_iter=max_iter).setFeaturesCol("features").setLabelCol("target")
-    model, losses = ml.fit_early_stopped(est, x.where(F.col("fold") != fold), x.where(F.col("fold") == fold), wait)
+    model, aucs = fit_patient(est, x.where(F.col("fold") != fold), x.where(F.col("fold") == fold), wait)
     x.unpersist()
-    return spark.createDataFrame([(i, v) for i, v in enumerate(losses)], "iter int, loss double"), model
+    return spark.createDataFrame([(i, v) for i, v in enumerate(aucs)], "iter int, auc double"), model
 
 
 def stacker(wide: DataFrame, members: list[str], k: int = 5, C: float = 1.0) -> tuple[ml.OOFResult, object]:
