@@ -67,3 +67,16 @@ def test_signed_sums_cancel(spark):
     pairs = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(s).alias("sign")) for b, s in ((3, 1.0), (1, 1.0), (3, -1.0), (1, 1.0), (0, -1.0))])
     got = spark.range(1).select(fx.signed_sums(pairs).alias("e")).first()["e"]
     assert [(e["bucket"], e["value"]) for e in got] == [(0, -1.0), (1, 2.0)]
+
+
+def test_vectors_come_from_batches(spark):
+    """No hash, lambda or JSON text per row in the plan; pairs follow the column rule, odd values too."""
+    from riskweave.functions.hashing import hash_bucket, hash_sign, token
+    df, _ = frame(spark)
+    m = FeatureSpec(n_hash_features=256, id_cols=("id",), date_cols=()).fit(df)
+    plan = m.transform(df, keep=("id",))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("md5(", "from_json", "lambdafunction")) and "ArrowEvalPython" in plan
+    odd = spark.createDataFrame([(1, "é=中"), (2, ""), (3, None), (4, "v" * 3000)], "id long, c string")
+    t = token("c", F.col("c"))
+    rows = odd.select(fx.hash_pairs(["c"], 97).alias("p"), hash_bucket(t, 97).alias("b"), hash_sign(t).alias("s")).collect()
+    assert all([tuple(x) for x in r["p"]] == [(r["b"], r["s"])] for r in rows) and len(rows) == 4
