@@ -74,7 +74,8 @@ def blend_fixed(members: dict[str, DataFrame], weights: dict[str, float], id_col
 def stack_matrix(preds: DataFrame, models: Sequence[str], id_col: str = "id",
                  keep: Sequence[str] = ("fold", "target"), fill_missing: float | None = None) -> DataFrame:
     """One column per member (explicit list, so no extra distinct job); optional fill."""
-    out = (preds.groupBy(id_col, *keep).pivot("model", list(models)).agg(F.first("p")))
+    # one aggregation of a buffer per row; pivot() groups by (id, model) first and holds a cell for each
+    out = preds.groupBy(id_col, *keep).agg(*[F.max(F.when(F.col("model") == m, F.col("p"))).alias(m) for m in models])
     if fill_missing is not None:
         out = out.fillna(fill_missing, subset=list(models))
     return out

@@ -111,3 +111,12 @@ def test_entry_smoke(spark):
     df = e.entry(spark)
     assert df.count() >= 0 and df.columns == ["band", "n", "mean_p"]
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_stack_matrix_groups_once(spark):
+    """Members side by side with one exchange on the id; missing members are null, rows kept apart."""
+    from riskweave.operators import ensemble as ens
+    p = spark.createDataFrame([(1, "a", 0, 1, 0.25), (1, "b", 0, 1, 0.5), (2, "b", 1, 0, 0.75)], "id long, model string, fold int, target int, p double")
+    wide = ens.stack_matrix(p, ["a", "b"])
+    assert sorted(tuple(r) for r in wide.select("id", "fold", "target", "a", "b").collect()) == [(1, 0, 1, 0.25, 0.5), (2, 1, 0, None, 0.75)]
+    assert wide._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
