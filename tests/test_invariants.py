@@ -120,3 +120,13 @@ def test_stack_matrix_groups_once(spark):
     wide = ens.stack_matrix(p, ["a", "b"])
     assert sorted(tuple(r) for r in wide.select("id", "fold", "target", "a", "b").collect()) == [(1, 0, 1, 0.25, 0.5), (2, 1, 0, None, 0.75)]
     assert wide._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_feature_partitions_follow_the_rows(spark, monkeypatch):
+    """Vectors of a larger table lie in more partitions, whatever the shuffle partitions are."""
+    from riskweave.operators import models as ml
+    from riskweave.plans import training
+    monkeypatch.setattr(ml, "FIT_BYTES", 1 << 16)
+    fm, x = training.featurised(spark, "/root/testdata/sf0.001")
+    rows = x.count()
+    assert x.rdd.getNumPartitions() == ml.fit_partitions(rows, len(fm.names())) > 8
