@@ -2,8 +2,8 @@
 
 A task reads its rows in chunks, scores a chunk with one candidate after another in NumPy and sends
 on either counts per step of [0, 1] (``step_counts``) or the candidate's sorted scores of the two
-classes, cut into ranges and packed (``ranked_pairs``): about five bytes a score where a row of
-candidate, score and counts takes forty and is shuffled twice. Candidate, group and range are a key,
+classes, cut into ranges and packed (``ranked_pairs``), shuffled once: less than a double a score,
+where there was a row of candidate, score and counts, shuffled twice. Candidate, group and range are a key,
 so each range is ranked by itself and small totals per range give the AUC.
 """
 
