@@ -73,7 +73,7 @@ def load_models(model_cls, paths: list[str]) -> list:
 def save_attribution(attr: DataFrame, path: str) -> None:
     """Long attributions (id, feature_idx, phi, ...) as parquet, partitioned by model
     when present so one member can be read alone (partition pruning)."""
-    w = attr.write.mode("overwrite")
+    w = attr.write.mode("overwrite").option("compression", "zstd")      # repeated values of one-hot features pack well
     if "model" in attr.columns:
         w = w.partitionBy("model")
     w.parquet(path)
