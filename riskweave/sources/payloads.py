@@ -24,18 +24,20 @@ def parse_requests(df: DataFrame, payload_col: str, fields: T.StructType,
     one bare instance; unknown fields are ignored, missing and null ones are NULL.
     """
     text = F.concat(F.lit("["), F.col(payload_col), F.lit("]"))
-    # the whole text must be the one element of an array; its elements come back as JSON text
+    # the whole text must be the one element of an array; its elements come back as JSON text. Every
+    # step is a column of its own, so that no text is parsed again for each use of it
     whole = F.from_json(text, T.ArrayType(T.StringType()), {"allowSingleQuotes": "false", "mode": "PERMISSIVE"})
-    body = F.when(F.size(whole) == 1, F.trim(F.col(payload_col)))
+    out = df.withColumn("_ok", F.size(whole) == 1)
     # outer white space is no instance text; JSON's own brackets tell objects from other values
-    is_object = body.startswith("{")
-    keys = F.when(is_object, F.json_object_keys(body))
+    out = out.withColumn("_body", F.when(F.col("_ok"), F.trim(F.col(payload_col))))
+    body, keys = F.col("_body"), F.col("_keys")
+    out = out.withColumn("_keys", F.when(body.startswith("{"), F.json_object_keys(body)))
     single, many = F.array_contains(keys, "instance"), F.array_contains(keys, "instances")
     listed = F.from_json(F.get_json_object(body, "$.instances"), T.ArrayType(T.StringType()), {"allowSingleQuotes": "false"})
     texts = (F.when(single, F.array(F.get_json_object(body, "$.instance")))
              .when(many, listed).when(keys.isNotNull(), F.array(body)))
     schema = T.StructType([*fields.fields, T.StructField("_corrupt", T.StringType())])
-    out = df.withColumn("_ok", F.size(whole) == 1).withColumn("_texts", texts)
+    out = out.withColumn("_texts", texts)
     typed = F.transform("_texts", lambda x: F.from_json(x, schema, STRICT))
     out = out.withColumn("_typed", typed)
     bad = F.exists("_texts", lambda x: x.isNull() | ~F.ltrim(x).startswith("{")) | F.exists("_typed", lambda x: x["_corrupt"].isNotNull())
@@ -49,7 +51,7 @@ def parse_requests(df: DataFrame, payload_col: str, fields: T.StructType,
     for f in required:
         err = err.when(F.exists("_typed", absent(f)), F.lit(f"missing field {f}"))
     plain = F.transform("_typed", lambda x: F.struct(*[x[f.name].alias(f.name) for f in fields.fields]))
-    return out.withColumn("instances", plain).withColumn("error", err).drop("_ok", "_texts", "_typed")
+    return out.withColumn("instances", plain).withColumn("error", err).drop("_ok", "_body", "_keys", "_texts", "_typed")
 
 
 def explode_instances(parsed: DataFrame, keep: tuple[str, ...]) -> DataFrame:

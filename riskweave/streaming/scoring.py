@@ -22,7 +22,11 @@ from riskweave.sources import payloads as pl
 def score_requests(requests: DataFrame, fields: T.StructType, feature_model, model,
                    request_id: str = "request_id") -> tuple[DataFrame, DataFrame]:
     """Batch or streaming: (scored instances, error rows)."""
-    parsed = pl.parse_requests(requests, "payload", fields)
+    return score_parsed(pl.parse_requests(requests, "payload", fields), feature_model, model, request_id)
+
+
+def score_parsed(parsed: DataFrame, feature_model, model, request_id: str = "request_id") -> tuple[DataFrame, DataFrame]:
+    """The same for requests that ``parse_requests`` has read."""
     errors = parsed.where(F.col("error").isNotNull()).select(request_id, "payload", "error")
     inst = pl.explode_instances(parsed, (request_id,))
     x = feature_model.transform(inst, keep=(request_id, "pos"))
@@ -39,18 +43,18 @@ def start_scoring_stream(spark: SparkSession, source_dir: str, sink_dir: str, ch
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(source_dir)
-    requests = raw.select(F.get_json_object("value", "$.request_id").cast("long").alias("request_id"),
-                          F.get_json_object("value", "$.payload").alias("payload"))
+    requests = raw.select(F.json_tuple("value", "request_id", "payload").alias("request_id", "payload")) \
+                  .select(F.col("request_id").cast("long").alias("request_id"), "payload")
 
     def write_batch(batch: DataFrame, epoch: int) -> None:
         # one folder per epoch, overwritten on replay: a retried batch cannot duplicate rows
-        batch = batch.persist()                              # both sinks read it
+        parsed = pl.parse_requests(batch, "payload", fields).persist()       # both sinks read it
         try:
-            scored, errors = score_requests(batch, fields, feature_model, model)
+            scored, errors = score_parsed(parsed, feature_model, model)
             scored.write.mode("overwrite").parquet(f"{sink_dir}/scored/epoch={epoch}")
             errors.write.mode("overwrite").parquet(f"{sink_dir}/errors/epoch={epoch}")
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     w = requests.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_dir)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
