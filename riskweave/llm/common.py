@@ -49,10 +49,21 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; what is not in a staging folder stays."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for root in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root.rsplit("/", 1)[-1].startswith("llm-"):
+                path = jvm.org.apache.hadoop.fs.Path(root)
+                path.getFileSystem(conf).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner remove shuffle files of DataFrames that are out of scope (on a
     driver with little garbage that would otherwise wait for its half-hourly collection)."""
     gc.collect()
+    spark.range(1).collect()            # listeners hold the last query, and with it its shuffles, until the next
     spark.sparkContext._jvm.System.gc()
 
 
@@ -248,7 +259,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         out = small.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         # few links left need few files: their number hardly grows from one round to the next
-        e = stage(out.coalesce(seen[0] // EDGES_PER_FILE + 1) if seen else out)
+        before, e = e, stage(out.coalesce(seen[0] // EDGES_PER_FILE + 1) if seen else out)
+        discard(before)
         now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -25,7 +25,7 @@ Hashes of shingles and of sets have 64 bits; a false link needs a collision amon
 from __future__ import annotations
 
 import math
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,7 @@ BAND = 1.3
 WORDS = 8                      # 64-bit words of a bitmap
 CHUNK = 1 << 18                # bytes of text that a task works on at once
 SALTS = 4
+SLICES = 2                     # passes over the cells, each with its share of the keys: the shuffle of one stands at a time
 U64 = np.uint64
 
 
@@ -147,8 +148,8 @@ def _profile(id_type, n):
     return run, f"_id {id_type}, _th long, _node long, _n long, " + ", ".join(f"{x} long" for x in names)
 
 
-def _emit_cells(n, num, den):
-    """(key, node) cells, of equal sets in a task only those of the first."""
+def _emit_cells(n, num, den, part, parts):
+    """(key, node) cells of one of ``parts`` shares of the keys, of equal sets in a task only those of the first."""
     def run(batches):
         seen: set[int] = set()
         for batch in c.tidy(batches):
@@ -163,6 +164,8 @@ def _emit_cells(n, num, den):
                 size = np.diff(off)
                 h, off, node = h[np.repeat(fresh, size)], np.concatenate(([0], np.cumsum(size[fresh]))), node[fresh]
                 key, row = cell_keys(h, off, num, den)
+                mine = key % U64(parts) == U64(part)
+                key, row = key[mine], row[mine]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row].view(np.int64))], names=["key", "node"])
 
     return run
@@ -229,18 +232,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.min("_id").alias("rep"), F.coalesce(F.min_by("_th", "_id"), F.first("_th")).alias("th"), F.first("_n").alias("n"), *[F.first(f"_w{k}").alias(f"_w{k}") for k in range(WORDS)]))
 
     # cells that hold two nodes or more: each node with the cell's smallest and the one before it
-    cells = texts.select("_text").mapInArrow(_emit_cells(n, num, den), "key long, node long")
     w = Window.partitionBy("key").orderBy("node")
-    star = c.stage(cells.select("key", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("prev"))
-                   .where("node != first and node != prev"))
+    stars = [c.stage(texts.select("_text").mapInArrow(_emit_cells(n, num, den, part, SLICES), "key long, node long")
+                     .select("key", "node", F.first("node").over(w).alias("first"), F.lag("node").over(w).alias("prev"))
+                     .where("node != first and node != prev")) for part in range(SLICES)]
+    star = reduce(DataFrame.unionByName, stars)
 
     ids = star.select("node").unionByName(star.select(F.col("first").alias("node"))).distinct()
     wanted = nodes.join(ids, "node", "left_semi").select("node", "rep", "th")
-    # one text per node, whatever the number of its copies
-    held = c.stage(texts.join(wanted, (F.col("_th") == F.col("th")) & F.col("_id").eqNullSafe(F.col("rep")))
-                   .select("node", "_text").dropDuplicates(["node"]))
+    # one text per node, whatever the number of its copies; by one key, so that the texts are dealt once
+    keyed = texts.select(F.xxhash64("_id", "_th").alias("at"), "_text")
+    held = c.stage(keyed.join(wanted.select("node", F.xxhash64("rep", "th").alias("at")), "at").dropDuplicates(["at", "node"]).select("node", "_text"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
+    def verified(pairs: DataFrame, held: DataFrame = held) -> DataFrame:
         """The links among pairs (a, b) that passed the bitmaps."""
         ta = held.select(F.col("node").alias("a"), F.col("_text").alias("ta"))
         tb = held.select(F.col("node").alias("b"), F.col("_text").alias("tb"))
@@ -268,7 +272,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     x = member.select("key", F.col("node").alias("a"), F.col("root").alias("r_a")).join(_side(nodes, "a"), "a")
     y = member.select("key", F.col("node").alias("b"), F.col("root").alias("r_b")).join(_side(nodes, "b"), "b")
     pairs = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _may_link(num, den)).select("a", "b").distinct()
-    root = c.components(links.unionByName(verified(pairs)))
+    # few nodes are left: their texts are picked out before they are dealt to both sides of the pairs
+    pairs = c.stage(pairs)
+    asked = c.stage(held.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"))
+    c.discard(*stars, held, rest)
+    root = c.components(links.unionByName(verified(pairs, asked)))
+    c.discard(pairs, asked)
 
     label = nodes.select("node", "rep").join(root, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = label.groupBy("root").agg(F.min("rep").alias("component_id"))
